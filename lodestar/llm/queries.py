@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import pii, secret_owners, sharding
 
 QUERIES = {
+    "op5_anchor_expansion": pii.query,
+    "op6_ownership_frequency": secret_owners.query,
     "op10_histogram_sort": sharding.query,
 }
 
