@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import pii, secret_owners, sharding
+from . import pii, secret_owners, sharding, simhash
 
 QUERIES = {
     "op5_anchor_expansion": pii.query,
     "op6_ownership_frequency": secret_owners.query,
+    "op7_vantage_point_trees": simhash.query,
     "op10_histogram_sort": sharding.query,
 }
 
