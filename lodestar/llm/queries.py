@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import pii, quality_rules, secret_owners, sharding, simhash
+from . import packing, pii, quality_rules, secret_owners, sharding, simhash
 
 QUERIES = {
     "op3_covariance_determinant": quality_rules.query,
     "op5_anchor_expansion": pii.query,
     "op6_ownership_frequency": secret_owners.query,
     "op7_vantage_point_trees": simhash.query,
+    "op8_minimum_bin_slack": packing.query,
     "op10_histogram_sort": sharding.query,
 }
 
