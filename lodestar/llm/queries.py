@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, pii, quality_rules, secret_owners, sharding, simhash
+from . import decontamination, packing, pii, quality_rules, secret_owners, sharding, simhash
 
 QUERIES = {
     "op3_covariance_determinant": quality_rules.query,
+    "op4_greedy_string_tiling": decontamination.query,
     "op5_anchor_expansion": pii.query,
     "op6_ownership_frequency": secret_owners.query,
     "op7_vantage_point_trees": simhash.query,
