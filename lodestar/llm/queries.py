@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, pii, quality_rules, secret_owners, sharding, simhash
+from . import decontamination, licenses, packing, pii, quality_rules, secret_owners, sharding, simhash
 
 QUERIES = {
     "op3_covariance_determinant": quality_rules.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_ownership_frequency": secret_owners.query,
     "op7_vantage_point_trees": simhash.query,
     "op8_minimum_bin_slack": packing.query,
+    "op9_patience_alignment": licenses.query,
     "op10_histogram_sort": sharding.query,
 }
 
