@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -35,34 +36,70 @@ VOCABULARY = "word_bpe_49k.json"
 #: Rows of one length that are numbered together, about; groups of a length at least.
 SALT_ROWS, LEAST_SALTS = 1_000_000, 64
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 _tokenizers: dict[str, tuple] = {}
 
 
 def _encoder(path: str):
-    """A function from a text to its ids as little-endian bytes.
+    """A function from texts to their ids as little-endian bytes.
 
     This vocabulary drops white space and never merges across it, so the ids of a text are those of
-    its words, and a word that was seen before need not be encoded again.
+    its words, and a word that was seen before need not be encoded again. New words of letters only
+    are encoded many at once, as each of them ends in an id that marks the end of a word; a text
+    that lower-casing or splitting here could change is encoded as it is.
     """
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _tokenizers[path]
-
-    def encode(text: str) -> bytes:
-        words = text.split()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+        ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        _tokenizers[path] = (tokenizer, ends, {}, {})
+    tokenizer, ends, known, known_letters = _tokenizers[path]
+
+    def one(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn_letters(new: list[str]) -> None:
+        groups = [new[i : i + 256] for i in range(0, len(new), 256)]
+        for group, e in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = np.flatnonzero(ends[ids]) + 1
+            if len(cuts) == len(group):
+                data, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                known_letters.update(zip(group, (data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+            else:
+                known_letters.update(zip(group, one(group), strict=True))
+
+    def learn(new: list[str]) -> None:
+        whole, split = [], []
+        for w in new:
+            core = w[:-1] if w[-1] in ".," else w
+            (split if core.isalpha() else whole).append(w)
+        learn_letters(list(dict.fromkeys(c for c in (w if w.isalpha() else w[:-1] for w in split) if c not in known_letters)))
+        for mark in ".,":
+            if mark not in known_letters:
+                known_letters[mark] = one([mark])[0]
+        for w in split:
+            known[w] = known_letters[w] if w in known_letters else known_letters[w[:-1]] + known_letters[w[-1]]
+        known.update(zip(whole, one(whole), strict=True))
+
+    def lowered(text: str) -> str | None:
+        if text.isascii():
+            return None if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.lower()
+        low = text.lower()
+        odd = any(c in text for c in "\x1c\x1d\x1e\x1f\u0130\u03a3") or not (is_normalized("NFC", text) and is_normalized("NFC", low))
+        return None if odd else low
+
+    def encode(texts: list[str]) -> list[bytes]:
+        if len(known) > REMEMBERED:
+            known.clear()
+            known_letters.clear()
+        split = [None if (low := lowered(t)) is None else low.split() for t in texts]
+        learn(list(dict.fromkeys(w for words in split if words for w in words if w not in known)))
+        return [one([t])[0] if words is None else b"".join([known[w] for w in words]) for t, words in zip(texts, split, strict=True)]
 
     return encode
 
@@ -86,8 +123,8 @@ def cut(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | Non
         for batch in batches:
             for part in slices(batch, "scanned"):
                 rows, of, kept = [], [], []
-                for i, t in enumerate(part.column(1)):
-                    data = encode(t.as_py() or "") + last
+                for i, data in enumerate(encode([t.as_py() or "" for t in part.column(1)])):
+                    data += last
                     n = len(data) // 4
                     for start in range(0, n, window):
                         piece = data[4 * start : 4 * (start + window)]
