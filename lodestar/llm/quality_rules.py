@@ -55,7 +55,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 _SYMBOL, _CAPITAL, _MARK = (np.isin(np.arange(256), list(x)) for x in (SYMBOLS, bytes(range(65, 91)), b".,;:!?"))
 
 
-def _counts(texts: pa.Array) -> dict[str, np.ndarray]:
+def count_texts(texts: pa.Array) -> dict[str, np.ndarray]:
     words = Words(texts, lower=False)
     raw, at, first, n = words.raw, words.spans, words.first, len(texts)
     sums = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])[at])
@@ -123,7 +123,7 @@ def text_counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "scanned"):
-                found = _counts(part.column(1))
+                found = count_texts(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(found[c], pa.int64()) for c in COUNTS]], names=["row", *COUNTS])
 
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").alias("scanned")).mapInArrow(run, schema)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_model, licenses, packing, pii, quality_rules, secret_owners, sharding, simhash
+from . import decontamination, language_model, licenses, packing, pii, quality_classifier, quality_rules, secret_owners, sharding, simhash
 
 QUERIES = {
+    "op1_cumulative_link": quality_classifier.query,
     "op2_elias_fano_trie": language_model.query,
     "op3_covariance_determinant": quality_rules.query,
     "op4_greedy_string_tiling": decontamination.query,
