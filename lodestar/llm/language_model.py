@@ -39,7 +39,7 @@ from .common import Words, mix, slices, table
 #: Share of the bigram estimate.
 MIX = 0.2
 #: Bytes of text of a chunk; bytes of text whose keys make up a shard.
-CHUNK_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
+CHUNK_BYTES, SHARD_BYTES = 6 << 20, 4 << 20
 START, STOP = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _LOW32 = np.uint64(0xFFFFFFFF)
 
@@ -188,8 +188,7 @@ class Chunk:
         before[self.first[:-1]] = START
         self.words, self.word_of, self.word_shards = self._ordered(token, shards)
         self.bigrams, self.bigram_of, self.bigram_shards = self._ordered((before & ~_LOW32) | token >> np.uint64(32), shards)
-        self.before = before
-        self.texts = np.repeat(np.arange(n), np.diff(self.first))
+        self.texts = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.first))
 
     @staticmethod
     def _ordered(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,7 +197,7 @@ class Chunk:
         order = np.argsort(shard, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        return distinct[order], place[inverse], shard[order]
+        return distinct[order], place.astype(np.int32)[inverse], shard[order]
 
 
 _BLOCK = "chunk long, shard long, words binary, word_counts binary, bigrams binary, bigram_counts binary"
