@@ -136,7 +136,7 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 21):
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20):
     """Pieces of a batch whose texts take about most_bytes (one long text may take more)."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0)
     at = 0
