@@ -40,6 +40,8 @@ from .common import Words, mix, slices, table
 MIX = 0.2
 #: Bytes of text of a chunk; bytes of text whose keys make up a shard.
 CHUNK_BYTES, SHARD_BYTES = 6 << 20, 4 << 20
+#: Words that a counting task holds before it sends their counts on.
+HELD_WORDS = 1 << 20
 START, STOP = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _LOW32 = np.uint64(0xFFFFFFFF)
 
@@ -262,22 +264,30 @@ def held_out(id: Column) -> Column:
 def totals(docs: DataFrame) -> tuple[int, int, int]:
     """Training tokens, distinct training tokens, training texts of docs (text, held_out).
 
-    Words are counted in each slice of texts, dealt to shards, and summed there.
+    Tasks count words, deal the counts to shards, and the shards sum them.
     """
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def block(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, counts = _summed([k for k, _ in held], [c for _, c in held])
+        shard = _shard_of(keys, shards)
+        order = np.argsort(shard, kind="stable")
+        used, at = np.unique(shard[order], return_index=True)
+        at = np.append(at, len(order))
+        keys, counts = keys[order], counts[order].astype("<u4")
+        cut = list(zip(at[:-1], at[1:], strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([_planes(keys[x:y]) for x, y in cut], pa.binary()), pa.array([_planes(counts[x:y]) for x, y in cut], pa.binary())], names=["shard", "words", "word_counts"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for part in slices(batch, "text"):
-                words = Words(part.column(0))
-                keys, counts = np.unique(words.hashes(), return_counts=True)
-                shard = _shard_of(keys, shards)
-                order = np.argsort(shard, kind="stable")
-                used, at = np.unique(shard[order], return_index=True)
-                at = np.append(at, len(order))
-                keys, counts = keys[order], counts[order].astype("<u4")
-                cut = list(zip(at[:-1], at[1:], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([_planes(keys[x:y]) for x, y in cut], pa.binary()), pa.array([_planes(counts[x:y]) for x, y in cut], pa.binary())], names=["shard", "words", "word_counts"])
+                held.append(np.unique(Words(part.column(0)).hashes(), return_counts=True))
+                if sum(len(k) for k, _ in held) > HELD_WORDS:
+                    yield block(held)
+                    held = []
+        if held:
+            yield block(held)
 
     def sum_up(blocks: pa.Table) -> pa.Table:
         keys, counts = _summed([_from_planes(x.as_py(), "<u8") for x in blocks.column("words")], [_from_planes(x.as_py(), "<u4") for x in blocks.column("word_counts")])
