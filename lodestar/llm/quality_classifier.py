@@ -32,13 +32,13 @@ from .quality_rules import count_texts
 #: Rated texts the fit rests on, at most.
 SAMPLE = 20_000
 #: Hash bits of features; passes over the sample; texts between updates.
-BITS, PASSES, BATCH = 18, 8, 16
+BITS, PASSES, BATCH = 18, 12, 16
 #: Step, smoothing and penalties of the fit; the absolute penalty is per text of the sample.
-STEP, SMOOTH, ABSOLUTE, SQUARE = 0.5, 1.0, 0.0025, 0.1
+STEP, SMOOTH, ABSOLUTE, SQUARE = 0.5, 1.0, 0.004, 0.1
 #: Rarer grades count more, by this power of how rare they are; texts a feature must be in.
 BALANCE, LEAST_TEXTS = 0.8, 8
 #: A text is kept from this probability of the top grade on.
-SELECT = 0.5
+SELECT = 0.6
 GRADES = 3
 
 
