@@ -113,7 +113,8 @@ def rated(docs: DataFrame, ratings: DataFrame, id: str, grade: str, sample: int)
     """(text, grade) of the rated texts with the least hashes of their ids, sample at most."""
     picked = ratings.select(F.col(f"`{id}`").alias("r_id"), F.coalesce(F.col(grade), F.lit(0)).cast("int").alias("grade"), F.xxhash64(F.col(f"`{id}`")).alias("h")).where(F.col("r_id").isNotNull())
     picked = picked.orderBy("h", "r_id", "grade").limit(sample)
-    return docs.join(F.broadcast(picked), docs[id] == picked["r_id"]).select(F.col("h"), F.col("r_id"), F.col("grade"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    texts = docs.select(F.col(f"`{id}`").alias("d_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(picked), F.col("d_id") == F.col("r_id")).select("h", "r_id", "grade", "text")
 
 
 def train(sampled: DataFrame, n_grades: int = GRADES) -> tuple[np.ndarray, np.ndarray]:
