@@ -36,7 +36,12 @@ UNSAFE = {
 UNSAFE_SUBSTRINGS = ("drop", "delete", "update", "insert")
 #: Parts of a name that decide a request class that is no alias.
 INTENT_PARTS = (("top", "ranking"), ("trend", "trend"), ("comp", "comparison"), ("segment", "segment"), ("funnel", "funnel"), ("cohort", "cohort"), ("correlat", "correlate"), ("list", "tabular"), ("detail", "tabular"), ("lookup", "tabular"))
+#: Fixed value: how a request says over (group 1) or under (group 2) an amount.
+THRESHOLD = r"\b(?:exceeds?|greater than|more than|above|over)\s+\$?([\d,]+)|\b(?:less than|below|under)\s+\$?([\d,]+)"
+#: Patterns that ask for groups; what shows a refusal, and what shows SQL.
 GROUPED_PATTERNS = ("Ranking", "Trend", "Comparison", "Summary", "Segment", "Cohort", "Correlate", "Tabular")
+REFUSALS = ("cannot answer", "not available", "not supported", "outside", "clarify")
+ACTIONS = ("select ", "update ", "delete ", "insert ", "drop ", "alter ")
 
 
 def any_of(text: Column, phrases: Iterable[str]) -> Column:
@@ -85,8 +90,7 @@ def extract_topn(text: Column) -> Column:
 def extract_threshold(text: Column) -> Column:
     """(op, amount) of an over or under phrase, where a dimension was found; null otherwise."""
     q = F.lower(text)
-    pattern = r"\b(?:exceeds?|greater than|more than|above|over)\s+\$?([\d,]+)|\b(?:less than|below|under)\s+\$?([\d,]+)"
-    over, under = _number(q, pattern, 1), _number(q, pattern, 2)
+    over, under = _number(q, THRESHOLD, 1), _number(q, THRESHOLD, 2)
     amount = F.try_to_number(F.regexp_replace(F.coalesce(over, under), ",", ""), F.lit("999999999999999999")).cast("long")
     found = (over.isNotNull() | under.isNotNull()) & classify_dimension(text).isNotNull()
     return F.when(found, F.struct(F.when(over.isNotNull(), ">").otherwise("<").alias("op"), amount.alias("amount")))
@@ -225,7 +229,7 @@ def _shows(text: Column, label: Column, tokens: dict[str, list[list[str]]]) -> C
 def score(sql: Column, params: Column, behavior: Column, pattern: Column, m: Column, d: Column, t: Column, unsupported: Column, executed: Column) -> Column:
     """(correct, reason) of an answer, by keywords, conservatively."""
     s = normalise_text(F.concat_ws(" ", extract_sql(sql), normalise_text(params)))
-    refused = any_of(s, ("cannot answer", "not available", "not supported", "outside", "clarify")) & ~any_of(s, ("select ", "update ", "delete ", "insert ", "drop ", "alter "))
+    refused = any_of(s, REFUSALS) & ~any_of(s, ACTIONS)
     both = any_of(s, ("date_format", "month")) & F.contains(s, F.lit("ordertotal")) & F.contains(s, F.lit("customer")) & any_of(s, ("limit 5", "top 5"))
     groups = ~F.coalesce(pattern.isin(*GROUPED_PATTERNS), F.lit(False)) & d.isNull() & F.contains(s, F.lit(" group by "))
     no = lambda reason: F.struct(F.lit(False).alias("correct"), reason.alias("reason"))
