@@ -6,7 +6,7 @@ VIEWS = """
 product AS (
   SELECT p_partkey AS "Id", p_name AS "Name", p_brand || '-' || p_partkey AS "Sku", CAST(p_retailprice AS DECIMAL(18,4)) AS "Price",
     CAST(CAST(p_retailprice AS DECIMAL(18,4)) * CAST(0.6 AS DECIMAL(2,1)) AS DECIMAL(18,4)) AS "ProductCost", p_size AS "StockQuantity", 5 AS "MinStockQuantity",
-    p_partkey % 400 AS "ApprovedTotalReviews", CASE WHEN p_partkey % 10 <> 0 THEN 1 ELSE 0 END AS "Published",
+    CAST(p_partkey % 400 AS INTEGER) AS "ApprovedTotalReviews", CASE WHEN p_partkey % 10 <> 0 THEN 1 ELSE 0 END AS "Published",
     DATE '1995-01-01' + CAST(p_partkey % 2000 AS INTEGER) AS "CreatedOnUtc" FROM part),
 order_item AS (
   SELECT l_orderkey AS "OrderId", l_partkey AS "ProductId", CAST(l_quantity AS INTEGER) AS "Quantity", CAST(l_extendedprice AS DECIMAL(18,4)) AS "PriceExclTax",
@@ -21,7 +21,7 @@ order_ AS (
   SELECT o_orderkey AS "Id", 'ORD-' || o_orderkey AS "CustomOrderNumber", o_custkey AS "CustomerId", o_custkey AS "BillingAddressId", o_orderkey % 5 AS "StoreId",
     CASE o_orderstatus WHEN 'P' THEN 10 WHEN 'O' THEN 20 ELSE 30 END AS "OrderStatusId",
     CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 10 WHEN '2' THEN 20 WHEN '3' THEN 30 WHEN '4' THEN 35 ELSE 40 END AS "PaymentStatusId",
-    (o_orderkey % 5 + 1) * 10 AS "ShippingStatusId", o_orderpriority AS "PaymentMethodSystemName",
+    CAST((o_orderkey % 5 + 1) * 10 AS INTEGER) AS "ShippingStatusId", o_orderpriority AS "PaymentMethodSystemName",
     CASE o_custkey % 4 WHEN 0 THEN 'BDT' WHEN 1 THEN 'USD' WHEN 2 THEN 'GBP' ELSE 'INR' END AS "CustomerCurrencyCode",
     CASE WHEN o_orderkey % 2 = 0 THEN 'Ground' ELSE 'Express' END AS "ShippingMethod",
     CAST(CASE o_orderkey % 3 WHEN 0 THEN 60 WHEN 1 THEN 120 ELSE 150 END AS DECIMAL(18,4)) AS "OrderShippingExclTax", CAST(o_totalprice AS DECIMAL(18,4)) AS "OrderTotal",
@@ -84,7 +84,7 @@ DIMENSION = {
     "product_stock": ("Product", "p.\"StockQuantity\""), "product_rating": ("Product", "p.\"ApprovedTotalReviews\""), "product_published": ("Product", "p.\"Published\""), "product_created_date": ("Product", _day("p.\"CreatedOnUtc\"")),
     "category_name": ("Category", "c.\"Name\""), "manufacturer_name": ("Manufacturer", "mf.\"Name\""), "customer_name": ("Customer", "cu.\"FirstName\" || ' ' || cu.\"LastName\""), "customer_email": ("Customer", "cu.\"Email\""),
     "customer_active": ("Customer", "cu.\"Active\""), "customer_registration_date": ("Customer", _day("cu.\"CreatedOnUtc\"")), "order_id": ("Order", "o.\"Id\""), "order_date": ("Order", _day("o.\"CreatedOnUtc\"")),
-    "order_month": ("Order", "strftime(o.\"CreatedOnUtc\", '%Y-%m')"), "order_year": ("Order", "YEAR(o.\"CreatedOnUtc\")"), "OrderStatusId": ("Order", "o.\"OrderStatusId\""), "PaymentStatusId": ("Order", "o.\"PaymentStatusId\""),
+    "order_month": ("Order", "strftime(o.\"CreatedOnUtc\", '%Y-%m')"), "order_year": ("Order", "CAST(YEAR(o.\"CreatedOnUtc\") AS INTEGER)"), "OrderStatusId": ("Order", "o.\"OrderStatusId\""), "PaymentStatusId": ("Order", "o.\"PaymentStatusId\""),
     "ShippingStatusId": ("Order", "o.\"ShippingStatusId\""), "order_status": ("Order", _case("OrderStatusId", {10: "Pending", 20: "Processing", 30: "Complete", 40: "Cancelled"})),
     "payment_status": ("Order", _case("PaymentStatusId", {10: "Pending", 20: "Authorized", 30: "Paid", 35: "PartiallyRefunded", 40: "Refunded", 50: "Voided"})),
     "shipping_status": ("Order", _case("ShippingStatusId", {10: "Not Required", 20: "Not Yet Shipped", 30: "Shipped", 40: "Delivered", 50: "Partially Shipped"})),

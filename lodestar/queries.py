@@ -108,7 +108,7 @@ for _grain in ("day", "week", "month", "quarter", "year"):
     on_star("report_trend_grain" if _grain == "week" else f"report_trend_grain_{_grain}", O.with_views(f"SELECT CAST(CAST(date_trunc('{_grain}', {_C}) AS DATE) AS VARCHAR) AS label, {O.METRIC['order_count']} AS value {O.joined()} GROUP BY 1"),
             lambda star, g=_grain: R.trend(star, "order_count", g))
 on_report("report_comparison", R.ReportSpec("comparison", "revenue", "category_name", filters=(P("category_name", "in", "ECONOMY,ring"),)), O.report("revenue", "category_name", f"{_CATEGORY} IN ('ECONOMY', 'ring')", order=O.TOP, limit=100))
-on_star("report_comparison_pivot", O.with_views(f"SELECT YEAR({_C}) AS label, " + ", ".join(f"CAST(SUM(CASE WHEN o.\"ShippingMethod\" = '{v}' THEN COALESCE(o.\"OrderTotal\",0) - COALESCE(o.\"RefundedAmount\",0) END) AS DOUBLE) AS \"{v}\"" for v in ("Ground", "Express")) + f" {O.joined()} GROUP BY 1"),
+on_star("report_comparison_pivot", O.with_views(f"SELECT CAST(YEAR({_C}) AS INTEGER) AS label, " + ", ".join(f"CAST(SUM(CASE WHEN o.\"ShippingMethod\" = '{v}' THEN COALESCE(o.\"OrderTotal\",0) - COALESCE(o.\"RefundedAmount\",0) END) AS DOUBLE) AS \"{v}\"" for v in ("Ground", "Express")) + f" {O.joined()} GROUP BY 1"),
         lambda star: R.comparison_pivot(star, "revenue", "order_year", "shipping_method", ["Ground", "Express"]))
 on_report("report_segment", R.ReportSpec("segment", "revenue", "country_name"), O.report("revenue", "country_name", order=O.TOP, limit=100))
 on_star("report_segment_share", O.with_views(f"SELECT label, value, ROUND(100 * value / SUM(value) OVER (), 4) AS pct FROM (SELECT o.\"PaymentMethodSystemName\" AS label, {O.METRIC['order_count']} AS value {O.joined()} GROUP BY 1)"),

@@ -51,12 +51,12 @@ on_star("refund_rate_by_category", O.with_views(f"SELECT c.\"Name\" AS label, RO
 on_star("stale_low_stock", O.with_views(f'SELECT "Id", "Sku", "StockQuantity" FROM product WHERE "StockQuantity" < 5 AND "Id" NOT IN ({_RECENT})'), lambda star: A.stale_low_stock(star, AS_OF - timedelta(days=60), 5))
 on_star("lapsed_big_spenders", O.with_views(f"""SELECT * FROM (SELECT "CustomerId" AS customer, CAST(SUM("OrderTotal") AS DOUBLE) AS spent, {O._day('MAX("CreatedOnUtc")')} AS last FROM order_ GROUP BY 1)
   WHERE spent > 2000000 AND CAST(last AS DATE) < DATE '2001-05-03'"""), lambda star: A.lapsed_big_spenders(star, 2_000_000, AS_OF - timedelta(days=90)))
-_DELAY = f"date_diff('day', CAST({_C} AS DATE), sh.\"ShippedDateUtc\")"
+_DELAY = f"CAST(date_diff('day', CAST({_C} AS DATE), sh.\"ShippedDateUtc\") AS INTEGER)"
 on_star("ship_delay", O.with_views(f"SELECT o.\"Id\" AS order_id, sh.\"Id\" AS shipment_id, {_DELAY} AS days {O.joined('Shipment')} WHERE {_DELAY} > 5"), lambda star: A.ship_delay(star, 5))
 on_star("avg_time_to_ship", O.with_views(f"SELECT ROUND(AVG({_DELAY}), 6) AS value, COUNT(*) AS n {O.joined('Shipment')} WHERE {_DELAY} > 0"), A.avg_time_to_ship)
 on_star("frequent_buyer_revenue", O.with_views("""SELECT COUNT(*) AS customers, CAST(SUM(r) AS DOUBLE) AS value FROM (SELECT COUNT(*) AS n, SUM("OrderTotal" - "RefundedAmount") AS r FROM order_ GROUP BY "CustomerId") WHERE n > 5"""), lambda star: A.frequent_buyer_revenue(star, 5))
 on_star("items_per_order_top_category", O.with_views(f"SELECT label, ROUND(q / n, 6) AS value FROM (SELECT c.\"Name\" AS label, SUM(oi.\"Quantity\") AS q, COUNT(DISTINCT o.\"Id\") AS n {O.joined('Category')} WHERE c.\"Name\" IS NOT NULL GROUP BY 1 ORDER BY q DESC, label LIMIT 1)"), A.items_per_order_of_top_category)
-register("peak_hours", "SELECT HOUR(ts) AS label, COUNT(*) AS value FROM events WHERE HOUR(ts) BETWEEN 18 AND 20 GROUP BY 1")(lambda spark, path: A.peak_hours(spark.read.parquet(f"{path}/events.parquet")))
+register("peak_hours", "SELECT CAST(HOUR(ts) AS INTEGER) AS label, COUNT(*) AS value FROM events WHERE HOUR(ts) BETWEEN 18 AND 20 GROUP BY 1")(lambda spark, path: A.peak_hours(spark.read.parquet(f"{path}/events.parquet")))
 on_star("avg_per_payment_method", O.with_views(f"SELECT o.\"PaymentMethodSystemName\" AS label, {O.METRIC['order_count']} AS orders, {O.METRIC['revenue']} AS revenue, ROUND(CAST(SUM(o.\"OrderShippingExclTax\") AS DOUBLE) / COUNT(*), 6) AS avg_shipping {O.joined()} GROUP BY 1"), A.per_payment_method)
 _MARGIN = 'CAST(oi."PriceExclTax" - oi."OriginalProductCost" AS DOUBLE)'
 on_star("attribute_margin_corr", O.with_views(" UNION ALL ".join(f"SELECT '{a}' AS attribute, ROUND(CORR(CAST(p.\"{a}\" AS DOUBLE), {_MARGIN}), 6) AS corr FROM order_item oi JOIN product p ON oi.\"ProductId\" = p.\"Id\"" for a in ("Price", "StockQuantity", "ApprovedTotalReviews"))), A.attribute_margin)
