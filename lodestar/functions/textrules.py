@@ -174,19 +174,21 @@ def normalise_text(text: Column) -> Column:
     return F.regexp_replace(plain, r"\s+", " ")
 
 
-def unsupported_reasons(question: Column) -> Column:
-    """The reasons a question cannot be answered, each once, in the order of the rules."""
-    q = normalise_text(question)
+def unsupported_reasons(q: Column) -> Column:
+    """The reasons a question cannot be answered, each once, in the order of the rules.
+
+    q: a column that holds the question's normalised text. As a column of its own it is made once
+    for all rules; an expression would be evaluated anew by each of them.
+    """
     return F.array_join(F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(q, F.lit(m)), F.lit(r)) for m, r in UNSUPPORTED_MARKERS]))), "; ")
 
 
-def expected_labels(question: Column, pattern: Column) -> Column:
-    """(behavior, metric, dimension, time, unsupported) expected of an answer."""
-    q = normalise_text(question)
+def expected_labels(q: Column, pattern: Column) -> Column:
+    """(behavior, metric, dimension, time, unsupported) expected of an answer. q: as for unsupported_reasons."""
     m = F.when(F.contains(q, F.lit("average number of items per order")), "quantity").otherwise(F.coalesce(first_keyword(q, EXPECTED_METRIC), F.lit("order_count")))
     grouped = F.when(any_of(q, ("by month", "daily", "weekly")), "date").otherwise(first_keyword(q, EXPECTED_DIMENSION))
     d = F.when(pattern.isin(*GROUPED_PATTERNS), grouped).when(F.contains(q, F.lit(" per payment method")), "payment_method")
-    why = unsupported_reasons(question)
+    why = unsupported_reasons(q)
     return F.struct(F.when(why == "", "answer").otherwise("clarify_or_reject").alias("behavior"), m.alias("metric"), d.alias("dimension"), first_keyword(q, EXPECTED_TIME).alias("time"), why.alias("unsupported"))
 
 
@@ -226,9 +228,13 @@ def _shows(text: Column, label: Column, tokens: dict[str, list[list[str]]]) -> C
     return out.otherwise(True)
 
 
-def score(sql: Column, params: Column, behavior: Column, pattern: Column, m: Column, d: Column, t: Column, unsupported: Column, executed: Column) -> Column:
-    """(correct, reason) of an answer, by keywords, conservatively."""
-    s = normalise_text(F.concat_ws(" ", extract_sql(sql), normalise_text(params)))
+def score_text(sql: Column, params: Column) -> Column:
+    """The normalised text by which an answer is scored: its SQL and parameters."""
+    return normalise_text(F.concat_ws(" ", extract_sql(sql), normalise_text(params)))
+
+
+def score(s: Column, behavior: Column, pattern: Column, m: Column, d: Column, t: Column, unsupported: Column, executed: Column) -> Column:
+    """(correct, reason) of an answer, by keywords, conservatively. s: a column that holds its score_text."""
     refused = any_of(s, REFUSALS) & ~any_of(s, ACTIONS)
     both = any_of(s, ("date_format", "month")) & F.contains(s, F.lit("ordertotal")) & F.contains(s, F.lit("customer")) & any_of(s, ("limit 5", "top 5"))
     groups = ~F.coalesce(pattern.isin(*GROUPED_PATTERNS), F.lit(False)) & d.isNull() & F.contains(s, F.lit(" group by "))

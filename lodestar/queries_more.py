@@ -106,6 +106,10 @@ def _texts(spark: SparkSession, path: str, texts: tuple[str, ...]) -> DataFrame:
     return spark.read.parquet(f"{path}/events.parquet").select(F.col("event_id").alias("id"), F.col("event_type").alias("system"), F.replace(F.get(F.array(*map(F.lit, texts)), at), F.lit("{n}"), n).alias("text"))
 
 
+def _normalised(d: DataFrame) -> DataFrame:
+    return d.withColumn("q", X.normalise_text(F.col("text")))
+
+
 def _sql_texts(texts: tuple[str, ...]) -> str:
     quoted = ", ".join("'" + t.replace("'", "''") + "'" for t in texts)
     return f"(SELECT event_id AS id, event_type AS system, replace([{quoted}][CAST(event_id % {len(texts)} AS INTEGER) + 1], '{{n}}', CAST(event_id % 97 + 1 AS VARCHAR)) AS text FROM events)"
@@ -176,7 +180,7 @@ _WHY = "array_to_string(list_distinct_ordered, '; ')"
 _REASONS = "[" + ", ".join(f"CASE WHEN contains({_NORM}, {_quote(m)}) THEN {_quote(r)} END" for m, r in UNSUPPORTED_MARKERS) + "]"
 _UNSUPPORTED = f"array_to_string(list_filter({_REASONS}, lambda x: x IS NOT NULL), '; ')"
 tagging("unsupported_reasons", f"SELECT id, {_UNSUPPORTED} AS reason, CASE WHEN {_UNSUPPORTED} = '' THEN 'answer' ELSE 'clarify_or_reject' END AS behavior FROM {_REQ}",
-        lambda d: d.select("id", X.unsupported_reasons(F.col("text")).alias("reason")).withColumn("behavior", F.when(F.col("reason") == "", "answer").otherwise("clarify_or_reject")))
+        lambda d: _normalised(d).select("id", X.unsupported_reasons(F.col("q")).alias("reason")).withColumn("behavior", F.when(F.col("reason") == "", "answer").otherwise("clarify_or_reject")))
 
 
 def _pattern():
@@ -189,7 +193,7 @@ _EXPECTED = f"""SELECT id, text, {_PATTERN_SQL} AS pattern, CASE WHEN {_UNSUPPOR
   CASE WHEN contains({_NORM}, 'average number of items per order') THEN 'quantity' ELSE {_case(EXPECTED_METRIC, _has(_NORM), "'order_count'")} END AS metric,
   CASE WHEN {_PATTERN_SQL} IN ({_GROUPED}) THEN CASE WHEN contains({_NORM}, 'by month') OR contains({_NORM}, 'daily') OR contains({_NORM}, 'weekly') THEN 'date' ELSE {_case(EXPECTED_DIMENSION, _has(_NORM))} END
     WHEN contains({_NORM}, ' per payment method') THEN 'payment_method' END AS dimension, {_case(EXPECTED_TIME, _has(_NORM))} AS time, {_UNSUPPORTED} AS unsupported FROM {_REQ}"""
-tagging("expected_labels", f"SELECT id, behavior, metric, dimension, time, unsupported FROM ({_EXPECTED})", lambda d: d.select("id", X.expected_labels(F.col("text"), _pattern()).alias("e")).select("id", "e.*"))
+tagging("expected_labels", f"SELECT id, behavior, metric, dimension, time, unsupported FROM ({_EXPECTED})", lambda d: _normalised(d).select("id", X.expected_labels(F.col("q"), _pattern()).alias("e")).select("id", "e.*"))
 
 _FENCED = r"(?is)```(?:sql)?\s*(.*?)```"
 _BODY = f"trim(CASE WHEN regexp_matches(text, '{_FENCED}') THEN trim(regexp_extract(text, '{_FENCED}', 1), E' \\n\\t') ELSE text END)"
@@ -215,9 +219,9 @@ SQL_SCORE = f"""SELECT id, CASE WHEN behavior <> 'answer' THEN refused WHEN NOT
 
 @register("score_rows", SQL_SCORE)
 def _score_rows(spark: SparkSession, path: str) -> DataFrame:
-    e = _texts(spark, path, REQUESTS).select("id", _pattern().alias("pattern"), X.expected_labels(F.col("text"), _pattern()).alias("e"))
-    both = e.join(_texts(spark, path, STATEMENTS).select("id", F.col("text").alias("sql")), "id")
-    found = X.score(F.col("sql"), F.lit(""), F.col("e.behavior"), F.col("pattern"), F.col("e.metric"), F.col("e.dimension"), F.col("e.time"), F.col("e.unsupported"), F.col("id") % 7 != 0)
+    e = _normalised(_texts(spark, path, REQUESTS)).select("id", _pattern().alias("pattern"), X.expected_labels(F.col("q"), _pattern()).alias("e"))
+    both = e.join(_texts(spark, path, STATEMENTS).select("id", X.score_text(F.col("text"), F.lit("")).alias("s")), "id")
+    found = X.score(F.col("s"), F.col("e.behavior"), F.col("pattern"), F.col("e.metric"), F.col("e.dimension"), F.col("e.time"), F.col("e.unsupported"), F.col("id") % 7 != 0)
     return both.select("id", found["correct"].alias("correct"))
 
 
