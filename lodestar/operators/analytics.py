@@ -16,6 +16,7 @@ from ..functions.timewin import in_window
 from ..plans.reports import ReportSpec, report, rows, share
 from ..sources.star import StarSchema
 from ..plans.star_join import star_join
+from .evaluation import at_ranks, between_ranks
 
 _MONTH = "yyyy-MM"
 
@@ -106,7 +107,9 @@ def top_decile_value(star: StarSchema, share_of: float = 0.1) -> DataFrame:
     """Mean lifetime value of the customers who spend most. Ranks the grouped table by value alone:
     ties at the border are in."""
     spent = star.table("Order").groupBy("o.CustomerId").agg(F.sum("o.OrderTotal").cast("double").alias("spent"))
-    border = spent.agg(F.percentile("spent", F.lit(1 - share_of)).alias("border"))
+    share = 1 - share_of
+    ranked = at_ranks(spent.withColumn("all", F.lit(0)), "all", "spent", {"below": (share, lambda n: F.floor((n - 1) * F.lit(share))), "above": (share, lambda n: F.ceil((n - 1) * F.lit(share)))})
+    border = ranked.select(between_ranks(F.col("n"), share, F.col("below"), F.col("above")).alias("border"))  # one row
     return spent.join(F.broadcast(border), F.col("spent") >= F.col("border")).agg(F.count(F.lit(1)).alias("customers"), F.round(F.avg("spent"), 2).alias("value"))
 
 

@@ -33,9 +33,14 @@ def listed(catalog: DataFrame, n: int, scope: str | None = None) -> DataFrame:
 
 
 def similar(catalog: DataFrame) -> DataFrame:
-    """Groups of reports that share pattern, metric and dimension: how many, and their ids."""
-    groups = catalog.groupBy("pattern", "metric", "dimension").agg(F.count_distinct("id").alias("n"), F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"))
-    return groups.where("n > 1")
+    """Reports that share pattern, metric and dimension with others: a row each, and how many share them."""
+    of = ["pattern", "metric", "dimension"]
+    each = catalog.select(*of, "id").distinct()
+    sizes = each.groupBy(*[F.col(c).alias(f"g_{c}") for c in of]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = F.lit(True)
+    for c in of:
+        same = same & F.col(c).eqNullSafe(F.col(f"g_{c}"))
+    return each.join(sizes, same).select(*of, "n", "id")
 
 
 def reuse(incoming: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Report patterns, in the order in which they are listed.
 PATTERNS = ("KPI", "Ranking", "Trend", "Comparison", "Exception", "Summary", "Segment", "Funnel", "Cohort", "Correlate", "Tabular")
+#: Shares of rows to either side of a rank that its bracket spans; accuracy of the bracket (its error is 1 / ACCURACY).
+BRACKET, ACCURACY = 0.001, 10_000
 
 
 def _pct(part: Column, whole: Column, digits: int = 1) -> Column:
@@ -25,9 +29,14 @@ def execution_ok(spark: SparkSession, total: int, failures: DataFrame) -> DataFr
 
 
 def unsafe_rate(texts: DataFrame, unsafe: Column) -> DataFrame:
-    """By system: percentage of unsafe texts and their ids. texts: system, id."""
+    """By system: unsafe texts and their percentage. texts: system."""
     flagged = texts.withColumn("unsafe", unsafe)
-    return flagged.groupBy("system").agg(F.count_if("unsafe").alias("unsafe"), _pct(F.count_if("unsafe"), F.count(F.lit(1)), 4).alias("pct"), F.array_join(F.transform(F.array_sort(F.collect_set(F.when(F.col("unsafe"), F.col("id")))), lambda x: x.cast("string")), ",").alias("ids"))
+    return flagged.groupBy("system").agg(F.count_if("unsafe").alias("unsafe"), _pct(F.count_if("unsafe"), F.count(F.lit(1)), 4).alias("pct"))
+
+
+def unsafe_ids(texts: DataFrame, unsafe: Column) -> DataFrame:
+    """(system, id) of each unsafe text: a row each, as there may be any number of them."""
+    return texts.where(unsafe).select("system", "id")
 
 
 def accuracy_summary(rows: DataFrame, systems: list[str]) -> DataFrame:
@@ -56,18 +65,47 @@ def pattern_distribution(labelled: DataFrame, patterns: tuple[str, ...] = PATTER
     return every.select("pattern", F.col("n").alias("count"), _pct(F.col("n"), F.sum("n").over(Window.partitionBy())).alias("pct"))
 
 
+def at_ranks(values: DataFrame, by: str, x: str, ranks: dict[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
+    """by, n (rows of the group), and the exact value of x at some ranks of each group, counted from 0.
+
+    ranks: by name, the share of rows about that rank, and the rank as a function of n. Null x is
+    skipped. An approximate quantile brackets each rank; what lies below the bracket is only counted,
+    so a group's one task sees the distinct values inside the bracket, not the group.
+    """
+    some = values.where(F.col(x).isNotNull()).select(by, F.col(x).alias("x"))
+    points = [min(max(s + d, 0.0), 1.0) for s, _ in ranks.values() for d in (-BRACKET, BRACKET)]
+    sizes = some.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("least"), F.max("x").alias("most"), F.percentile_approx("x", points, ACCURACY).alias("q"))
+    few = F.col("n") < ACCURACY  # the bracket may be narrower than one row
+    wanted = sizes.select(F.col(by).alias("g"), F.explode(F.array(*[
+        F.struct(F.lit(k).alias("name"), rank(F.col("n")).cast("long").alias("rank"), F.when(few, F.col("least")).otherwise(F.get("q", F.lit(2 * i))).alias("low"), F.when(few, F.col("most")).otherwise(F.get("q", F.lit(2 * i + 1))).alias("high"))
+        for i, (k, (_, rank)) in enumerate(ranks.items())
+    ])).alias("w")).select("g", "w.*")
+    inside = some.join(wanted, F.col(by).eqNullSafe(F.col("g"))).where(F.col("x") <= F.col("high"))
+    counted = inside.groupBy("g", "name", "rank", F.when(F.col("x") >= F.col("low"), F.col("x")).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("g", "name").orderBy(F.col("x").asc_nulls_first()))
+    reached = counted.withColumn("upto", upto).where((F.col("upto") > F.col("rank")) & F.col("x").isNotNull())
+    found = reached.groupBy("g").agg(*[F.min(F.when(F.col("name") == k, F.col("x"))).alias(k) for k in ranks])
+    return sizes.select(by, "n").join(found, F.col(by).eqNullSafe(F.col("g"))).drop("g")
+
+
+def between_ranks(n: Column, share: float, low: Column, high: Column) -> Column:
+    """The quantile of a share, from the values at the ranks below and above (n - 1) * share."""
+    at = (n - 1) * F.lit(share)
+    return F.when(F.floor(at) == F.ceil(at), low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+
 def latency_summary(long: DataFrame) -> DataFrame:
     """By stage: count, mean, median, p95 (the value at index round((n - 1) * 0.95), half to even), max.
 
-    long: stage, ms; null times are skipped. The quantile's rank is found by numbering each stage's
-    distinct values with their counts, so repeated times cost one row.
+    long: stage, ms; null times are skipped.
     """
-    timed = long.where(F.col("ms").isNotNull())
-    basic = timed.groupBy("stage").agg(F.count(F.lit(1)).alias("count"), F.round(F.avg("ms"), 2).alias("mean_ms"), F.round(F.percentile("ms", F.lit(0.5)), 2).alias("median_ms"), F.round(F.max("ms"), 2).alias("max_ms"))
-    upto = F.sum("n").over(Window.partitionBy("stage").orderBy("ms"))
-    ranked = timed.groupBy("stage", "ms").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
-    p95 = ranked.join(basic.select("stage", "count"), "stage").where(F.col("upto") > F.rint((F.col("count") - 1) * F.lit(0.95))).groupBy("stage").agg(F.round(F.min("ms"), 2).alias("p95_ms"))
-    return basic.join(p95, "stage")
+    basic = long.where(F.col("ms").isNotNull()).groupBy("stage").agg(F.count(F.lit(1)).alias("count"), F.round(F.avg("ms"), 2).alias("mean_ms"), F.round(F.max("ms"), 2).alias("max_ms"))
+    ranked = at_ranks(long, "stage", "ms", {
+        "below": (0.5, lambda n: F.floor((n - 1) * F.lit(0.5))), "above": (0.5, lambda n: F.ceil((n - 1) * F.lit(0.5))), "p95": (0.95, lambda n: F.rint((n - 1) * F.lit(0.95))),
+    })
+    median = between_ranks(F.col("n"), 0.5, F.col("below"), F.col("above"))
+    ranked = ranked.select(F.col("stage").alias("s"), F.round(median, 2).alias("median_ms"), F.round("p95", 2).alias("p95_ms"))
+    return basic.join(ranked, F.col("stage").eqNullSafe(F.col("s"))).drop("s")
 
 
 def annotation_template(questions: DataFrame, results: DataFrame, earlier: DataFrame) -> DataFrame:

@@ -176,7 +176,6 @@ tagging("closed_vocabulary", f"SELECT m IS NULL AND d IS NULL AS valid, COUNT(*)
         lambda d: d.groupBy(X.coverage(F.col("text"), F.col("text"))["valid"].alias("valid")).agg(F.count(F.lit(1)).alias("n")), _TERMS)
 
 _NORM = "regexp_replace(translate(lower(text), '‑–—`[]', '---'), '\\s+', ' ', 'g')"
-_WHY = "array_to_string(list_distinct_ordered, '; ')"
 _REASONS = "[" + ", ".join(f"CASE WHEN contains({_NORM}, {_quote(m)}) THEN {_quote(r)} END" for m, r in UNSUPPORTED_MARKERS) + "]"
 _UNSUPPORTED = f"array_to_string(list_filter({_REASONS}, lambda x: x IS NOT NULL), '; ')"
 tagging("unsupported_reasons", f"SELECT id, {_UNSUPPORTED} AS reason, CASE WHEN {_UNSUPPORTED} = '' THEN 'answer' ELSE 'clarify_or_reject' END AS behavior FROM {_REQ}",
@@ -201,8 +200,10 @@ tagging("extract_sql", f"SELECT id, {_BODY} AS sql FROM {_STM}", lambda d: d.sel
 for _name, _rules in (("scan_unsafe", "long"), ("scan_unsafe_short", "short"), ("scan_unsafe_full", "full")):
     tagging(_name, f"SELECT id, NULLIF(regexp_extract(lower({_BODY}), '\\b({'|'.join(X.UNSAFE[_rules])})(?:\\b|$)', 1), '') AS word FROM {_STM}", lambda d, r=_rules: d.select("id", X.unsafe_word(F.col("text"), r).alias("word")), STATEMENTS)
 tagging("scan_unsafe_substring", f"SELECT id, {' OR '.join(_has('lower(text)')(w) for w in X.UNSAFE_SUBSTRINGS)} AS unsafe FROM {_STM}", lambda d: d.select("id", X.unsafe_substring(F.col("text")).alias("unsafe")), STATEMENTS)
-tagging("unsafe_rate", f"""SELECT system, COUNT(*) FILTER (u) AS unsafe, ROUND(100.0 * COUNT(*) FILTER (u) / COUNT(*), 4) AS pct, COALESCE(string_agg(CASE WHEN u THEN CAST(id AS VARCHAR) END, ',' ORDER BY id), '') AS ids
-  FROM (SELECT id, system, regexp_matches(lower({_BODY}), '\\b({'|'.join(X.UNSAFE['long'])})(?:\\b|$)') AS u FROM {_STM}) GROUP BY 1""", lambda d: E.unsafe_rate(d, X.unsafe_word(F.col("text")).isNotNull()), STATEMENTS)
+_IS_UNSAFE = f"regexp_matches(lower({_BODY}), '\\b({'|'.join(X.UNSAFE['long'])})(?:\\b|$)')"
+tagging("unsafe_rate", f"SELECT system, COUNT(*) FILTER (u) AS unsafe, ROUND(100.0 * COUNT(*) FILTER (u) / COUNT(*), 4) AS pct FROM (SELECT system, {_IS_UNSAFE} AS u FROM {_STM}) GROUP BY 1",
+        lambda d: E.unsafe_rate(d, X.unsafe_word(F.col("text")).isNotNull()), STATEMENTS)
+tagging("unsafe_ids", f"SELECT system, id FROM {_STM} WHERE {_IS_UNSAFE}", lambda d: E.unsafe_ids(d, X.unsafe_word(F.col("text")).isNotNull()), STATEMENTS)
 
 
 def _tokens(label: str, tokens: dict, text: str) -> str:
@@ -308,7 +309,7 @@ _latest = lambda c: K.latest(c, by=("updated_at", "event_id"))
 catalogued("report_id", "SELECT event_id, id FROM catalog", lambda c: c.select("event_id", "id"))
 catalogued("dedupe_reports", f"SELECT id, event_id, pattern FROM ({_LAST})", lambda c: _latest(c).select("id", "event_id", "pattern"))
 catalogued("catalog_latest", f"SELECT id, event_id FROM ({_LAST}) WHERE scope = '8' ORDER BY updated_at DESC, id LIMIT 50", lambda c: K.listed(_latest(c), 50, "8").select("id", "event_id"))
-catalogued("similar_reports", "SELECT pattern, metric, dimension, COUNT(DISTINCT id) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM catalog GROUP BY 1, 2, 3 HAVING COUNT(DISTINCT id) > 1", K.similar)
+catalogued("similar_reports", "SELECT * FROM (SELECT *, COUNT(*) OVER (PARTITION BY pattern, metric, dimension) AS n FROM (SELECT DISTINCT pattern, metric, dimension, id FROM catalog)) WHERE n > 1", K.similar)
 catalogued("reuse_check", "SELECT event_id, id IN (SELECT id FROM catalog WHERE event_id % 50 <> 0 AND event_id % 3 = 0) AS reused FROM catalog WHERE event_id % 50 = 0", lambda c: K.reuse(c.where("event_id % 50 = 0"), c.where("event_id % 50 <> 0 and event_id % 3 = 0")).select("event_id", "reused"))
 catalogued("search_reports", "SELECT event_id FROM catalog WHERE contains(lower(question), 'click of 1')", lambda c: K.search(c, "CLICK of 1").select("event_id"))
 catalogued("delete_reports", "SELECT event_id FROM catalog WHERE id NOT IN (SELECT id FROM catalog WHERE event_id % 50 = 0)", lambda c: K.delete(c, c.where("event_id % 50 = 0").select("id").distinct()).select("event_id"))
@@ -341,16 +342,17 @@ on_star("fill_required", O.with_views("SELECT \"Id\", COALESCE(\"AdminComment\",
         lambda star: _iso(Q.fill_required(star.table("Customer").select("Id", "AdminComment"), Q.T.StructType().add("Id", "long", False).add("AdminComment", "string", False).add("LastLoginUtc", "timestamp_ntz", False).add("AllowsBilling", "integer", False).add("Points", "integer", False).add("Note", "string", True))))
 
 # ------------------------------------------------------------------ sources and sinks: through files in the shared folder
-
-
+#: Records of a JSON array or object that the readers' files hold at most.
+RECORDS = 1000
 
 
 @register("read_questions", "SELECT ROW_NUMBER() OVER (ORDER BY item_id) AS id, text AS question FROM benchmark")
 def _read_questions(spark: SparkSession, path: str) -> DataFrame:
     at = io.scratch(spark, "questions")
-    items = spark.read.parquet(f"{path}/benchmark.parquet")  # a list of questions, one file
-    listed = items.agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda s: s["text"]).alias("q"))
-    listed.select(F.to_json("q").alias("value")).write.text(at)
+    items = spark.read.parquet(f"{path}/benchmark.parquet")
+    first = F.col("item_id") - F.col("item_id") % RECORDS
+    listed = items.groupBy(first.alias("first")).agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda s: s["text"]).alias("q"))
+    listed.select("first", F.to_json("q").alias("value")).write.partitionBy("first").text(at)
     return io.read_questions(spark, at)
 
 
@@ -359,16 +361,17 @@ def _read_results(spark: SparkSession, path: str) -> DataFrame:
     at = io.scratch(spark, "results")
     items = spark.read.parquet(f"{path}/benchmark.parquet")
     rows = items.select(F.col("item_id").alias("id"), F.lit("a").alias("system"), F.col("text").alias("sql"), F.when(F.col("item_id") % 7 == 0, "failed").otherwise("success").alias("status"))
-    rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).write.text(at)
-    return io.read_results(spark, at).select("id", "system", "sql", "status")
+    rows.groupBy(F.floor(F.col("id") / RECORDS)).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).select("value").write.text(at)
+    return io.read_results(spark, at, lines=True).select("id", "system", "sql", "status")
 
 
 @register("read_report_catalog", SQL["dedupe_reports"].replace("SELECT id, event_id, pattern FROM", "SELECT id, event_id, pattern, metric FROM"))
 def _read_catalog(spark: SparkSession, path: str) -> DataFrame:
     at = io.scratch(spark, "catalog")
     c = _latest(_catalog(spark, path))
-    c.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("id", F.struct("event_id", "pattern", "metric"))))).alias("value")).write.text(at)
-    return io.read_report_catalog(spark, at, "struct<event_id:bigint,pattern:string,metric:bigint>")
+    report = F.struct("id", F.struct("event_id", "pattern", "metric"))
+    c.groupBy(F.floor(F.col("event_id") / RECORDS)).agg(F.to_json(F.map_from_entries(F.collect_list(report))).alias("value")).select("value").write.text(at)
+    return io.read_report_catalog(spark, at, "struct<event_id:bigint,pattern:string,metric:bigint>", lines=True)
 
 
 @register("write_catalog", SQL["dedupe_reports"])

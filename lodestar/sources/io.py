@@ -26,19 +26,27 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """(id, question) of files that each hold one JSON array of strings; ids count from 1."""
-    listed = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("i", "question"))
-    return listed.select((F.col("i") + 1).cast("long").alias("id"), "question")
+    """(id, question) of files that each hold one JSON array of strings; ids count from 1.
 
+    A long list is dealt to folders first=N, N being the number of questions before the folder's file.
+    """
+    listed = spark.read.text(path, wholetext=True)
+    before = F.col("first").cast("long") if "first" in listed.columns else F.lit(0)
+    each = listed.select(before.alias("first"), F.posexplode(F.from_json("value", "array<string>")).alias("i", "question"))
+    return each.select((F.col("first") + F.col("i") + 1).cast("long").alias("id"), "question")
 
-def read_results(spark: SparkSession, path: str, schema: str = RESULT) -> DataFrame:
-    """Rows of files that each hold one JSON array of objects."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
 
+def read_results(spark: SparkSession, path: str, schema: str = RESULT, lines: bool = False) -> DataFrame:
+    """Rows of files that each hold one JSON array of objects; lines: that hold one such array a line."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
-def read_report_catalog(spark: SparkSession, path: str, report: str) -> DataFrame:
-    """(id, and the fields of report, a struct type) of files that each hold one JSON object keyed by id."""
-    each = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{report}>")).alias("id", "report"))
+
+def read_report_catalog(spark: SparkSession, path: str, report: str, lines: bool = False) -> DataFrame:
+    """(id, and the fields of report, a struct type) of files that each hold one JSON object keyed by id.
+
+    lines: that hold one such object a line.
+    """
+    each = spark.read.text(path, wholetext=not lines).select(F.explode(F.from_json("value", f"map<string,{report}>")).alias("id", "report"))
     return each.select("id", "report.*")
 
 

@@ -162,6 +162,38 @@ def test_latency_percentile_rounds_half_to_even(spark):
     assert (got["count"], got.median_ms, got.max_ms, got.p95_ms) == (11, 6.0, 11.0, 11.0)  # round(9.5) is 10
 
 
+def test_ranks_are_exact_behind_a_bracket(spark):
+    n = 25_000  # enough for the bracket to be narrower than the group
+    x = (F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) ** 2 / 1e3)).alias("ms")
+    times = spark.range(n).select(F.lit("s").alias("stage"), x).unionByName(spark.createDataFrame([(None, 3.0), (None, 5.0), ("none", None)], "stage string, ms double"))
+    got = {r.stage: r for r in evaluation.latency_summary(times).collect()}
+    ordered = sorted(r.ms for r in times.where("stage = 's'").collect())
+    median = (ordered[n // 2 - 1] + ordered[n // 2]) / 2
+    assert got["s"]["count"] == n and got["s"].median_ms == pytest.approx(median, abs=0.006)
+    assert got["s"].p95_ms == pytest.approx(ordered[round((n - 1) * 0.95)], abs=0.006)
+    assert set(got) == {"s", None} and (got[None].median_ms, got[None].p95_ms) == (4.0, 5.0)
+
+
+def test_readers_take_arrays_a_file_or_a_line(spark, tmp_path):
+    (tmp_path / "q" / "first=0").mkdir(parents=True)
+    (tmp_path / "q" / "first=2").mkdir()
+    (tmp_path / "q" / "first=0" / "a.json").write_text('["x",\n "y"]')
+    (tmp_path / "q" / "first=2" / "b.json").write_text('["z"]')
+    assert rows(io.read_questions(spark, str(tmp_path / "q"))) == [(1, "x"), (2, "y"), (3, "z")]
+    assert rows(io.read_questions(spark, str(tmp_path / "q" / "first=0" / "a.json")).select("id", "question")) == [(1, "x"), (2, "y")]
+    (tmp_path / "r.json").write_text('[{"id": 1},\n {"id": 2}]')
+    (tmp_path / "l.json").write_text('[{"id": 1}]\n[{"id": 2}, {"id": 3}]')
+    assert io.read_results(spark, str(tmp_path / "r.json")).count() == 2
+    assert io.read_results(spark, str(tmp_path / "l.json"), lines=True).count() == 3
+    (tmp_path / "c.json").write_text('{"a": {"n": 1}}\n{"b": {"n": 2}}')
+    assert rows(io.read_report_catalog(spark, str(tmp_path / "c.json"), "struct<n:int>", lines=True)) == [("a", 1), ("b", 2)]
+
+
+def test_similar_reports_take_null(spark):
+    c = spark.createDataFrame([("a", "p", 1, None), ("b", "p", 1, None), ("a", "p", 1, None), ("c", "p", 2, 3)], "id string, pattern string, metric int, dimension int")
+    assert rows(catalog.similar(c).select("id", "n")) == [("a", 2), ("b", 2)]
+
+
 def test_result_set_equal_counts_repeats(spark):
     a, b = spark.createDataFrame([(1,), (1,)], "x int"), spark.createDataFrame([(1,)], "x int")
     assert [evaluation.result_set_equal(p, q).first()[0] for p, q in ((a, a), (a, b), (b, a), (a, b.withColumnRenamed("x", "y")))] == [True, False, False, False]
