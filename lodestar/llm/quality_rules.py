@@ -1,13 +1,15 @@
 """Operator 3, quality rules by robust multivariate outliers.
 
 Counts of every whole text become a vector of transformed statistics. For each language and source a
-minimum-covariance-determinant estimate describes the ordinary texts: from the coordinate-wise median
-and spread, each step orders the group by Mahalanobis distance, takes the nearest SUPPORT of it, and
-estimates mean and covariance from those, until the steps are done. A text whose distance from its
-group's estimate exceeds CUTOFF is rejected; so is one that fails the base rules.
+minimum-covariance-determinant estimate describes the ordinary texts: from each of several robust
+starts, each step orders the group by Mahalanobis distance, takes the nearest half of it, and estimates
+mean and covariance from those, until the determinant falls no more. Of the starts, the one that ends
+with the least determinant stands; mean and covariance of the texts near it are the group's estimate,
+so junk below half of a group has no part in it. A text whose distance from its group's estimate
+exceeds CUTOFF is rejected; so is one that fails the base rules.
 
 A step is one grouped aggregation: rows fall into bins of distance, each bin sums its vectors and
-their products, and the bins below the support's share give the next estimate. So a group of any
+their products, and the bins below the support's share, the last of them in part, give the next one. So a group of any
 size is spread over all tasks, and what meets in one place is some hundred bins of sums.
 
 Sources with fewer than LEAST_ROWS texts are pooled by language; a pool that is still smaller
@@ -17,6 +19,7 @@ are groups of their own. An empty table gives an empty result; equal rows get eq
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +35,9 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 #: Base rules: fewer words than this, or a larger percentage of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 20, 30
-#: Share of a group that the estimate rests on; concentration steps.
-SUPPORT, STEPS = 0.75, 4
+#: Share of a group that the steps rest on; a fall of the determinant's log below which they end; the
+#: share of normal texts within the distance up to which texts count in the final estimate.
+SUPPORT, CONVERGED, INSIDE = 0.5, 1e-3, 0.975
 #: Squared Mahalanobis distance beyond which a text is rejected.
 CUTOFF = 40.0
 #: Texts a group needs for an estimate of its own.
@@ -156,64 +160,137 @@ def distance(x: Column, mean: Column, precision: Column) -> Column:
     return F.greatest(out, F.lit(0.0))
 
 
-def _precision(cov: np.ndarray) -> list[float]:
-    inverse = np.linalg.inv(cov + np.diag(np.array(list(VECTOR.values())) ** 2))
-    return [float(inverse[i, j] * (1 if i == j else 2)) for i in range(len(VECTOR)) for j in range(i, len(VECTOR))]
+def _chi2(x: float, p: int) -> float:
+    """The share of a chi-squared distribution of p (even) degrees of freedom below x."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(p // 2))
+
+
+def _chi2_quantile(share: float, p: int) -> float:
+    low, high = 0.0, 1000.0
+    while high - low > 1e-9:
+        middle = (low + high) / 2
+        low, high = (middle, high) if _chi2(middle, p) < share else (low, middle)
+    return low
+
+
+def _scale(share: float) -> float:
+    """What the covariance of the nearest share of normal rows is multiplied by to describe all of them."""
+    p = len(VECTOR)
+    return share / _chi2(_chi2_quantile(share, p), p + 2)
+
+
+def _precision(cov: np.ndarray) -> tuple[list[float], float]:
+    """The inverse, and the log of the determinant in floors, of cov with a variance of a squared floor at least in every direction."""
+    floors = np.array(list(VECTOR.values()))
+    values, vectors = np.linalg.eigh(cov / np.outer(floors, floors))
+    values = np.maximum(values, 1.0)
+    inverse = (vectors / values) @ vectors.T / np.outer(floors, floors)
+    return [float(inverse[i, j] * (1 if i == j else 2)) for i in range(len(VECTOR)) for j in range(i, len(VECTOR))], float(np.log(values).sum())
 
 
 _ESTIMATE = "lang string, source string, n long, mean array<double>, precision array<double>"
+_STARTED = f"{_ESTIMATE}, start int, size double, moved boolean"
+#: Quantiles of each coordinate that the starts rest on.
+_QUANTILES = [i / 20 for i in range(21)]
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """Median and interquartile spread of each coordinate."""
-    parts = [F.percentile_approx(F.get("x", F.lit(i)), [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(len(VECTOR))]
+    """Starts of each group: the median with the interquartile spread, with the length of the shortest half as spread,
+
+    the middle of the shortest half with its length, and that middle with the floors.
+    """
+    parts = [F.percentile_approx(F.get("x", F.lit(i)), _QUANTILES, 1000).alias(f"q{i}") for i in range(len(VECTOR))]
     spread = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *parts)
 
     def estimate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            q = [np.array([list(r) for r in f[f"q{i}"]]) for i in range(len(VECTOR))]
-            f["mean"] = [[float(c[r, 1]) for c in q] for r in range(len(f))]
-            f["precision"] = [_precision(np.diag([((c[r, 2] - c[r, 0]) / 1.349) ** 2 for c in q])) for r in range(len(f))]
-            yield f[["lang", "source", "n", "mean", "precision"]]
+            out = []
+            for r in f.itertuples(index=False):
+                q = np.array([list(getattr(r, f"q{i}")) for i in range(len(VECTOR))])
+                wide = q[:, 10:] - q[:, :11]
+                k, each = wide.argmin(1), np.arange(len(q))
+                half, middle = wide[each, k] / 1.349, (q[each, k] + q[each, k + 10]) / 2
+                for start, (mean, deviation) in enumerate([(q[:, 10], (q[:, 15] - q[:, 5]) / 1.349), (q[:, 10], half), (middle, half), (middle, 0 * half)]):
+                    out.append((r.lang, r.source, r.n, mean.tolist(), _precision(np.diag(deviation**2))[0], start, math.inf, True))
+            yield pd.DataFrame(out, columns=["lang", "source", "n", "mean", "precision", "start", "size", "moved"])
 
-    return spread.mapInPandas(estimate, _ESTIMATE)
+    return spread.mapInPandas(estimate, _STARTED)
 
 
 def _with(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """rows with the mean and precision of their group; nulls are groups too."""
-    e = estimates.select(F.col("lang").alias("e_lang"), F.col("source").alias("e_source"), F.col("n").alias("e_n"), "mean", "precision")
+    named = {"lang": "e_lang", "source": "e_source", "n": "e_n"}
+    e = estimates.select(*[F.col(c).alias(named.get(c, c)) for c in estimates.columns])
     return rows.join(e, rows["lang"].eqNullSafe(e["e_lang"]) & rows["source"].eqNullSafe(e["e_source"]), "left")
 
 
-def _step(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """The estimate from the nearest SUPPORT of each group."""
+def _sums(weight: Column | None = None) -> list[Column]:
+    """Sums of a group's vectors and of their products."""
     p = len(VECTOR)
     x = lambda i: F.get("x", F.lit(i))
-    binned = _with(rows, estimates).withColumn("bin", F.least(F.floor(16 * F.log2(1 + distance(F.col("x"), F.col("mean"), F.col("precision")))), F.lit(400)).cast("int"))
-    sums = [F.sum(x(i)).alias(f"s{i}") for i in range(p)] + [F.sum(x(i) * x(j)).alias(f"p{i}_{j}") for i in range(p) for j in range(i, p)]
-    bins = binned.groupBy("lang", "source", "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
+    of = lambda c: F.sum(c if weight is None else F.when(weight, c))
+    return [of(x(i)).alias(f"s{i}") for i in range(p)] + [of(x(i) * x(j)).alias(f"p{i}_{j}") for i in range(p) for j in range(i, p)]
+
+
+def _moments(f: pd.DataFrame, weights: np.ndarray, m: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from the sums in the rows of f, each with a weight; m: weighted number of vectors."""
+    p = len(VECTOR)
+    mean = np.array([(f[f"s{i}"].to_numpy() * weights).sum() for i in range(p)]) / m
+    cov = np.zeros((p, p))
+    for i in range(p):
+        for j in range(i, p):
+            cov[i, j] = cov[j, i] = (f[f"p{i}_{j}"].to_numpy() * weights).sum() / m - mean[i] * mean[j]
+    return mean, cov
+
+
+def _step(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """The estimate from the nearest SUPPORT of each group; of the border bin, the share that completes it."""
+    d = F.greatest(distance(F.col("x"), F.col("mean"), F.col("precision")), F.lit(2.0**-20))
+    binned = _with(rows, estimates).withColumn("bin", F.least(F.floor(16 * F.log2(d)), F.lit(400)).cast("int"))
+    bins = binned.groupBy("lang", "source", "start", "bin").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), *_sums())
+    scale = _scale(SUPPORT)
 
     def estimate(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("bin")
-        total = f["n"].sum()
-        near = f[(f["n"].cumsum() - f["n"]) < SUPPORT * total]
-        m = near["n"].sum()
-        mean = np.array([near[f"s{i}"].sum() for i in range(p)]) / m
-        cov = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                cov[i, j] = cov[j, i] = near[f"p{i}_{j}"].sum() / m - mean[i] * mean[j]
-        return pd.DataFrame({"lang": [f["lang"].iloc[0]], "source": [f["source"].iloc[0]], "n": [int(total)], "mean": [mean.tolist()], "precision": [_precision(cov)]})
+        n = f["n"].to_numpy().astype(float)
+        m = SUPPORT * n.sum()
+        mean, cov = _moments(f, np.clip((m - (n.cumsum() - n)) / n, 0, 1), m)
+        precision, size = _precision(cov * scale)
+        return pd.DataFrame({"lang": [f["lang"].iloc[0]], "source": [f["source"].iloc[0]], "n": [int(n.sum())], "mean": [mean.tolist()], "precision": [precision], "start": [f["start"].iloc[0]], "size": [size], "moved": [bool(size < f["size"].iloc[0] - CONVERGED)]})
+
+    return bins.groupBy("lang", "source", "start").applyInPandas(estimate, _STARTED)
+
+
+def _reweighted(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Mean and covariance of the rows within the quantile INSIDE of each estimate."""
+    inside = distance(F.col("x"), F.col("mean"), F.col("precision")) <= _chi2_quantile(INSIDE, len(VECTOR))
+    sums = _with(rows, estimates).groupBy("lang", "source").agg(F.first("e_n").alias("n"), F.first("mean").alias("mean"), F.first("precision").alias("precision"), F.count(F.when(inside, 1)).alias("m"), *_sums(inside))
+    scale = _scale(INSIDE)
+
+    def estimate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for k in np.flatnonzero(f["m"].to_numpy() > 0):
+                mean, cov = _moments(f.iloc[k : k + 1], np.ones(1), float(f["m"].iloc[k]))
+                f.at[f.index[k], "mean"], f.at[f.index[k], "precision"] = mean.tolist(), _precision(cov * scale)[0]
+            yield f[["lang", "source", "n", "mean", "precision"]]
 
-    return bins.groupBy("lang", "source").applyInPandas(estimate, _ESTIMATE)
+    return sums.mapInPandas(estimate, _ESTIMATE)
 
 
-def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+def estimates(rows: DataFrame) -> DataFrame:
     """(lang, source, n, mean, precision) of each group of rows (lang, source, x)."""
-    found = materialise(_start(rows), "start")
-    for _ in range(steps):
-        found = materialise(_step(rows, found), "estimates")
-    return found
+    found, ended = materialise(_start(rows), "start"), []
+    while True:
+        stepped = materialise(_step(rows, found), "estimates")
+        ended.append(stepped.where(~F.col("moved")))
+        found = stepped.where("moved")
+        if found.isEmpty():
+            break
+    every = ended[0]
+    for f in ended[1:]:
+        every = every.unionByName(f)
+    best = every.groupBy("lang", "source").agg(F.min_by(F.struct("n", "mean", "precision"), F.struct("size", "start")).alias("e")).select("lang", "source", "e.*")
+    return materialise(_reweighted(rows, materialise(best, "best")), "estimates")
 
 
 def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS) -> DataFrame:
