@@ -3,29 +3,32 @@
 A fingerprint sums the bits of the hashes of a text's word shingles. Two fingerprints link when at
 most MOST_BITS bits differ; a component is what links reach.
 
-Only distinct fingerprints are searched, so copies cost one row. The search is a forest of
-vantage-point trees under the Hamming distance:
-
-* roots: fingerprints are cut into blocks, and two that differ in MOST_BITS bits agree on all but
-  MOST_BITS of them; a root holds the fingerprints that agree on one choice of blocks. More blocks
-  are used as fingerprints grow in number, so that a root's expected size stays below ROOT_ROWS.
-* shards: a root that is still large (a group of near copies) is split between Spark tasks by the
-  distance to a vantage point, at the median, again and again. Rows whose distance lies within
-  MOST_BITS of the border also visit the other side: by the triangle inequality no other row can
-  have a partner there.
-* branches: inside a task the same rule splits further, prunes, and ends in blocks compared in full.
+Only distinct fingerprints are searched, so copies cost one row. Fingerprints of unrelated texts all
+lie about 32 bits apart, so a radius of MOST_BITS prunes next to nothing under the plain distance. But
+of m bits that differ, some one of m // 2 + 1 blocks of bits holds one at most. So there is a
+vantage-point tree for each block, whose metric is the Hamming distance within the block, and whose
+radius is the least that some block must meet; what a tree brings together is compared in full.
+
+* planting: the upper levels of each tree are fitted to a bounded sample. A node has a vantage point
+  and shells of distance from it.
+* shards: every fingerprint goes down each tree to the shell that is its home, and visits those lower
+  shells that the triangle inequality does not rule out. The leaves are shards, dealt to Spark's tasks.
+* branches: inside a task the same rule splits further. What lies within MOST_BITS of a vantage point
+  is linked through it and not compared again; where the block's distances no longer differ, the
+  distance of all bits takes over; branches of few rows are compared in full.
 
 Each task returns a spanning forest of the links it found, never all pairs; components come from
-propagating least labels with pointer jumping, on tables cut by writes. Nothing of this is collected.
+propagating least labels with pointer jumping, on tables cut by writes. Nothing of this is collected
+but the sample.
 
 Null and empty texts have fingerprint zero, linked like any other. Null doc_ids have no part in a
-component's smallest doc_id. Equal rows give equal rows.
+component's smallest doc_id. Equal rows give equal rows. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +37,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, materialise, slices, table
+from .common import Words, discard, materialise, slices, table
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
-#: Expected rows of a root, and rows at home in a shard from which Spark splits it.
-ROOT_ROWS, SHARD_ROWS = 64, 20_000
-#: Rows times rows that a task compares in full; rows compared at once.
-LEAF, STRIPE = 1 << 20, 64
+#: Rows at home in a shard, about; sampled fingerprints for each shard, and of all at most.
+SHARD_ROWS, PER_SHARD, SAMPLE = 8192, 32, 1 << 17
+#: Rows times rows that a branch compares in full; rows compared at once; visitors of a shard taken at once.
+LEAF, STRIPE, VISITORS = 1 << 16, 64, 1 << 20
+#: Members of a component that one member is linked to by a task.
+FAN = 64
+ALL_BITS = np.uint64((1 << 64) - 1)
 
 
 # ---------------------------------------------------------------------------- fingerprints
@@ -85,11 +91,36 @@ def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+# ---------------------------------------------------------------------------- shells
+
+
+def blocks(most: int) -> tuple[list[np.uint64], int]:
+    """Masks of the blocks of bits, and how many bits differ at most in some block of linked fingerprints."""
+    n = most // 2 + 1
+    cuts = [64 * i // n for i in range(n + 1)]
+    return [np.uint64((1 << b) - (1 << a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], most // n
+
+
+def distances(fp: np.ndarray, vantage: np.uint64, mask: np.uint64) -> np.ndarray:
+    return np.bitwise_count((fp ^ vantage) & mask).astype(np.int64)
+
+
+def shells(d: np.ndarray, reach: int) -> np.ndarray:
+    """Borders of shells that are 2 reach + 1 wide, one of them at the median; none if a shell holds all."""
+    wide, low, high, middle = 2 * reach + 1, int(d.min()), int(d.max()), int(np.median(d))
+    return np.arange(middle - (middle - low) // wide * wide, high, wide)
+
+
+def visits(d: np.ndarray, borders: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shell of each distance, and the lowest and highest that the triangle inequality leaves open."""
+    return np.searchsorted(borders, d), np.searchsorted(borders, d - reach), np.searchsorted(borders, d + reach)
+
+
 # ---------------------------------------------------------------------------- search in a task
 
 
 def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (u, v) between fingerprints as links to the least one of each component."""
+    """Links (u, v) as a spanning forest, in which no fingerprint has more than FAN links to greater ones."""
     nodes, inverse = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = inverse[: len(u)], inverse[len(u) :]
     label = np.arange(len(nodes))
@@ -101,8 +132,11 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = label[label]
         if (label == before).all():
             break
-    far = label != np.arange(len(nodes))
-    return nodes[far], nodes[label[far]]
+    order = np.argsort(label, kind="stable")
+    first = np.searchsorted(label[order], label[order])
+    place = np.arange(len(nodes)) - first
+    up = order[first + np.maximum(place - 1, 0) // FAN]
+    return nodes[order[place > 0]], nodes[up[place > 0]]
 
 
 def _compare(home: np.ndarray, others: np.ndarray, most: int) -> tuple[list, list]:
@@ -123,121 +157,164 @@ def _compare(home: np.ndarray, others: np.ndarray, most: int) -> tuple[list, lis
     return us, vs
 
 
-def links(home: np.ndarray, visitors: np.ndarray, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among home, and between home and visitors: a vantage-point tree."""
-    us, vs, branches = [], [], [(home, visitors)]
+def branch(h: np.ndarray, w: np.ndarray, vantage: np.uint64, mask: np.uint64, reach: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Homes h and visitors w by shells around the vantage point; nothing where neither distance tells them apart."""
+    best: list[tuple[np.ndarray, np.ndarray]] = []
+    for m, r in ((mask, reach), (ALL_BITS, most)):
+        d = distances(h, vantage, m)
+        borders = shells(d, r)
+        if not len(borders):
+            continue
+        own, low, _ = visits(d, borders, r)
+        _, low_w, high_w = visits(distances(w, vantage, m), borders, r)
+        parts = [(h[own == k], np.concatenate([w[(low_w <= k) & (k <= high_w)], h[(low <= k) & (k < own)]])) for k in range(len(borders) + 1)]
+        parts = [p for p in parts if len(p[0])]
+        if not best or _work(parts) < _work(best):
+            best = parts
+        if 4 * _work(best) < 3 * _work([(h, w)]):
+            break
+    return best
+
+
+def _work(parts: list[tuple[np.ndarray, np.ndarray]]) -> int:
+    return sum(len(h) * (len(h) + 2 * len(w)) for h, w in parts)
+
+
+def links(home: np.ndarray, visitors: np.ndarray, mask: np.uint64 = ALL_BITS, reach: int = MOST_BITS, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Links among home, and between home and visitors, that connect all those linked and within reach under the mask."""
+    us, vs, branches = [home[:0]], [home[:0]], [(home, visitors)]
     while branches:
         h, w = branches.pop()
-        if len(h) <= STRIPE or len(h) * (len(h) + len(w)) <= LEAF:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        if len(h) * (len(h) + len(w)) > LEAF:
+            vantage = h[len(h) // 2]
+            near, near_w = distances(h, vantage, ALL_BITS) <= most, distances(w, vantage, ALL_BITS) <= most
+            for x in (h[near], w[near_w]):
+                us.append(x)
+                vs.append(np.full(len(x), vantage))
+            h, w = h[~near], np.concatenate([w, h[near & (h != vantage)]])
+            if not len(h):
+                continue
+            parts = branch(h, w, vantage, mask, reach, most)
+        if parts:
+            branches += parts
+        else:
             u, v = _compare(h, w, most)
             us += u
             vs += v
-            continue
-        d, dw = np.bitwise_count(h ^ h[len(h) // 2]).astype(np.int16), np.bitwise_count(w ^ h[len(h) // 2]).astype(np.int16)
-        border = min(int(np.median(d)), int(d.max()) - 1)
-        near = d <= border
-        branches.append((h[near], w[dw <= border + most]))
-        branches.append((h[~near], np.concatenate([w[dw > border - most], h[near & (d > border - most)]])))
-    u, v = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (us, vs))
-    apart = u != v
-    return _forest(u[apart], v[apart])
-
-
-def _small(shard: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside many small shards at once: each row against the k-th row after it."""
-    us, vs, k = [], [], 1
-    index = np.arange(len(fp))
-    while len(index):
-        index = index[index + k < len(fp)]
-        index = index[shard[index] == shard[index + k]]
-        hit = index[np.bitwise_count(fp[index] ^ fp[index + k]) <= most]
-        us.append(fp[hit + k])
-        vs.append(fp[hit])
-        k += 1
-    return (np.concatenate(us), np.concatenate(vs)) if us else (fp[:0], fp[:0])
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return _forest(u[u != v], v[u != v])
 
 
 def _search(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by shard; a shard may go on in the next batch."""
+    """Links of shards. Batches are sorted by shard, homes first; a shard may go on in the next batch."""
+    masks, reach = blocks(most)
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def done(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        shard, fp, home = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        edges = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
-        size = np.diff(edges)
-        small = np.repeat(size <= STRIPE, size)
-        found = [_small(shard[small], fp[small], most)]
-        for i in np.flatnonzero(size > STRIPE):
-            own = slice(edges[i], edges[i + 1])
-            found.append(links(fp[own][home[own]], fp[own][~home[own]], most))
-        u, v = _forest(*(np.concatenate([f[i] for f in found]) for i in (0, 1)))
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=schema)
+    own, home, away, new = -1, [], [], True  # new: the homes were not compared with each other yet
+
+    def found() -> Iterator[pa.RecordBatch]:
+        if home and (new or away):
+            u, v = links(np.concatenate(home), np.concatenate([home[0][:0], *away]), masks[own >> TREE], reach, most)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=schema)
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        new = (new[0], new[1].view(np.uint64), new[2].astype(bool))
-        held.append(new)
-        ended = np.flatnonzero(new[0] != new[0][-1])
-        if len(ended) or (len(held) > 1 and held[-2][0][-1] != new[0][-1]):
-            cut = int(ended[-1]) + 1 if len(ended) else 0
-            parts = [*held[:-1], tuple(x[:cut] for x in new)]
-            held = [tuple(x[cut:] for x in new)]
-            yield done(parts)
-    if held:
-        yield done(held)
+        shard, fp, at_home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        fp, at_home = fp.view(np.uint64), at_home.astype(bool)
+        edges = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1), len(shard)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a == b:
+                continue
+            if shard[a] != own:
+                yield from found()
+                own, home, away, new = int(shard[a]), [], [], True
+            x, y = fp[a:b][at_home[a:b]], fp[a:b][~at_home[a:b]]
+            home += [x] if len(x) else []
+            away += [y] if len(y) else []
+            if sum(map(len, away)) > VISITORS:
+                yield from found()
+                away, new = [], False
+    yield from found()
 
 
 # ---------------------------------------------------------------------------- search over shards
 
+#: A node: vantage point, mask, reach, borders of its shells, and the node of each shell; None is a leaf.
+Node = tuple[np.uint64, np.uint64, int, np.ndarray, list[int]] | None
+#: Shards are numbered from here on by tree.
+TREE = 40
+
 
-def _roots(fp: Column, rows: int, most: int) -> Column:
-    """One long for each choice of blocks on which two linked fingerprints must agree for some choice."""
-    blocks = most + 1
-    while rows >> (64 * (blocks - most) // blocks) > ROOT_ROWS and blocks < 2 * most:
-        blocks += 1
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [sum(((1 << cuts[b + 1]) - (1 << cuts[b])) for b in chosen) for chosen in combinations(range(blocks), blocks - most)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return F.array(*[F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(signed(m)).cast("long"))) for i, m in enumerate(masks)])
+def plant(sample: np.ndarray, mask: np.uint64, reach: int, most: int, leaf: int = PER_SHARD) -> list[Node]:
+    """A vantage-point tree whose leaves hold leaf of the sample at most, where distances tell them apart."""
+    tree: list[Node] = [None]
+    open_ = [(0, sample)]
+    while open_:
+        k, x = open_.pop()
+        if len(x) <= leaf:
+            continue
+        for m, r in ((mask, reach), (ALL_BITS, most)):
+            candidates = x[:: max(1, len(x) // 8)][:8]
+            vantage = max(candidates, key=lambda v: distances(x, v, m).var())  # noqa: B023
+            d = distances(x, vantage, m)
+            borders = shells(d, r)
+            if len(borders):
+                own = np.searchsorted(borders, d)
+                children = list(range(len(tree), len(tree) + len(borders) + 1))
+                tree += [None] * len(children)
+                tree[k] = (vantage, m, r, borders, children)
+                open_ += [(c, x[own == i]) for i, c in enumerate(children)]
+                break
+    return tree
+
+
+def deal(tree: list[Node], fp: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each leaf that some fp reach: its number, those fp, and whether they are at home there."""
+    stack = [(0, fp, np.ones(len(fp), bool))]
+    while stack:
+        k, x, home = stack.pop()
+        if tree[k] is None:
+            yield k, x, home
+            continue
+        vantage, mask, reach, borders, children = tree[k]
+        own, low, high = visits(distances(x, vantage, mask), borders, reach)
+        high = np.where(home, own, high)
+        for i, c in enumerate(children):
+            here = (low <= i) & (i <= high)
+            if here.any():
+                stack.append((c, x[here], home[here] & (own[here] == i)))
 
 
-def _split(rows: DataFrame, most: int, shard_rows: int) -> DataFrame:
-    """rows (shard, fp, home) with large shards split by the distance to a vantage point."""
-    done: list[DataFrame] = []
-    while True:
-        sizes = materialise(rows.where("home").groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp")).alias("vantage")).where(F.col("n") > shard_rows), "large")
-        if sizes.isEmpty():
-            return _all([*done, rows])
-        done.append(rows.join(sizes, "shard", "left_anti"))
-        large = materialise(rows.join(sizes, "shard").select("shard", "fp", "home", F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))).alias("d")), "split")
-        each = large.where("home").groupBy("shard").agg(F.percentile("d", F.lit(0.5)).alias("middle"), F.max("d").alias("most"))
-        border = materialise(each.select("shard", F.least(F.floor("middle").cast("int"), F.col("most") - 1).alias("border")), "borders")
-        far = F.col("d") - F.col("border")
-        near_side = F.when(F.col("home"), far <= 0).otherwise(far <= most)
-        far_side = far > F.when(F.col("home") & (far > 0), 0).otherwise(-most)
-        sided = large.join(border, "shard").select("fp", "shard", F.explode(F.filter(F.array(
-            F.when(near_side, F.struct(F.lit(0).alias("side"), F.col("home").alias("home"))),
-            F.when(far_side, F.struct(F.lit(1).alias("side"), (F.col("home") & (far > 0)).alias("home"))),
-        ), lambda s: s.isNotNull())).alias("to"))
-        rows = materialise(sided.select(F.xxhash64("shard", "to.side").alias("shard"), "fp", "to.home"), "shards")
-
-
-def _all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def forest(fps: DataFrame, most: int = MOST_BITS, shard_rows: int = SHARD_ROWS) -> list[list[Node]]:
+    """A tree for each block of bits, fitted to a sample of fps (distinct, column fp)."""
+    n = fps.count()
+    wanted = min(SAMPLE, PER_SHARD * ceil(n / shard_rows))
+    share = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < F.lit(ceil(wanted / max(n, 1) * (1 << 30)))
+    sample = np.array([r.fp for r in fps.where(share).select("fp").limit(2 * SAMPLE).collect()], np.int64).view(np.uint64)
+    masks, reach = blocks(most)
+    return [plant(np.sort(sample), m, reach, most) for m in masks]
 
 
 def link_forest(fps: DataFrame, most: int = MOST_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Links (u, v) that connect all that fps (distinct, column fp) within most bits of each other connects."""
-    rows = fps.count()
-    dealt = fps.select(F.explode(_roots(F.col("fp"), rows, most)).alias("shard"), "fp", F.lit(True).alias("home"))
-    shards = _split(dealt, most, shard_rows)
-    return shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda batches: _search(batches, most), "u long, v long")
+    trees = forest(fps, most, shard_rows)
+
+    def dealt(fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for t, tree in enumerate(trees):
+            for leaf, x, home in deal(tree, fp):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t << TREE | leaf)), pa.array(x.view(np.int64)), pa.array(home)], names=["shard", "fp", "home"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(batch.column(0).to_numpy().view(np.uint64))
+            if sum(map(len, held)) >= 1 << 18:
+                yield from dealt(np.concatenate(held))
+                held = []
+        if held:
+            yield from dealt(np.concatenate(held))
+
+    shards = fps.select("fp").mapInArrow(run, "shard long, fp long, home boolean")
+    return shards.repartition("shard").sortWithinPartitions("shard", F.desc("home")).mapInArrow(lambda batches: _search(batches, most), "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -248,19 +325,27 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         lower = materialise(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")), "labels")
         if lower.where("moved").isEmpty():
+            discard(both, lower)
             return labels
         up = lower.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        labels = materialise(lower.join(up, "label").select("node", F.least("label", "up").alias("label")), "labels")
+        jumped = materialise(lower.join(up, "label").select("node", F.least("label", "up").alias("label")), "labels")
+        discard(labels, lower)
+        labels = jumped
+
 
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", most: int = MOST_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """One row per document: its id, fp, and component_id, the smallest id that its links reach.
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", most: int = MOST_BITS) -> DataFrame:
-    """One row per document: its id, fp, and component_id, the smallest id that its links reach."""
+    Joins on a label or fingerprint that many rows share have written tables on both sides, so that
+    adaptive execution can split them.
+    """
     fps = materialise(fingerprints(docs, [id], text), "fingerprints")
     distinct = materialise(fps.groupBy("fp").agg(F.min(id).alias("least")), "distinct")
-    labels = components(link_forest(distinct.select("fp"), most))
-    named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    named = materialise(named, "named")
-    linked = materialise(named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fp", "component_id"), "classes")
+    labels = components(link_forest(distinct.select("fp"), most, shard_rows))
+    named = materialise(distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")), "named")
+    least = materialise(named.groupBy("label").agg(F.min("least").alias("component_id")), "least")
+    linked = materialise(named.join(least, "label").select("fp", "component_id"), "classes")
+    discard(distinct, labels, named, least)
     return fps.join(linked, "fp").select(id, "fp", "component_id")
 
 

@@ -335,22 +335,60 @@ def linked(x):
     return [groups.find(i) for i in range(len(x))]
 
 
+def reached(u, v, nodes):
+    groups = Groups()
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        groups.join(a, b)
+    return [groups.find(int(f)) for f in nodes]
+
+
 def test_trees_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LEAF", 128)
     x = clustered(np.random.default_rng(5))
-    expected = linked(x)
-    u, v = simhash.links(x, x[:0])
-    root = dict(zip(u.tolist(), v.tolist(), strict=True))
-    assert [root.get(int(f), int(f)) for f in x] == [int(x[k]) for k in expected]
-    # shards split by Spark, far below the usual size
+    expected = [int(x[k]) for k in linked(x)]
+    assert reached(*simhash.links(x, x[:0]), x) == expected
+    masks, reach = simhash.blocks(4)
+    assert sum(m.bit_count() for m in map(int, masks)) == 64 and reach == 1
+    found = [simhash.links(x, x[:0], m, reach, 4) for m in masks]
+    assert reached(*(np.concatenate([f[i] for f in found]) for i in (0, 1)), x) == expected
+    # visitors that come in pieces, shards split by Spark, far below the usual sizes
+    monkeypatch.setattr(simhash, "VISITORS", 20)
     fps = spark.createDataFrame([(int(f),) for f in x.view(np.int64)], "fp long")
-    labels = {r.node: r.label for r in simhash.components(simhash.link_forest(fps, shard_rows=100)).collect()}
+    assert all(sum(node is None for node in tree) > 4 for tree in simhash.forest(fps, shard_rows=50))
+    labels = {r.node: r.label for r in simhash.components(simhash.link_forest(fps, shard_rows=50)).collect()}
     groups = defaultdict(set)
     for f, k in zip(x.view(np.int64).tolist(), expected, strict=True):
         groups[k].add(labels.get(f, f))
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_visitors_are_compared_with_homes():
+    """Homes of one leaf and the visitors it was dealt hold each link of a home, for some tree."""
+    x = clustered(np.random.default_rng(6))
+    masks, reach = simhash.blocks(4)
+    pairs = set()
+    for m in masks:
+        for _, fp, home in simhash.deal(simhash.plant(x[::4], m, reach, 4, leaf=8), x):
+            near = np.bitwise_count(fp[home][:, None] ^ fp[None, :]) <= 4
+            pairs |= {(min(a, b), max(a, b)) for i, j in np.argwhere(near) for a, b in [(int(fp[home][i]), int(fp[j]))]}
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 4
+    assert {(min(a, b), max(a, b)) for i, j in np.argwhere(near) for a, b in [(int(x[i]), int(x[j]))]} <= pairs
+
+
+def test_trees_prune_at_production_size(spark, monkeypatch):
+    """Over the texts of sf0.1: all links of all pairs, from branches around vantage points, few pairs compared in full."""
+    rows = simhash.fingerprints(table(spark, "/root/testdata/sf0.1", "documents"), []).distinct()
+    x = np.unique(np.array([r.fp for r in rows.collect()], np.int64).view(np.uint64))
+    branches, compared = [], []
+    branch, compare = simhash.branch, simhash._compare
+    monkeypatch.setattr(simhash, "branch", lambda *a: branches.append(len(a[0])) or branch(*a))
+    monkeypatch.setattr(simhash, "_compare", lambda h, w, most: compared.append(len(h) * (len(h) // 2 + len(w))) or compare(h, w, most))
+    masks, reach = simhash.blocks(4)
+    found = [simhash.links(x, x[:0], m, reach, 4) for m in masks]
+    assert reached(*(np.concatenate([f[i] for f in found]) for i in (0, 1)), x) == [int(x[k]) for k in linked(x)]
+    assert len(branches) > 100 and sum(compared) < 0.3 * len(x) ** 2 / 2
+
+
 # ------------------------------------------------------------------ 8
 
 
