@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from lodestar.llm import (
     decontamination,
     language_model,
-    licenses,
     packing,
     pii,
     quality_classifier,
@@ -437,39 +436,6 @@ def test_words_encode_like_whole_texts():
     assert encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-# ------------------------------------------------------------------ 9
-
-
-def test_alignment_pairs_equal_words_in_order():
-    rng = random.Random(9)
-    for _ in range(500):
-        a, b = ([rng.randint(0, 12) for _ in range(rng.randint(0, 25))] for _ in range(2))
-        pairs = licenses.align(a, b)
-        assert all(a[i] == b[j] for i, j in pairs)
-        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
-    assert licenses.align(list("abcXdef"), list("abcdef")) == [(0, 0), (1, 1), (2, 2), (4, 3), (5, 4), (6, 5)]
-
-
-def test_increasing_is_longest():
-    rng = random.Random(10)
-    for _ in range(200):
-        places = rng.sample(range(20), rng.randint(0, 8))
-        best = max((bin(m).count("1") for m in range(1 << len(places)) if (s := [p for k, p in enumerate(places) if m >> k & 1]) == sorted(s)), default=0)
-        assert len(licenses._increasing([(p, k) for k, p in enumerate(places)])) == best
-
-
-def test_licenses_in_long_and_repeated_texts(spark, docs, no_docs):
-    noise = " ".join(f"w{i % 97}" for i in range(9000))
-    rows = [(1, f"{noise}\nReleased under the MIT License.\n{noise}"), (2, "Licensed under CC BY-NC 4.0"), (3, noise), (4, None), (None, licenses.TEMPLATES["mit"].replace("copies", "COPIES,"))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = licenses.find_licenses(df).collect()
-    best = {r.doc_id: r for r in sorted(found, key=lambda r: r.license_coverage)}
-    assert best[1].license == "mit-line" and rows[0][1][best[1].start : best[1].end].startswith("Released")
-    assert best[2].license == "cc-by-nc-4.0-line" and best[None].license == "mit" and 3 not in best and 4 not in best
-    assert "gpl-3.0-line" in {r.license for r in licenses.find_licenses(docs).where("doc_id = 12").collect()}
-    assert licenses.find_licenses(no_docs).count() == 0
-
-
 # ------------------------------------------------------------------ 10
 
 
