@@ -57,6 +57,34 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Bits of a bitmap of keys, whatever their number: what is broadcast has a row for 64 of them.
+KEY_BITS = 1 << 24
+
+
+def _marked(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """df with _hit: whether keys may hold the key of a row. False is certain, true may be chance."""
+    slot = F.xxhash64(key).bitwiseAND(F.lit(KEY_BITS - 1))
+    of_keys = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("_bits"))
+    bits = F.broadcast(materialise(of_keys, "bitmap"))
+    hit = F.coalesce(F.expr("shiftright(_bits, cast(_slot & 63 as int)) & 1") == 1, F.lit(False))
+    return df.withColumn("_slot", slot).join(bits, F.shiftright("_slot", 6) == F.col("_word"), "left").withColumn("_hit", hit).drop("_slot", "_word", "_bits")
+
+
+def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """df less the rows whose key is in keys (that column alone, no nulls).
+
+    Rows that a bitmap of keys rules out are not moved. With very many keys it rules out few, and this is
+    a plain join.
+    """
+    marked = _marked(df, keys, key)
+    return marked.where(~F.col("_hit")).drop("_hit").unionByName(marked.where("_hit").drop("_hit").join(keys, key, "left_anti"))
+
+
+def among(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is in keys (that column alone, no nulls); others are ruled out as in without."""
+    return _marked(df, keys, key).where("_hit").drop("_hit").join(keys, key, "left_semi")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -1,28 +1,27 @@
-"""Near copies by the exact Jaccard similarity of sets of word shingles.
+"""What fingerprints miss of near copies: pairs by the exact Jaccard similarity of their sets of word shingles.
 
-Two rows are near copies when the sets of their SHINGLE-word shingles have a similarity of SIMILARITY or
-more. Rows stand in order of id (nulls last), then of their place in the table; a row is dropped when
-it is a near copy of a row before it that is kept. So no two rows that stay are near copies, and each
-row that goes is one of a row that stays.
+A helper of operator 7. Two rows are near copies when their sets of shingles have the similarity. Rows have an
+order; a row is dropped when it is a near copy of a row before it that is kept. So no two rows that stay are
+near copies, and each row that goes is one of a row that stays.
 
 Candidates come from a prefix filter, which loses no pair: under one order of all shingles, two sets of
-that similarity share a shingle among the first n - ceil(SIMILARITY n) + 1 of each, n being its size.
+that similarity share a shingle among the first n - ceil(similarity n) + 1 of each, n being its size.
 Shingles that are frequent in a sample come last; any order gives the same result, this one keeps common
-passages out of the prefixes. Rows with equal sets are collapsed before.
+passages out of the prefixes.
 
 Pairs whose shingle parities differ in more places than the similarity allows are not compared in full.
 
-Rows that share a prefix shingle meet in its order; each is compared with the first few of them only. A
+Rows that share a prefix shingle meet in their order; each is compared with the first few of them only. A
 row with no unseen row before it is decided; the others meet again among themselves, with more
 comparisons, until none is left. A group of near copies falls in the first round, in linear work.
 
-A text of fewer words is one shingle. Null and empty texts have none, and are copies of each other.
-Shingles are told apart by 64-bit hashes, equal sets by 128 bits.
+A text of fewer words is one shingle. Null and empty texts have none, and meet no other. Shingles are told
+apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, grams, materialise, mix, slices
+from .common import Words, among, discard, grams, materialise, mix, slices
 
-SHINGLE, SIMILARITY = 5, 0.8
 #: Texts in which frequent shingles are looked for, and how many of those are known.
 SAMPLE, FREQUENT = 20_000, 1 << 17
 #: Rows of a shingle that others are compared with in the first round, and how that grows by round.
@@ -44,7 +42,7 @@ PARITY = 512
 STRIPE = 1 << 20
 
 
-def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of all texts, sorted within a text, and where each text's begin (and end)."""
     words = Words(texts)
     h, first, n_words = words.hashes(), words.first, words.counts()
@@ -86,18 +84,18 @@ def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return top[:, 0].copy().view(np.uint64), top[:, 1]
 
 
-def _prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(at, digest, n, prefix) of texts (at, text)."""
-    frequent, times = _frequent(texts, shingle)
+def prefixes(texts: DataFrame, shingle: int, similarity: float, fingerprint: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """(at, id, fp, n, prefix, odd) of texts (at, id, text): fingerprint, size of the set, its prefix and its parities."""
+    frequent, times = _frequent(texts.select("at", "text"), shingle)
+    whole = lambda name: T.StructField(name, T.LongType())
+    schema = T.StructType([whole("at"), texts.schema["id"], whole("fp"), whole("n"), *[T.StructField(name, T.ArrayType(T.LongType())) for name in ("prefix", "odd")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                g, offsets = shingle_sets(part.column(1), shingle)
+                g, offsets = shingle_sets(part.column(2), shingle)
                 n = np.diff(offsets)
                 own = np.repeat(np.arange(len(n)), n)
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(g ^ np.uint64(k)))]) for k in (0, 0x5851F42D4C957F2D)]
-                digest = np.stack([s[offsets[1:]] - s[offsets[:-1]] for s in sums], 1)
                 rank = np.zeros(len(g), np.int64)
                 if len(frequent):
                     slot = np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)
@@ -108,11 +106,11 @@ def _prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 slots = own * PARITY + (mix(g) % np.uint64(PARITY)).astype(np.int64)
                 odd = np.packbits(np.bincount(slots, minlength=len(n) * PARITY) & 1).view(np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), _lists(digest.ravel(), np.arange(len(n) + 1) * 2), pa.array(n, pa.int64()), _lists(g[taken], np.concatenate([[0], np.cumsum(length)])), _lists(odd, np.arange(len(n) + 1) * (PARITY // 64))],
-                    names=["at", "digest", "n", "prefix", "odd"],
+                    [part.column(0), part.column(1), pa.array(fingerprint(part.column(2)).view(np.int64)), pa.array(n, pa.int64()), _lists(g[taken], np.concatenate([[0], np.cumsum(length)])), _lists(odd, np.arange(len(n) + 1) * (PARITY // 64))],
+                    names=["at", "id", "fp", "n", "prefix", "odd"],
                 )
 
-    return texts.mapInArrow(run, "at long, digest array<long>, n long, prefix array<long>, odd array<long>")
+    return texts.mapInArrow(run, schema)
 
 
 def _meet(batches: Iterator[pa.RecordBatch], reach: int, similarity: float) -> Iterator[pa.RecordBatch]:
@@ -150,11 +148,11 @@ def _meet(batches: Iterator[pa.RecordBatch], reach: int, similarity: float) -> I
         held = (token[last], at[last], n[last])
 
 
-def _close(pairs: DataFrame, prefixes: DataFrame, similarity: float) -> DataFrame:
+def _close(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """Those pairs (a, b) whose parities do not show more differences than the similarity allows."""
     both = pairs
     for k in "ab":
-        both = both.join(prefixes.select(F.col("at").alias(k), F.col("n").alias(f"n_{k}"), F.col("odd").alias(f"odd_{k}")), k)
+        both = both.join(sketches.select(F.col("at").alias(k), F.col("n").alias(f"n_{k}"), F.col("odd").alias(f"odd_{k}")), k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +168,7 @@ def _close(pairs: DataFrame, prefixes: DataFrame, similarity: float) -> DataFram
 def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those pairs (a, b) whose sets have the similarity."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct()
-    sets = materialise(_with_sets(texts.join(needed, "at", "left_semi").select("at", "text"), shingle), "sets")
+    sets = materialise(_with_sets(among(texts, materialise(needed, "needed"), "at").select("at", "text"), shingle), "sets")
     both = pairs.join(sets.select(F.col("at").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("at").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,29 +201,27 @@ def _decide(links: DataFrame, late: DataFrame) -> tuple[DataFrame, DataFrame]:
         links = materialise(links.join(fell.withColumnRenamed("at", "a"), "a", "left_anti").join(fell.withColumnRenamed("at", "b"), "b", "left_anti").select("a", "b"), "links")
 
 
-def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, reach: int = REACH) -> DataFrame:
-    """docs without the rows that are near copies of a row before them that is kept."""
-    rows = materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at")), "rows")
-    texts = rows.select("at", F.col(f"row.`{text}`").cast("string").alias("text"))
-    prefixes = materialise(_prefixes(texts, shingle, similarity), "prefixes")
-    ids = rows.select("at", F.col(f"row.`{id}`").alias("id"))
-    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "at")
-    least = materialise(prefixes.select("at", "digest").join(ids, "at").groupBy("digest").agg(F.min(order).alias("o")).select("o.*"), "least")
-    live = prefixes.select("at", "n", "prefix").join(least, "at").select(F.explode("prefix").alias("token"), "at", "n", "no_id", "id")
+def copies(live: DataFrame, sketches: DataFrame, texts: DataFrame, shingle: int, similarity: float, reach: int = REACH) -> DataFrame:
+    """(at) of the rows that are near copies of a row before them that is kept.
+
+    live: (token, at, n, no_id, id) for each shingle of each prefix, in whose order of no_id, id and at rows
+    stand; sketches: as prefixes gives them; texts: (at, text).
+    """
     dropped = []
     while True:
         met = live.repartition("token").sortWithinPartitions("token", "no_id", "id", "at").select("token", "at", "n").mapInArrow(lambda batches, reach=reach: _meet(batches, reach, similarity), "a long, b long")
         met = materialise(met.distinct(), "pairs")
-        close = materialise(_close(met.where("a >= 0"), prefixes, similarity), "close")
+        close = materialise(_close(met.where("a >= 0"), sketches, similarity), "close")
         links = materialise(_similar(close, texts, shingle, similarity), "similar")
         fell, waiting = _decide(links, met.where("a < 0").select(F.col("b").alias("at")))
-        dropped.append(fell)
+        dropped.append(materialise(fell, "dropped"))
         waiting = materialise(waiting, "waiting")
+        discard(met, close, links)
         if waiting.isEmpty():
             break
         live = materialise(live.join(waiting, "at", "left_semi").select("token", "at", "n", "no_id", "id"), "tokens")
         reach *= WIDEN
-    gone = rows.select("at").join(least, "at", "left_anti")
-    for fell in dropped:
+    gone = dropped[0]
+    for fell in dropped[1:]:
         gone = gone.unionByName(fell)
-    return rows.join(materialise(gone, "gone"), "at", "left_anti").select("row.*")
+    return gone

@@ -37,9 +37,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, discard, materialise, slices, table
+from . import near_copies
+from .common import Words, discard, materialise, slices, table, without
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
+#: For dropping near duplicates: words of a shingle, and similarity of sets of shingles.
+SET_SHINGLE, SIMILARITY = 5, 0.8
 #: Rows at home in a shard, about; sampled fingerprints for each shard, and of all at most.
 SHARD_ROWS, PER_SHARD, SAMPLE = 8192, 32, 1 << 17
 #: Rows times rows that a branch compares in full; rows compared at once; visitors of a shard taken at once.
@@ -333,30 +336,46 @@ def components(links: DataFrame) -> DataFrame:
         labels = jumped
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", most: int = MOST_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row per document: its id, fp, and component_id, the smallest id that its links reach.
+def classes(fps: DataFrame, least: Column, most: int = MOST_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(fp, first) of each distinct fingerprint of the table fps: the minimum of least over all rows that its links reach.
 
-    Joins on a label or fingerprint that many rows share have written tables on both sides, so that
-    adaptive execution can split them.
+    Joins on a label that many rows share have written tables on both sides, so that adaptive execution
+    can split them.
     """
-    fps = materialise(fingerprints(docs, [id], text), "fingerprints")
-    distinct = materialise(fps.groupBy("fp").agg(F.min(id).alias("least")), "distinct")
+    distinct = materialise(fps.groupBy("fp").agg(F.min(least).alias("first")), "distinct")
     labels = components(link_forest(distinct.select("fp"), most, shard_rows))
-    named = materialise(distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")), "named")
-    least = materialise(named.groupBy("label").agg(F.min("least").alias("component_id")), "least")
-    linked = materialise(named.join(least, "label").select("fp", "component_id"), "classes")
-    discard(distinct, labels, named, least)
+    named = materialise(distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "named")
+    first = materialise(named.groupBy("label").agg(F.min("first").alias("first")), "first")
+    out = materialise(named.drop("first").join(first, "label").select("fp", "first"), "classes")
+    discard(distinct, labels, named, first)
+    return out
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", most: int = MOST_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """One row per document: its id, fp, and component_id, the smallest id that its links reach."""
+    fps = materialise(fingerprints(docs, [id], text), "fingerprints")
+    linked = classes(fps, F.col(id), most, shard_rows).withColumnRenamed("first", "component_id")
     return fps.join(linked, "fp").select(id, "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that are not the smallest id of their component; null ids stay.
+def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SET_SHINGLE, similarity: float = SIMILARITY, most: int = MOST_BITS, reach: int = near_copies.REACH) -> DataFrame:
+    """docs with one row of each group of near duplicates; columns as they are.
 
-    All rows that carry the id that stays are kept.
+    Rows stand in order of id (nulls last), then of their place in the table. Of fingerprints that links
+    reach, the first row stays. Sets of shingles with the least similarity differ in some ten bits, which no
+    tree can search; so of the rows that stay, those whose sets have the similarity with a row that stands
+    before them and is kept are found exactly, and go as well (see near_copies).
     """
-    found = near_duplicates(docs, id, text)
-    rest = found.where(F.col(id) != F.col("component_id")).select(id).distinct()
-    return docs.join(rest, id, "left_anti")
+    rows = materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at")), "rows")
+    texts = rows.select("at", F.col(f"row.`{id}`").alias("id"), F.col(f"row.`{text}`").cast("string").alias("text"))
+    sketches = materialise(near_copies.prefixes(texts, shingle, similarity, lambda t: _fingerprints(t, shingle, SEED)), "sketches")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "at")
+    found = classes(sketches.select("fp", "id", "at"), order, most)
+    copied = materialise(sketches.select("fp", "at").join(found, "fp").where(F.col("at") != F.col("first.at")).select("at"), "copied")
+    live = without(sketches, copied, "at").select(F.explode("prefix").alias("token"), "at", "n", F.col("id").isNull().alias("no_id"), "id")
+    gone = copied.unionByName(near_copies.copies(live, sketches, texts.drop("id"), shingle, similarity, reach))
+    discard(sketches, found)
+    return without(rows, gone, "at").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

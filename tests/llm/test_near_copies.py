@@ -3,9 +3,10 @@
 import random
 
 import corpus_pipeline
+import xxhash
 from pyspark.sql import functions as F
 
-from lodestar.llm import near_copies
+from lodestar.llm import common, simhash
 
 from .conftest import documents
 
@@ -15,12 +16,29 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
 
 
+def fingerprint(text):
+    w = (text or "").encode().lower().split()
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 5]), 42) for i in range(max(1, len(w) - 4))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 def kept(rows):
     """Places of the rows that stay; rows: (id, text)."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    fps, label = [fingerprint(t) for _, t in rows], {}
+    for i in order:  # the first row that links reach
+        if i not in label:
+            open_, label[i] = [i], i
+            while open_:
+                a = open_.pop()
+                for b in order:
+                    if b not in label and (fps[a] ^ fps[b]).bit_count() <= 4:
+                        label[b] = i
+                        open_.append(b)
     out = []
-    for i in sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i)):
+    for i in order:
         x = shingles(rows[i][1])
-        if not any((len(x & y) >= 0.8 * len(x | y) - 1e-9) for y in (shingles(rows[j][1]) for j in out)):
+        if label[i] == i and not any((len(x & y) >= 0.8 * len(x | y) - 1e-9) for y in (shingles(rows[j][1]) for j in out) if x):
             out.append(i)
     return sorted(out)
 
@@ -51,9 +69,17 @@ def corpus():
 def test_near_copies_match_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int").coalesce(1)
-    for reach in (2,):
-        got = sorted(r.n for r in near_copies.drop_near_copies(df, reach=reach).collect())
-        assert got == kept(rows)
+    got = sorted(r.n for r in simhash.drop_near_duplicates(df, reach=2).collect())
+    assert got == kept(rows)
+
+
+def test_bitmaps_change_no_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "KEY_BITS", 128)
+    df = spark.createDataFrame([(i % 70, i) for i in range(200)], "k long, n int")
+    for keys in ([], [3, 3, 69, 900], list(range(65))):
+        of = spark.createDataFrame([(k,) for k in keys], "k long")
+        assert sorted(r.n for r in common.without(df, of, "k").collect()) == [i for i in range(200) if i % 70 not in keys]
+        assert sorted(r.n for r in common.among(df, of, "k").collect()) == [i for i in range(200) if i % 70 in keys]
 
 
 def test_stage_drops_edited_copies_row_by_row(spark):
