@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontamination, near_copies, packing, pii, quality_rules
+from lodestar.llm import decontamination, packing, pii, quality_rules, simhash
 from lodestar.llm.common import materialise, table
 
 
@@ -15,8 +15,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are no near copy of one kept before them."""
-    return near_copies.drop_near_copies(docs)
+    """One document of each group of near duplicates."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
