@@ -174,6 +174,14 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def rolling(h: np.ndarray):
+    """A function from places and a length to the Karp-Rabin hashes of the runs of h that begin there."""
+    n = len(h)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(h) * _power(_P, n, "p") if n else h, out=sums[1:])
+    return lambda at, length: (sums[at + length] - sums[at]) * _power(_P_INV, max(n, 1), "inv")[at]
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20):
     """Pieces of a batch whose texts take about most_bytes (one long text may take more)."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0)

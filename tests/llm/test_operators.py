@@ -221,6 +221,44 @@ def test_tiles_match_brute_force():
         assert all(item[a : a + n] == doc[b : b + n] for a, b, n in got)
 
 
+def test_tiles_of_repeated_words_stay_small():
+    rng = np.random.default_rng(1)
+    same = np.full(20_000, 7, np.uint64)
+    assert decontamination.tiles(same, same[:1000]) == [(0, 0, 1000)]
+    few = rng.integers(0, 2, 20_000).astype(np.uint64)
+    item = rng.integers(0, 2, 300).astype(np.uint64)
+    got = decontamination.tiles(np.concatenate([few, item[100:], few, item[:100]]), item)
+    assert got[0][2] >= 200 and sum(n for *_, n in got) == 300
+    words = rng.integers(0, 1 << 62, 900_000).astype(np.uint64)  # 5 MB of text
+    assert sum(n for *_, n in decontamination.tiles(np.concatenate([words, words[50:90], words[10:50]]), words[10:90])) == 80
+
+
+def test_contamination_matches_brute_force(spark):
+    """Items that repeat themselves, share wording with each other, are short, are equal; texts that hold parts of them."""
+    rng = random.Random(13)
+    common = [f"c{i}" for i in range(8)]
+    items = []
+    for k in range(30):
+        own = [f"i{k}_{rng.randrange(12)}" for _ in range(rng.choice([1, 6, 14, 40]))]
+        items.append((k % 28, " ".join(common[: rng.randrange(9)] + own + own[: rng.randrange(7)] * 2)))
+    texts = []
+    for k in range(120):
+        w = [f"n{rng.randrange(50)}" for _ in range(rng.randrange(30))]
+        for _ in range(rng.randrange(4)):
+            own = rng.choice(items)[1].split()
+            a = rng.randrange(len(own))
+            w += own[a : a + rng.randrange(4, 50)] + own[:a] * rng.randrange(2)
+        texts.append((k, " ".join(w)))
+    got = sorted((r.doc_id, r.item_id, r.covered_words) for r in decontamination.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect())
+    expected = []
+    for i, t in texts:
+        for j, item in items:
+            n, covered = len(item.split()), plain_tiles(t.split(), item.split(), 5)
+            if covered and covered >= 0.5 * n:
+                expected.append((i, j, covered))
+    assert got == sorted(expected) and len(got) > 40
+
+
 def test_contamination_survives_reordering(spark, docs, no_docs):
     item = [f"t{i}" for i in range(40)]
     mixed = " ".join(["noise"] * 9 + item[20:] + ["gap"] + item[:20])
