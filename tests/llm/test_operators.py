@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import (
     decontamination,
-    language_model,
     packing,
     pii,
     quality_classifier,
@@ -92,52 +91,6 @@ def test_classifier_learns_a_bad_word():
     assert np.mean((top >= 0.5) == (np.array(grades[700:]) == 2)) > 0.95
 
 
-# ------------------------------------------------------------------ 2
-
-
-def test_elias_fano_finds_members_only():
-    rng = np.random.default_rng(0)
-    for values in (rng.integers(0, 1 << 63, 500, dtype=np.uint64), np.arange(300, dtype=np.uint64), np.zeros(0, np.uint64), np.array([7, 1 << 63], np.uint64)):
-        values = np.unique(values)
-        found = language_model.Split64.of(values)
-        q = np.concatenate([values, rng.integers(0, 1 << 63, 300, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
-        expected = {int(v): i for i, v in enumerate(values)}
-        assert found.find(q).tolist() == [expected.get(int(x), -1) for x in q]
-
-
-def test_quantised_counts_are_close():
-    c = np.array([0, 1, 2, 63, 64, 100, 5000, 10**6])
-    assert np.allclose(language_model.dequantised(language_model.quantised(c)), c, rtol=0.07)
-
-
-def scores(rows):
-    train = [lowered(t) + [None] for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1]
-    c, b = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["<s>"] + t[:-1], t, strict=True))
-    n, v = sum(c.values()), len(c)
-    out = []
-    for i, t in rows:
-        held, t = zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1, lowered(t) + [None]
-        base = full = 0.0
-        for p, w in zip(["<s>"] + t[:-1], t, strict=True):
-            one = (c[w] + 0.5) / (n + 0.5 * (v + 1))
-            base += math.log10(one)
-            full += math.log10(0.8 * one + 0.2 * min(1, float(language_model.dequantised(language_model.quantised(np.array([b[p, w]])))[0]) / max(len(train) if p == "<s>" else c[p], 1)))
-        out.append((i, held, len(t), sum(c[w] > 0 for w in t), n, base, full))
-    return out
-
-
-@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 3000, "shard_bytes": 500}])
-def test_scores_match_counting(docs, sizes):
-    got = sorted((tuple(r) for r in language_model.score(docs, **sizes).collect()), key=str)
-    expected = sorted(scores([(r[0], r[1]) for r in documents()]), key=str)
-    assert [g[:5] for g in got] == [e[:5] for e in expected]
-    assert np.allclose([g[5:] for g in got], [e[5:] for e in expected], rtol=1e-9)
-
-
-def test_scores_of_nothing(no_docs):
-    assert language_model.score(no_docs).count() == 0
-
-
 # ------------------------------------------------------------------ 3
 
 
