@@ -97,12 +97,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
+#: Bytes hashed at a time, but for longer words.
+BLOCK = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 
 def _power(base: np.uint64, n: int, name: str) -> np.ndarray:
     if name not in _powers or len(_powers[name]) < n:
-        out = np.full(max(n, 1 << 20), base, np.uint64)
+        out = np.full(max(n, BLOCK + 1), base, np.uint64)
         out[0] = 1
         np.multiply.accumulate(out, out=out)
         _powers[name] = out
@@ -136,29 +138,36 @@ class Words:
         self.spans = at - at[0]
         self.raw = raw
         self.data = _LOWER[raw] if lower else raw
-        inside = ~_SPACE[raw]
-        edge = np.zeros(len(raw) + 1, bool)  # a text begins here
-        edge[self.spans[:-1]] = True
-        before = np.zeros(len(raw), bool)
-        before[1:] = inside[:-1]
-        before &= ~edge[:-1]
-        self.starts = np.flatnonzero(inside & ~before)
-        after = np.zeros(len(raw), bool)
-        after[:-1] = inside[1:]
-        after &= ~edge[1:]
-        self.ends = np.flatnonzero(inside & ~after) + 1
+        inside = np.zeros(len(raw) + 2, np.int8)  # a byte of white space at both ends
+        np.logical_not(_SPACE[raw], out=inside[1:-1].view(bool))
+        step = np.diff(inside)
+        # words end and begin where a text does
+        border = self.spans[(self.spans > 0) & (self.spans < len(raw))]
+        border = border[(inside[border] == 1) & (inside[border + 1] == 1)]
+        self.starts, self.ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        if len(border):
+            border = np.unique(border)
+            self.starts, self.ends = (np.insert(x, np.searchsorted(x, border), border) for x in (self.starts, self.ends))
         self.first = np.searchsorted(self.starts, self.spans)
 
     def __len__(self) -> int:
         return len(self.starts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, the same in every process."""
-        n = len(self.data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power(_P, n, "p"), out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * _power(_P_INV, n, "inv")[self.starts] if len(self) else np.zeros(0, np.uint64)
-        return mix(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        """A 64-bit hash of each word, the same in every process; made of some BLOCK bytes at a time."""
+        out = np.empty(len(self.starts), np.uint64)
+        a = 0
+        while a < len(out):
+            at = int(self.starts[a])
+            b = max(a + 1, int(np.searchsorted(self.ends, at + BLOCK, "right")))
+            n = int(self.ends[a:b].max()) - at
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum((self.data[at : at + n].astype(np.uint64) + np.uint64(1)) * _power(_P, n, "p"), out=sums[1:])
+            start, end = self.starts[a:b] - at, self.ends[a:b] - at
+            h = (sums[end] - sums[start]) * _power(_P_INV, n + 1, "inv")[start]
+            out[a:b] = mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            a = b
+        return out
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -5,16 +5,18 @@ minimum-covariance-determinant estimate describes the ordinary texts: from each
 starts, each step orders the group by Mahalanobis distance, takes the nearest half of it, and estimates
 mean and covariance from those, until the determinant falls no more. Of the starts, the one that ends
 with the least determinant stands; mean and covariance of the texts near it are the group's estimate,
-so junk below half of a group has no part in it. A text whose distance from its group's estimate
-exceeds CUTOFF is rejected; so is one that fails the base rules.
+so junk below half of a group has no part in it. Languages and the whole corpus are estimated likewise,
+and each estimate is drawn to the one above it as if that were PRIOR texts of the group: one of many texts
+stays what it is, one of few is mostly its language's. The corpus itself is drawn to WIDE floors of
+spread, so in a table of few texts only the wildest are far. A text whose distance from its group's
+estimate exceeds CUTOFF is rejected; so is one that fails the base rules.
 
 A step is one grouped aggregation: rows fall into bins of distance, each bin sums its vectors and
 their products, and the bins below the support's share, the last of them in part, give the next one. So a group of any
 size is spread over all tasks, and what meets in one place is some hundred bins of sums.
 
-Sources with fewer than LEAST_ROWS texts are pooled by language; a pool that is still smaller
-rejects nothing by distance. Null text counts as empty, and has no words; null language and source
-are groups of their own. An empty table gives an empty result; equal rows get equal verdicts.
+Null text counts as empty, and has no words; null language and source are groups of their own. An empty
+table gives an empty result; equal rows get equal verdicts.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, grams, materialise, mix, slices, table
+from .common import Words, discard, grams, materialise, mix, slices, table
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -40,8 +42,8 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 SUPPORT, CONVERGED, INSIDE = 0.5, 1e-3, 0.975
 #: Squared Mahalanobis distance beyond which a text is rejected.
 CUTOFF = 40.0
-#: Texts a group needs for an estimate of its own.
-LEAST_ROWS = 100
+#: Texts that the estimate above a group's counts as; floors of spread of the prior of all.
+PRIOR, WIDE = 100, 10.0
 #: The vector: name, and the least standard deviation a group is credited with. Statistics that are
 #: zero in most texts have no spread of their own, so a small departure must not count as far.
 VECTOR = {
@@ -182,14 +184,18 @@ def _scale(share: float) -> float:
 def _precision(cov: np.ndarray) -> tuple[list[float], float]:
     """The inverse, and the log of the determinant in floors, of cov with a variance of a squared floor at least in every direction."""
     floors = np.array(list(VECTOR.values()))
-    values, vectors = np.linalg.eigh(cov / np.outer(floors, floors))
+    scaled = cov / np.outer(floors, floors)
+    values, vectors = np.linalg.eigh(scaled) if np.isfinite(scaled).all() else (np.ones(len(floors)), np.eye(len(floors)))
     values = np.maximum(values, 1.0)
     inverse = (vectors / values) @ vectors.T / np.outer(floors, floors)
     return [float(inverse[i, j] * (1 if i == j else 2)) for i in range(len(VECTOR)) for j in range(i, len(VECTOR))], float(np.log(values).sum())
 
 
-_ESTIMATE = "lang string, source string, n long, mean array<double>, precision array<double>"
-_STARTED = f"{_ESTIMATE}, start int, size double, moved boolean"
+#: level: 2 for a language and source, 1 for a language, 0 for all; what does not tell groups of a level apart is null.
+KEYS = ["level", "lang", "source"]
+_KEYS = "level int, lang string, source string"
+_STARTED = f"{_KEYS}, n long, mean array<double>, precision array<double>, start int, size double, moved boolean"
+_MOMENTS = f"{_KEYS}, n long, m long, mean array<double>, cov array<double>"
 #: Quantiles of each coordinate that the starts rest on.
 _QUANTILES = [i / 20 for i in range(21)]
 
@@ -200,7 +206,7 @@ def _start(rows: DataFrame) -> DataFrame:
     the middle of the shortest half with its length, and that middle with the floors.
     """
     parts = [F.percentile_approx(F.get("x", F.lit(i)), _QUANTILES, 1000).alias(f"q{i}") for i in range(len(VECTOR))]
-    spread = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *parts)
+    spread = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), *parts)
 
     def estimate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -211,17 +217,17 @@ def _start(rows: DataFrame) -> DataFrame:
                 k, each = wide.argmin(1), np.arange(len(q))
                 half, middle = wide[each, k] / 1.349, (q[each, k] + q[each, k + 10]) / 2
                 for start, (mean, deviation) in enumerate([(q[:, 10], (q[:, 15] - q[:, 5]) / 1.349), (q[:, 10], half), (middle, half), (middle, 0 * half)]):
-                    out.append((r.lang, r.source, r.n, mean.tolist(), _precision(np.diag(deviation**2))[0], start, math.inf, True))
-            yield pd.DataFrame(out, columns=["lang", "source", "n", "mean", "precision", "start", "size", "moved"])
+                    out.append((r.level, r.lang, r.source, r.n, mean.tolist(), _precision(np.diag(deviation**2))[0], start, math.inf, True))
+            yield pd.DataFrame(out, columns=[*KEYS, "n", "mean", "precision", "start", "size", "moved"])
 
     return spread.mapInPandas(estimate, _STARTED)
 
 
-def _with(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """rows with the mean and precision of their group; nulls are groups too."""
-    named = {"lang": "e_lang", "source": "e_source", "n": "e_n"}
-    e = estimates.select(*[F.col(c).alias(named.get(c, c)) for c in estimates.columns])
-    return rows.join(e, rows["lang"].eqNullSafe(e["e_lang"]) & rows["source"].eqNullSafe(e["e_source"]), "left")
+def _with(rows: DataFrame, estimates: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """rows with the columns of the estimate of their group, which are named e_ where rows has such ones; nulls are groups too."""
+    e = estimates.select(*[F.col(c).alias(f"e_{c}" if c in (*keys, "n", "m") else c) for c in estimates.columns])
+    on = [rows[k].eqNullSafe(e[f"e_{k}"]) for k in keys]
+    return rows.join(e, on, "left")
 
 
 def _sums(weight: Column | None = None) -> list[Column]:
@@ -247,7 +253,7 @@ def _step(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """The estimate from the nearest SUPPORT of each group; of the border bin, the share that completes it."""
     d = F.greatest(distance(F.col("x"), F.col("mean"), F.col("precision")), F.lit(2.0**-20))
     binned = _with(rows, estimates).withColumn("bin", F.least(F.floor(16 * F.log2(d)), F.lit(400)).cast("int"))
-    bins = binned.groupBy("lang", "source", "start", "bin").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), *_sums())
+    bins = binned.groupBy(*KEYS, "start", "bin").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), *_sums())
     scale = _scale(SUPPORT)
 
     def estimate(f: pd.DataFrame) -> pd.DataFrame:
@@ -256,29 +262,54 @@ def _step(rows: DataFrame, estimates: DataFrame) -> DataFrame:
         m = SUPPORT * n.sum()
         mean, cov = _moments(f, np.clip((m - (n.cumsum() - n)) / n, 0, 1), m)
         precision, size = _precision(cov * scale)
-        return pd.DataFrame({"lang": [f["lang"].iloc[0]], "source": [f["source"].iloc[0]], "n": [int(n.sum())], "mean": [mean.tolist()], "precision": [precision], "start": [f["start"].iloc[0]], "size": [size], "moved": [bool(size < f["size"].iloc[0] - CONVERGED)]})
+        return pd.DataFrame({**{k: [f[k].iloc[0]] for k in KEYS}, "n": [int(n.sum())], "mean": [mean.tolist()], "precision": [precision], "start": [f["start"].iloc[0]], "size": [size], "moved": [bool(size < f["size"].iloc[0] - CONVERGED)]})
 
-    return bins.groupBy("lang", "source", "start").applyInPandas(estimate, _STARTED)
+    return bins.groupBy(*KEYS, "start").applyInPandas(estimate, _STARTED)
 
 
 def _reweighted(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Mean and covariance of the rows within the quantile INSIDE of each estimate."""
+    """Number, mean and covariance of the rows within the quantile INSIDE of each estimate."""
     inside = distance(F.col("x"), F.col("mean"), F.col("precision")) <= _chi2_quantile(INSIDE, len(VECTOR))
-    sums = _with(rows, estimates).groupBy("lang", "source").agg(F.first("e_n").alias("n"), F.first("mean").alias("mean"), F.first("precision").alias("precision"), F.count(F.when(inside, 1)).alias("m"), *_sums(inside))
-    scale = _scale(INSIDE)
+    sums = _with(rows, estimates).groupBy(*KEYS).agg(F.first("e_n").alias("n"), F.first("mean").alias("mean"), F.count(F.when(inside, 1)).alias("m"), *_sums(inside))
+    scale, p = _scale(INSIDE), len(VECTOR)
 
     def estimate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for k in np.flatnonzero(f["m"].to_numpy() > 0):
-                mean, cov = _moments(f.iloc[k : k + 1], np.ones(1), float(f["m"].iloc[k]))
-                f.at[f.index[k], "mean"], f.at[f.index[k], "precision"] = mean.tolist(), _precision(cov * scale)[0]
-            yield f[["lang", "source", "n", "mean", "precision"]]
+            found = [_moments(f.iloc[k : k + 1], np.ones(1), float(m)) if m else (np.array(f["mean"].iloc[k]), np.zeros((p, p))) for k, m in enumerate(f["m"])]
+            yield f[[*KEYS, "n", "m"]].assign(mean=[list(mean) for mean, _ in found], cov=[(cov * scale).ravel().tolist() for _, cov in found])
 
-    return sums.mapInPandas(estimate, _ESTIMATE)
+    return sums.mapInPandas(estimate, _MOMENTS)
+
+
+def _drawn(groups: DataFrame, above: DataFrame | None) -> DataFrame:
+    """groups with mean and covariance drawn to those of the level above, as if that were PRIOR rows of each group."""
+    floors = np.array(list(VECTOR.values()))
+    wide = np.diag((WIDE * floors) ** 2).ravel().tolist()
+    if above is None:
+        joined = groups.withColumns({"mean_above": F.col("mean"), "cov_above": F.array(*map(F.lit, wide))})
+    else:
+        # the one of all has no language, so each language's is matched by a null
+        level = above.select(F.col("lang").alias("lang_above"), F.col("mean").alias("mean_above"), F.col("cov").alias("cov_above"))
+        of = F.when(F.col("level") > 1, F.col("lang"))
+        joined = groups.join(level, of.eqNullSafe(F.col("lang_above"))).drop("lang_above")
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            means, covs = [], []
+            for r in f.itertuples(index=False):
+                share, apart = r.m / (r.m + PRIOR), np.array(r.mean) - np.array(r.mean_above)
+                means.append((np.array(r.mean_above) + share * apart).tolist())
+                cov = share * np.array(r.cov) + (1 - share) * np.array(r.cov_above) + share * (1 - share) * np.outer(apart, apart).ravel()
+                covs.append(cov.tolist())
+            yield f[[*KEYS, "n", "m"]].assign(mean=means, cov=covs)
+
+    return materialise(joined.mapInPandas(draw, _MOMENTS), "drawn")
 
 
 def estimates(rows: DataFrame) -> DataFrame:
     """(lang, source, n, mean, precision) of each group of rows (lang, source, x)."""
+    levels = [F.struct(F.lit(k).alias("level"), F.when(F.lit(k > 0), F.col("lang")).alias("lang"), F.when(F.lit(k > 1), F.col("source")).alias("source")) for k in range(3)]
+    rows = materialise(rows.select(F.explode(F.array(*levels)).alias("g"), "x").select("g.*", "x"), "vectors")
     found, ended = materialise(_start(rows), "start"), []
     while True:
         stepped = materialise(_step(rows, found), "estimates")
@@ -289,11 +320,21 @@ def estimates(rows: DataFrame) -> DataFrame:
     every = ended[0]
     for f in ended[1:]:
         every = every.unionByName(f)
-    best = every.groupBy("lang", "source").agg(F.min_by(F.struct("n", "mean", "precision"), F.struct("size", "start")).alias("e")).select("lang", "source", "e.*")
-    return materialise(_reweighted(rows, materialise(best, "best")), "estimates")
+    best = every.groupBy(*KEYS).agg(F.min_by(F.struct("n", "mean", "precision"), F.struct("size", "start")).alias("e")).select(*KEYS, "e.*")
+    raw = materialise(_reweighted(rows, materialise(best, "best")), "moments")
+    discard(rows)
+    drawn = None
+    for k in range(3):
+        drawn = _drawn(raw.where(F.col("level") == k), drawn)
+
+    def invert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f[["lang", "source", "n", "mean"]].assign(precision=[_precision(np.array(c).reshape(len(VECTOR), -1))[0] for c in f["cov"]])
+
+    return materialise(drawn.mapInPandas(invert, "lang string, source string, n long, mean array<double>, precision array<double>"), "precisions")
 
 
-def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS) -> DataFrame:
+def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
     """Columns keep of docs (all by default), counts, distance, base_failed and kept.
 
     Estimates rest on all texts that pass the base rules. Where keep holds the text, the texts are
@@ -305,21 +346,15 @@ def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", la
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
     def counted(columns: list[str]) -> DataFrame:
-        return text_counts(docs, columns, text).withColumn("base_failed", failed).withColumn("x", vector())
+        found = text_counts(docs, columns, text).withColumn("base_failed", failed).withColumn("x", vector())
+        return found.withColumns({"lang": F.col(f"row.`{lang}`").cast("string"), "source": F.col(f"row.`{source}`").cast("string")})
 
     seen = materialise(counted(narrow), "counts")
-    rows = seen.where(~F.col("base_failed")).select(F.col(f"row.`{lang}`").cast("string").alias("lang"), F.col(f"row.`{source}`").cast("string").alias("source"), "x")
-    sizes = materialise(rows.groupBy("lang", "source").count().where(F.col("count") < least_rows).select(F.col("lang").alias("s_lang"), F.col("source").alias("s_source"), F.lit(True).alias("small")), "small")
-
-    def grouped(df: DataFrame) -> DataFrame:
-        return df.join(sizes, df["lang"].eqNullSafe(sizes["s_lang"]) & df["source"].eqNullSafe(sizes["s_source"]), "left").withColumn("source", F.when(F.col("small"), F.lit("\x00pooled")).otherwise(F.col("source"))).drop("s_lang", "s_source", "small")
-
-    found = estimates(materialise(grouped(rows), "vectors"))
+    found = estimates(seen.where(~F.col("base_failed")).select("lang", "source", "x"))
     every = seen if text not in keep else counted(list(dict.fromkeys([*keep, lang, source])))
-    every = every.withColumn("lang", F.col(f"row.`{lang}`").cast("string")).withColumn("source", F.col(f"row.`{source}`").cast("string"))
-    far = F.when(F.col("e_n") >= least_rows, distance(F.col("x"), F.col("mean"), F.col("precision")))
+    far = distance(F.col("x"), F.col("mean"), F.col("precision"))
     added = [*COUNTS, "distance", "base_failed", "kept"]
-    return _with(grouped(every), found).withColumn("distance", far).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).select(*[F.col(f"row.`{c}`") for c in keep if c not in added], *added)
+    return _with(every, found, ["lang", "source"]).withColumn("distance", far).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).select(*[F.col(f"row.`{c}`") for c in keep if c not in added], *added)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,7 +107,7 @@ def counts(text):
 
 
 def test_counts_match_brute_force(spark, docs, no_docs):
-    judged = quality_rules.judge(docs, least_rows=20)
+    judged = quality_rules.judge(docs)
     for r in judged.collect():
         n, chars, symbols, lines, repeats = counts(r.text)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, lines, repeats)
