@@ -3,8 +3,9 @@
 Candidates are found in every whole text: assigned passwords and tokens, access key ids, long
 hexadecimal strings, private key blocks and credentials in web addresses. The corpus then says how
 often each is held: candidate hashes are grouped by distinct repositories and owners. A value that
-several owners hold is a copied example; one that a single owner holds, and that looks random, is
-taken for live.
+COPIED_OWNERS owners hold, or that stands in COPIED_REPOSITORIES repositories of whatever owners, is a
+copied example; one that is held by fewer, and looks random, is taken for live; the rest are weak. Both
+counts are returned with the verdict.
 
 Null and empty texts have no candidates. A null owner or repository counts as one of that name.
 A row of the input gives a row of the result; equal rows count once for ownership.
@@ -26,8 +27,8 @@ from .spans import Finder, as_text, count, digest, find_spans
 #: The order in which spans with the same start are reported.
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "pem", "basic")
-#: From this many distinct owners on, a value is a copied example.
-COPIED_OWNERS = 3
+#: From this many distinct owners or repositories on, a value is a copied example.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 8
 #: Values with fewer bits of entropy a character are too plain to be live.
 LIVE_BITS = 2.5
 
@@ -35,11 +36,31 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _CUES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+_PEM_BEGIN, _PEM_END = (re.compile(rf"-----{word} (?:[A-Z0-9]+ )*PRIVATE KEY-----") for word in ("BEGIN", "END"))
+_PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s:,-]*")
 _BASIC = re.compile(r"://[^\s/:@]+:([^\s/:@]{6,})@[A-Za-z0-9.-]+")
 _RANK = {k: i for i, k in enumerate(KINDS)}
 
 
+def pem_blocks(text: str) -> list[tuple[int, int]]:
+    """From a header of a private key to the first footer after it, where only a key's characters lie between."""
+    ends, out, free, run = list(_PEM_END.finditer(text)), [], 0, 0
+    k = 0
+    for begin in _PEM_BEGIN.finditer(text):
+        while k < len(ends) and ends[k].start() < begin.end():
+            k += 1
+        if k == len(ends):
+            break
+        if begin.start() < free:
+            continue
+        if run < begin.end():  # a run of such characters holds all headers in it
+            run = _PEM_BODY.match(text, begin.end()).end()
+        if ends[k].start() <= run:
+            free = ends[k].end()
+            out.append((begin.start(), free))
+    return out
+
+
 def finder() -> Finder:
     """A function from a text to its candidate spans, in order of start, then kind."""
 
@@ -52,7 +73,7 @@ def finder() -> Finder:
             out += [("access", *m.span()) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
         out += [("hex", *m.span()) for m in _HEX.finditer(text)]
         if "PRIVATE KEY-----" in text:
-            out += [("pem", *m.span()) for m in _PEM.finditer(text)]
+            out += [("pem", *s) for s in pem_blocks(text)]
         if "://" in text:
             out += [("basic", *m.span(1)) for m in _BASIC.finditer(text)]
         return sorted(out, key=lambda s: (s[1], _RANK[s[0]], s[2]))
@@ -90,22 +111,27 @@ def _candidates(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     return found.mapInArrow(run, schema)
 
 
-def find_secrets(docs: DataFrame, keep: list[str] | None = None, text: str = "text", owner: list[str] = ("source",), repository: list[str] = ("source", "lang"), copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """Columns keep of docs (all by default), spans, and verdicts: one of copied, live, weak for each span.
+def find_secrets(docs: DataFrame, keep: list[str] | None = None, text: str = "text", owner: list[str] = ("source",), repository: list[str] = ("source", "lang"), copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
+    """Columns keep of docs (all by default), spans, and held, for each span its verdict (copied, live or weak), owners and repositories.
 
     Ownership is counted over distinct (value, owner, repository) rows, so a value that a third of
-    all documents hold shrinks to one row for each holder before it is grouped by value.
+    all documents hold shrinks to one row for each holder before it is grouped by value. The verdicts are
+    written before they are joined, so that adaptive execution can split the rows of a value that many hold.
+    Input columns named spans or held are replaced.
     """
-    keep = list(docs.columns if keep is None else keep)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("spans", "held")]
     name = lambda cs: F.concat_ws("\x1f", *[F.coalesce(F.col(f"row.`{c}`").cast("string"), F.lit("\x00")) for c in cs])
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, *owner, *repository]) if c not in ("spans", "verdicts")]).alias("row"), F.col(f"`{text}`").alias("scanned"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, *owner, *repository])]).alias("row"), F.col(f"`{text}`").alias("scanned"))
     found = materialise(_candidates(rows, ["row"], "scanned").withColumn("at", F.monotonically_increasing_id()), "candidates")
     each = found.select("at", name(owner).alias("owner"), name(repository).alias("repository"), F.posexplode(F.arrays_zip("values", "random")).alias("i", "x")).select("at", "owner", "repository", "i", F.col("x.values").alias("value"), F.col("x.random").alias("random"))
     held = each.select("value", "owner", "repository").distinct().groupBy("value").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
-    verdict = F.when(F.col("owners") >= copied_owners, "copied").when(F.col("random"), "live").otherwise("weak")
-    judged = each.join(held, "value").select("at", F.struct("i", verdict.alias("verdict")).alias("one")).groupBy("at").agg(F.transform(F.array_sort(F.collect_list("one")), lambda s: s["verdict"]).alias("verdicts"))
-    out = found.where(F.size("spans") > 0).join(judged, "at", "left").unionByName(found.where(F.size("spans") == 0).withColumn("verdicts", F.array().cast("array<string>")))
-    return out.select(*[F.col(f"row.`{c}`") for c in keep if c not in ("spans", "verdicts")], "spans", "verdicts")
+    held = materialise(held, "held")
+    verdict = F.when((F.col("owners") >= copied_owners) | (F.col("repositories") >= copied_repositories), "copied").when(F.col("random"), "live").otherwise("weak")
+    one = F.struct("i", F.struct(verdict.alias("verdict"), "owners", "repositories").alias("held"))
+    judged = each.join(held, "value").select("at", one.alias("one")).groupBy("at").agg(F.transform(F.array_sort(F.collect_list("one")), lambda s: s["held"]).alias("held"))
+    none = F.array().cast("array<struct<verdict:string,owners:bigint,repositories:bigint>>")
+    out = found.where(F.size("spans") > 0).join(judged, "at", "left").unionByName(found.where(F.size("spans") == 0).withColumn("held", none))
+    return out.select(*[F.col(f"row.`{c}`") for c in keep], "spans", "held")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,5 +139,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
     return found.select(
         "doc_id", *[count(spans, k).alias(f"n_{k}") for k in BASE], digest(spans, *BASE).alias("base_sha256"), as_text(spans).alias("spans"),
-        F.array_join("verdicts", ",").alias("verdicts"),
+        *[F.array_join(F.col(f"held.{c}").cast("array<string>"), ",").alias(n) for c, n in (("verdict", "verdicts"), ("owners", "owners"), ("repositories", "repositories"))],
     )

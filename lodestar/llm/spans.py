@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _ARROW = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 #: A finder gives (kind, start, end) of a text in code points, end exclusive, in the order to report.
@@ -41,13 +43,13 @@ def find_spans(docs: DataFrame, make: Callable[[], Finder], keep: list[str] | No
     An input column called spans is replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != "spans"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_scanned"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("lodestar_scanned"))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("spans", SPAN)])
     at = keep.index(text) if redact and text in keep else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = make()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole.rename_columns([*map(str, range(len(keep))), "scanned"]), "scanned")):
             columns = batch.columns[:-1]
             texts = [x.as_py() for x in batch.columns[-1]]
             found = [finder(t) if t else [] for t in texts]

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -278,12 +279,48 @@ def test_owners_decide(spark, docs, no_docs):
     shared, own = "Zx9" * 5, "aB3dE5fG7hJ9kL1"
     rows = [(i, f"password={shared}", f"s{i % 4}", "en") for i in range(8)] + [(90, f"secret: {own} token={shared}", "s0", None), (None, "token=aaaaaaaaaaaa", None, None), (None, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    got = {r.doc_id: r.verdicts for r in secret_owners.find_secrets(df).where("text is not null").collect()}
+    got = {r.doc_id: [h.verdict for h in r.held] for r in secret_owners.find_secrets(df).where("text is not null").collect()}
     assert got[0] == ["copied"] and got[90] == ["live", "copied"] and got[None] == ["weak"]
     assert secret_owners.find_secrets(docs).count() == docs.count()
     assert secret_owners.find_secrets(no_docs).count() == 0
 
 
+def test_ownership_matches_brute_force(spark):
+    rng = random.Random(14)
+    values = ["".join(rng.choice("abcdefghijkmnpqrstuvwxyz123456789") for _ in range(16)) for _ in range(12)] + ["b" * 16, "cd" * 8]
+    spread = {v: rng.choice([1, 2, 3, 9]) for v in values}
+    rows = []
+    for k in range(400):
+        some = rng.sample(values, rng.randrange(4))
+        owner = rng.randrange(9)
+        rows.append((k, " ".join(f"token = {v}" for v in some if owner < spread[v]), f"o{owner}", f"r{rng.randrange(12)}"))
+    rows += [(1000 + i, f"token={'qwert12345' * 2}", "one", f"r{i}") for i in range(50)]  # one owner, many repositories
+    owners, repositories = defaultdict(set), defaultdict(set)
+    found = lambda t: [v for v in re.findall("[= ]([a-z0-9]{16,})", t)]
+    for _, t, o, r in rows:
+        for v in found(t):
+            owners[v].add(o)
+            repositories[v].add((o, r))
+    entropy = lambda v: -sum(n / len(v) * math.log2(n / len(v)) for n in Counter(v).values())
+    verdict = lambda v: "copied" if len(owners[v]) >= 3 or len(repositories[v]) >= 8 else "live" if entropy(v) >= 2.5 else "weak"
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    got = {r.doc_id: [tuple(h) for h in r.held] for r in secret_owners.find_secrets(df, repository=["source", "repo"]).collect()}
+    assert got == {k: [(verdict(v), len(owners[v]), len(repositories[v])) for v in found(t)] for k, t, _, _ in rows}
+    assert {h[0] for held in got.values() for h in held} == {"copied", "live", "weak"} and got[1000][0][0] == "copied"
+
+
+def test_key_blocks_are_found_in_linear_time():
+    pattern = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+    rng, parts = random.Random(15), ["-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "AbC+/=", "\n", "!", "-----", "BEGIN "]
+    for _ in range(5000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        assert secret_owners.pem_blocks(t) == [m.span() for m in pattern.finditer(t)], t
+    began = time.perf_counter()
+    assert secret_owners.pem_blocks("-----BEGIN RSA PRIVATE KEY-----\n" * 200_000) == []
+    assert len(secret_owners.pem_blocks("-----BEGIN RSA PRIVATE KEY-----\n" * 200_000 + "-----END PRIVATE KEY-----")) == 1
+    assert time.perf_counter() - began < 10
+
+
 # ------------------------------------------------------------------ 7
 
 
