@@ -35,11 +35,11 @@ from .common import Words, among, discard, grams, materialise, mix, slices
 #: Texts in which frequent shingles are looked for, and how many of those are known.
 SAMPLE, FREQUENT = 20_000, 1 << 17
 #: Rows of a shingle that others are compared with in the first round, and how that grows by round.
-REACH, WIDEN = 8, 8
+REACH, WIDEN = 1, 8
 #: Counters, of one bit each, of a set's shingles: no more of them differ than shingles do.
 PARITY = 512
-#: Pairs made at once.
-STRIPE = 1 << 20
+#: Pairs made at once; shingles of pairs compared at once.
+STRIPE, HELD = 1 << 18, 1 << 18
 
 
 def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,16 +173,20 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, value = [], []
-            for k in (2, 3):
-                own.append(pc.list_parent_indices(batch.column(k)).to_numpy().astype(np.int64))
-                value.append(pc.list_flatten(batch.column(k)).to_numpy())
-            size = [np.bincount(o, minlength=batch.num_rows) for o in own]
-            own, value = np.concatenate(own), np.concatenate(value)
-            order = np.lexsort((value, own))
-            own, value = own[order], value[order]
-            common = np.bincount(own[1:][(own[1:] == own[:-1]) & (value[1:] == value[:-1])], minlength=batch.num_rows)
-            yield batch.select([0, 1]).filter(pa.array(common >= similarity * (size[0] + size[1] - common) - 1e-9))
+            sizes = [pc.list_value_length(batch.column(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3)]
+            total, at = np.cumsum(sizes[0] + sizes[1]), 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + HELD)))
+                part, own, value = batch.slice(at, end - at), [], []
+                for k in (2, 3):
+                    own.append(np.repeat(np.arange(part.num_rows), sizes[k - 2][at:end]))
+                    value.append(part.column(k).flatten().to_numpy())
+                own, value = np.concatenate(own), np.concatenate(value)
+                order = np.lexsort((value, own))
+                own, value = own[order], value[order]
+                common = np.bincount(own[1:][(own[1:] == own[:-1]) & (value[1:] == value[:-1])], minlength=part.num_rows)
+                yield part.select([0, 1]).filter(pa.array(common >= similarity * (sizes[0][at:end] + sizes[1][at:end] - common) - 1e-9))
+                at = end
 
     return both.mapInArrow(run, "a long, b long")
 
