@@ -21,6 +21,7 @@ OPERATORS = {
     "between": "between", "is_null": "is null", "is null": "is null", "is_not_null": "is not null", "is not null": "is not null",
 }
 _RANGE = (">", ">=", "<", "<=")
+_NEGATIVE = ("!=", "not in", "is not null")
 _DATE = re.compile(r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})")
 
 
@@ -138,14 +139,19 @@ def _typed(value: Any, dtype: str) -> Column:
 
 
 def combined(predicates: Iterable[Predicate]) -> Column | None:
-    """Predicates on one field: any of them, but a pair of bounds means both; different fields: all."""
+    """Predicates on one field: any of them, but a pair of bounds means both, and what must not be holds for all of them;
+
+    different fields: all.
+    """
     fields: dict[str, list[Predicate]] = {}
     for p in predicates:
         fields.setdefault(p.field, []).append(p)
     parts = []
     for group in fields.values():
-        bounds = [as_column(p) for p in group if OPERATORS.get(p.operator.lower().strip()) in _RANGE and not term_of(p)]
-        others = [as_column(p) for p in group if not (OPERATORS.get(p.operator.lower().strip()) in _RANGE and not term_of(p))]
-        either = others + ([reduce(lambda a, b: a & b, bounds)] if bounds else [])
-        parts.append(reduce(lambda a, b: a | b, either))
+        kinds: dict[str, list[Column]] = {"bound": [], "not": [], "either": []}
+        for p in group:
+            op = OPERATORS.get(p.operator.lower().strip())
+            kinds["either" if term_of(p) else "bound" if op in _RANGE else "not" if op in _NEGATIVE else "either"].append(as_column(p))
+        either = kinds["either"] + ([reduce(lambda a, b: a & b, kinds["bound"])] if kinds["bound"] else [])
+        parts += kinds["not"] + ([reduce(lambda a, b: a | b, either)] if either else [])
     return reduce(lambda a, b: a & b, parts) if parts else None

@@ -207,6 +207,19 @@ METRIC_SQL_TOKENS = {
     "rating": [["rating"], ["approvedtotalreviews"], ["review"]],
 }
 
+#: What is said of a scored answer.
+SCORE_REASONS = {
+    "avoided": "correctly avoided unsupported or unsafe request",
+    "should_reject": "request should be clarified or rejected",
+    "not_executed": "SQL did not execute",
+    "multi_part": "requires both monthly revenue trend and top customer ranking",
+    "metric": "missing expected metric evidence: ",
+    "dimension": "missing expected grouping/filter evidence: ",
+    "time": "missing expected time/filter evidence: ",
+    "grouped": "query asks for one aggregate value but SQL groups the result",
+    "correct": "executed SQL matches expected metric/grouping/time at conservative keyword level",
+}
+
 #: Tokens of SQL that show a grouping.
 DIM_SQL_TOKENS = {
     "category": [["category"], ["c.name"]],

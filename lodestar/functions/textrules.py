@@ -19,6 +19,7 @@ from .rule_values import (
     INTENT_PATTERNS,
     METRIC_KEYWORDS,
     METRIC_SQL_TOKENS,
+    SCORE_REASONS,
     TIME_SQL_TOKENS,
     UNSUPPORTED_MARKERS,
 )
@@ -239,18 +240,19 @@ def score(s: Column, behavior: Column, pattern: Column, m: Column, d: Column, t:
     both = any_of(s, ("date_format", "month")) & F.contains(s, F.lit("ordertotal")) & F.contains(s, F.lit("customer")) & any_of(s, ("limit 5", "top 5"))
     groups = ~F.coalesce(pattern.isin(*GROUPED_PATTERNS), F.lit(False)) & d.isNull() & F.contains(s, F.lit(" group by "))
     no = lambda reason: F.struct(F.lit(False).alias("correct"), reason.alias("reason"))
-    yes = lambda reason: F.struct(F.lit(True).alias("correct"), F.lit(reason).alias("reason"))
+    yes = lambda reason: F.struct(F.lit(True).alias("correct"), reason.alias("reason"))
+    say = {k: F.lit(v) for k, v in SCORE_REASONS.items()}
     reject = behavior.isin("clarify_or_reject", "reject_write_request")
     return (
-        F.when(reject & refused, yes("correctly avoided unsupported or unsafe request"))
-        .when(reject, no(F.coalesce(F.nullif(unsupported, F.lit("")), F.lit("request should be clarified or rejected"))))
-        .when((behavior == "multi_part_answer") & ~executed, no(F.lit("SQL did not execute")))
-        .when(behavior == "multi_part_answer", F.struct(both.alias("correct"), F.lit("requires both monthly revenue trend and top customer ranking").alias("reason")))
-        .when(~executed, no(F.lit("SQL did not execute")))
+        F.when(reject & refused, yes(say["avoided"]))
+        .when(reject, no(F.coalesce(F.nullif(unsupported, F.lit("")), say["should_reject"])))
+        .when((behavior == "multi_part_answer") & ~executed, no(say["not_executed"]))
+        .when(behavior == "multi_part_answer", F.struct(both.alias("correct"), say["multi_part"].alias("reason")))
+        .when(~executed, no(say["not_executed"]))
         .when(unsupported != "", no(unsupported))
-        .when(~_shows(s, m, METRIC_SQL_TOKENS), no(F.concat(F.lit("missing expected metric evidence: "), m)))
-        .when(~_shows(s, d, DIM_SQL_TOKENS), no(F.concat(F.lit("missing expected grouping/filter evidence: "), d)))
-        .when(~_shows(s, t, TIME_SQL_TOKENS), no(F.concat(F.lit("missing expected time/filter evidence: "), t)))
-        .when(groups, no(F.lit("query asks for one aggregate value but SQL groups the result")))
-        .otherwise(yes("executed SQL matches expected metric/grouping/time at conservative keyword level"))
+        .when(~_shows(s, m, METRIC_SQL_TOKENS), no(F.concat(say["metric"], m)))
+        .when(~_shows(s, d, DIM_SQL_TOKENS), no(F.concat(say["dimension"], d)))
+        .when(~_shows(s, t, TIME_SQL_TOKENS), no(F.concat(say["time"], t)))
+        .when(groups, no(say["grouped"]))
+        .otherwise(yes(say["correct"]))
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from calendar import monthrange
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column
@@ -16,6 +17,12 @@ def _month(d: datetime, by: int) -> datetime:
     return datetime(n // 12, n % 12 + 1, 1)
 
 
+def _months_ago(d: datetime, n: int) -> datetime:
+    """The same day of a month before, or that month's last day."""
+    month = _month(d, -n)
+    return month.replace(day=min(d.day, monthrange(month.year, month.month)[1]))
+
+
 def time_window(rule: str, as_of: datetime, compat: bool = False) -> Window:
     """(from, to), from included and to excluded; None: open.
 
@@ -36,7 +43,7 @@ def time_window(rule: str, as_of: datetime, compat: bool = False) -> Window:
         return None, as_of - timedelta(days=int(m[1]))
     if m := re.fullmatch(r"(?:past |last )?(\d+) (day|hour|month)s?", r):
         n = int(m[1])
-        back = {"day": lambda: as_of - timedelta(days=n), "hour": lambda: as_of - timedelta(hours=n), "month": lambda: _month(day, -n).replace(day=min(day.day, 28))}
+        back = {"day": lambda: as_of - timedelta(days=n), "hour": lambda: as_of - timedelta(hours=n), "month": lambda: _months_ago(day, n)}
         return back[m[2]](), None
     if r == "this week":
         return week, None if compat else week + timedelta(days=7)

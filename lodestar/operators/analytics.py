@@ -122,8 +122,9 @@ def top_n_daily(star: StarSchema, n: int) -> DataFrame:
 
 def top_n_snapshot(star: StarSchema, n: int) -> DataFrame:
     """Month by category, for the categories with most line revenue: revenue, units and orders."""
-    joined = rows(star, [metric("line_item_revenue"), metric("item_quantity"), dimension("category_name")])
-    top = joined.groupBy(F.col("c.Name").alias("category")).agg(F.sum("oi.PriceExclTax").alias("r")).orderBy(F.desc("r"), "category").limit(n).select("category")
+    sold = rows(star, [metric("line_item_revenue"), dimension("category_name")])  # no orders
+    top = sold.groupBy(F.col("c.Name").alias("category")).agg(F.sum("oi.PriceExclTax").alias("r")).orderBy(F.desc("r"), "category").limit(n).select("category")
+    joined = rows(star, [metric("line_item_revenue"), metric("item_quantity"), dimension("category_name")], also=["Order"])
     ms = [metric(m) for m in ("line_item_revenue", "item_quantity", "order_count")]
     return joined.join(F.broadcast(top), F.col("c.Name") == F.col("category")).groupBy(F.date_format("o.CreatedOnUtc", _MONTH).alias("label"), "category").agg(*[m.agg().alias(m.id) for m in ms])
 
@@ -134,7 +135,7 @@ def top_n_snapshot(star: StarSchema, n: int) -> DataFrame:
 def quarter_by_category(star: StarSchema) -> DataFrame:
     m, d = metric("line_item_revenue"), dimension("category_name")
     quarter = F.date_format(F.to_date(F.date_trunc("quarter", "o.CreatedOnUtc")), "yyyy-MM-dd")
-    return rows(star, [m, d]).groupBy(quarter.alias("quarter"), d.as_label().alias("label")).agg(m.agg().alias("value"))
+    return rows(star, [m, d], also=["Order"]).groupBy(quarter.alias("quarter"), d.as_label().alias("label")).agg(m.agg().alias("value"))
 
 
 def refund_share_by_month(star: StarSchema) -> DataFrame:
@@ -184,7 +185,7 @@ def frequent_buyer_revenue(star: StarSchema, more_than: int) -> DataFrame:
 
 def items_per_order_of_top_category(star: StarSchema) -> DataFrame:
     """Mean units per order of the category with most units."""
-    joined = rows(star, [metric("item_quantity"), dimension("category_name")]).where(F.col("c.Name").isNotNull())
+    joined = rows(star, [metric("item_quantity"), dimension("category_name")], also=["Order"]).where(F.col("c.Name").isNotNull())
     per = joined.groupBy(F.col("c.Name").alias("label")).agg(F.sum("oi.Quantity").alias("q"), F.count_distinct("o.Id").alias("n"))
     return per.orderBy(F.desc("q"), "label").limit(1).select("label", F.round(F.col("q") / F.col("n"), 6).alias("value"))
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 PATTERNS = ("KPI", "Ranking", "Trend", "Comparison", "Exception", "Summary", "Segment", "Funnel", "Cohort", "Correlate", "Tabular")
 #: Shares of rows to either side of a rank that its bracket spans; accuracy of the bracket (its error is 1 / ACCURACY).
 BRACKET, ACCURACY = 0.001, 10_000
+#: Quantiles that a bracket is divided by.
+STEPS = 1000
 
 
 def _pct(part: Column, whole: Column, digits: int = 1) -> Column:
@@ -69,8 +71,8 @@ def at_ranks(values: DataFrame, by: str, x: str, ranks: dict[str, tuple[float, C
     """by, n (rows of the group), and the exact value of x at some ranks of each group, counted from 0.
 
     ranks: by name, the share of rows about that rank, and the rank as a function of n. Null x is
-    skipped. An approximate quantile brackets each rank; what lies below the bracket is only counted,
-    so a group's one task sees the distinct values inside the bracket, not the group.
+    skipped. An approximate quantile brackets each rank, and another one within the bracket narrows it; what
+    lies below is only counted, so a group's one task sees the distinct values inside, some millionths of the group.
     """
     some = values.where(F.col(x).isNotNull()).select(by, F.col(x).alias("x"))
     points = [min(max(s + d, 0.0), 1.0) for s, _ in ranks.values() for d in (-BRACKET, BRACKET)]
@@ -80,6 +82,7 @@ def at_ranks(values: DataFrame, by: str, x: str, ranks: dict[str, tuple[float, C
         F.struct(F.lit(k).alias("name"), rank(F.col("n")).cast("long").alias("rank"), F.when(few, F.col("least")).otherwise(F.get("q", F.lit(2 * i))).alias("low"), F.when(few, F.col("most")).otherwise(F.get("q", F.lit(2 * i + 1))).alias("high"))
         for i, (k, (_, rank)) in enumerate(ranks.items())
     ])).alias("w")).select("g", "w.*")
+    wanted = _narrowed(some, wanted, by)
     inside = some.join(wanted, F.col(by).eqNullSafe(F.col("g"))).where(F.col("x") <= F.col("high"))
     counted = inside.groupBy("g", "name", "rank", F.when(F.col("x") >= F.col("low"), F.col("x")).alias("x")).agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy("g", "name").orderBy(F.col("x").asc_nulls_first()))
@@ -88,6 +91,19 @@ def at_ranks(values: DataFrame, by: str, x: str, ranks: dict[str, tuple[float, C
     return sizes.select(by, "n").join(found, F.col(by).eqNullSafe(F.col("g"))).drop("g")
 
 
+def _narrowed(some: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
+    """Brackets (g, name, rank, low, high) drawn closer about their ranks, by quantiles of what they hold."""
+    grid = [i / STEPS for i in range(STEPS + 1)]
+    held = some.join(wanted, F.col(by).eqNullSafe(F.col("g"))).where(F.col("x") <= F.col("high"))
+    within = F.when(F.col("x") >= F.col("low"), F.col("x"))
+    stats = held.groupBy("g", "name", "rank", "low", "high").agg(F.count_if(F.col("x") < F.col("low")).alias("below"), F.count(within).alias("within"), F.percentile_approx(within, grid, ACCURACY).alias("q"))
+    at = (F.col("rank") - F.col("below")) / F.col("within") * STEPS
+    some_way = F.lit(2)  # steps to either side: more than the error of a quantile
+    low, high = F.get("q", F.greatest(F.floor(at) - some_way, F.lit(0)).cast("int")), F.get("q", F.least(F.ceil(at) + some_way, F.lit(STEPS)).cast("int"))
+    few = F.col("within") < ACCURACY
+    return stats.select("g", "name", "rank", F.when(few, F.col("low")).otherwise(F.coalesce(low, "low")).alias("low"), F.when(few, F.col("high")).otherwise(F.coalesce(high, "high")).alias("high"))
+
+
 def between_ranks(n: Column, share: float, low: Column, high: Column) -> Column:
     """The quantile of a share, from the values at the ranks below and above (n - 1) * share."""
     at = (n - 1) * F.lit(share)

@@ -107,13 +107,30 @@ def joined(*tables: str) -> str:
     return " ".join(["FROM order_ o", *[j for t, _, j in JOINS if t in wanted]])
 
 
+#: By root, the table a report begins with; the order of trial is the shop's: an order before its lines, their products, and customers.
+ROOTS = {"Order": "order_ o", "OrderItem": "order_item oi", "Product": "product p", "Customer": "customer_ cu", "Address": "address addr", "Shipment": "shipment sh"}
+_WITHOUT_ORDER = (("Shipment",), ("Customer",), ("Address", "Country"), ("Product", "pcm", "Category", "pmm", "Manufacturer"), ("OrderItem", "Product", "pcm", "Category", "pmm", "Manufacturer"))
+
+
+def rooted(*tables: str) -> str:
+    """FROM and the joins of a report that needs these tables: without orders where one branch holds them all."""
+    for branch in _WITHOUT_ORDER:
+        if {*tables} <= {*branch} and "Order" not in tables:
+            wanted = {n for t in tables for n in (t, {"Category": "pcm", "Manufacturer": "pmm"}.get(t, t))} - {branch[0]}
+            wanted |= {"Product"} if branch[0] == "OrderItem" and wanted else set()
+            wanted |= set() if branch[0] != "Address" or "Country" not in tables else {"Country"}
+            return " ".join([f"FROM {ROOTS[branch[0]]}", *[j for t, _, j in JOINS if t in wanted]])
+    return joined(*tables)
+
+
 def report(metric: str, dimension: str | None = None, where: str = "", also: tuple[str, ...] = (), order: str = "", limit: int | None = None, having: str = "") -> str:
     tables = [METRIC_TABLE.get(metric, "Order"), *also]
     label = ""
     if dimension:
         tables.append(DIMENSION[dimension][0])
         label = f"{DIMENSION[dimension][1]} AS label, "
-    sql = f"SELECT {label}{METRIC[metric]} AS value {joined(*tables)}"
+    tables += [t for c, t in ((" o.", "Order"), ("(o.", "Order")) if c in f" {where}"]
+    sql = f"SELECT {label}{METRIC[metric]} AS value {rooted(*tables)}"
     sql += f" WHERE {where}" * bool(where) + " GROUP BY 1" * bool(dimension)
     if having:
         sql = f"SELECT * FROM ({sql}) WHERE {having}"

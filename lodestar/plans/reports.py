@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from ..functions.dimensions import Dimension, dimension
 from ..functions.metrics import Metric, metric
 from ..functions.predicates import Predicate, bound_to, combined, policy
 from ..functions.timewin import in_window, time_window, up_to
-from ..sources.star import ALIASES, StarSchema
-from .star_join import star_join
+from ..sources.star import ALIASES, ORDER_LINE_SUMS, StarSchema
+from .star_join import root_of, star_join
 
 DEFAULT_LIMIT = 100
 UNLIMITED = ("kpi", "summary")
@@ -31,36 +32,44 @@ class ReportSpec:
     limit: int | None = None
     role: str = "public"
     role_params: dict = field(default_factory=dict)
+    #: Last week, this week, last month and this month without their ends.
+    open_windows: bool = False
 
 
 def _reads(parts: Iterable[Metric | Dimension], filters: Iterable[Predicate], more: Iterable[tuple[str, tuple[str, ...]]] = ()) -> dict[str, set[str]]:
-    out: dict[str, set[str]] = {"Order": {"CreatedOnUtc"}}
+    out: dict[str, set[str]] = {}
     for table, columns in [*((p.table, p.columns) for p in parts), *map(bound_to, filters), *more]:
         out.setdefault(table, set()).update(columns)
     return out
 
 
-def _when(column: str, rule: str, as_of: datetime) -> Column:
-    low, high = time_window(rule, as_of)
+def _when(column: str, spec: ReportSpec, as_of: datetime) -> Column:
+    low, high = time_window(spec.time, as_of, spec.open_windows)
     return up_to(F.col(column), high) if low is None else in_window(F.col(column), (low, high))
 
 
-def rows(star: StarSchema, parts: Iterable[Metric | Dimension], spec: ReportSpec = ReportSpec(), as_of: datetime | None = None, orders: Column | None = None) -> DataFrame:
-    """The joined rows of a report: what its parts and filters need, filtered.
+def rows(star: StarSchema, parts: Iterable[Metric | Dimension], spec: ReportSpec = ReportSpec(), as_of: datetime | None = None, orders: Column | None = None, also: Iterable[str] = ()) -> DataFrame:
+    """The joined rows of a report: what its parts, filters and the tables also need, filtered.
 
-    The time rule, the role and conditions on orders alone are applied to orders before any join.
+    They begin at the table where those needed meet, so a report that reads nothing of orders does not join
+    them, and counts customers or products without any. The time rule, the role and conditions on orders
+    alone are applied to orders before any join, and before sums over their lines are made.
     """
     parts = list(parts)
     rule = policy(spec.role)
-    reads = _reads(parts, spec.filters, [rule[:2]] if rule else [])
-    root = star.table("Order", reads["Order"])
-    if spec.time:
-        root = root.where(_when("o.CreatedOnUtc", spec.time, as_of))
-    if orders is not None:
-        root = root.where(orders)
-    if rule and rule[0] == "Order":
-        root = root.where(rule[2](spec.role_params))
-    out = star_join(star, reads, reads, root)
+    more = [("Order", ("CreatedOnUtc",))] * bool(spec.time or orders is not None) + [(t, ()) for t in also]
+    reads = _reads(parts, spec.filters, [*more, *([rule[:2]] if rule else [])])
+    at = root_of(reads)
+    if at == "Order":
+        tests = [
+            _when("o.CreatedOnUtc", spec, as_of) if spec.time else None, orders, rule[2](spec.role_params) if rule and rule[0] == "Order" else None,
+            combined(f for f in spec.filters if (b := bound_to(f))[0] == "Order" and not {*b[1]} & {*ORDER_LINE_SUMS}),
+        ]
+        tests = [t for t in tests if t is not None]
+        root = star.orders(reads.get("Order", ()), reduce(lambda a, b: a & b, tests)) if tests else star.table("Order", reads.get("Order", ()))
+    else:
+        root = star.table(at, reads.get(at, ()))
+    out = star_join(star, reads, reads, root, at)
     if rule and rule[0] != "Order":
         out = out.where(rule[2](spec.role_params))
     condition = combined(spec.filters)
@@ -99,7 +108,7 @@ def trend(star: StarSchema, metric_id: str, grain: str, spec: ReportSpec = Repor
     """A metric by day, week (from Monday), month, quarter or year of the order, in time order."""
     m = metric(metric_id)
     bucket = F.date_format(F.to_date(F.date_trunc(grain, "o.CreatedOnUtc")), "yyyy-MM-dd").alias("label")
-    return rows(star, [m], spec, as_of).groupBy(bucket).agg(m.agg().alias("value")).orderBy("label")
+    return rows(star, [m], spec, as_of, also=["Order"]).groupBy(bucket).agg(m.agg().alias("value")).orderBy("label")
 
 
 def comparison_pivot(star: StarSchema, metric_id: str, rows_by: str, members_of: str, members: list[str]) -> DataFrame:
@@ -183,10 +192,10 @@ def tabular(star: StarSchema, spec: ReportSpec, as_of: datetime | None = None) -
         if (condition := combined(spec.filters)) is not None:
             out = out.where(condition)
         if spec.time:
-            out = out.where(_when(f"{ALIASES[root]}.CreatedOnUtc", spec.time, as_of))
+            out = out.where(_when(f"{ALIASES[root]}.CreatedOnUtc", spec, as_of))
         present = {root}
     else:
-        out = rows(star, [p for p in (m, d) if p], spec, as_of)
+        out = rows(star, [p for p in (m, d) if p], spec, as_of, also=["Order"])
         present = {"Order", d.table} | ({m.table} if m else set())
     row = m.row() if m and m.row else None
     value = [] if row is None else [(row if m.id in ("order_count", "customer_count", "shipment_count", "item_quantity") else row.cast("double")).alias("value")]

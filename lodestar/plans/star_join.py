@@ -26,26 +26,35 @@ EDGES = (
 _NEEDS = {e[0]: e[4] for e in EDGES}
 
 
-def closure(tables: Iterable[str]) -> set[str]:
-    """The tables, and those on their way to Order."""
-    out = set()
-    for t in tables:
-        while t != "Order":
-            out.add(t)
-            t = _NEEDS[t]
-    return out | {"Order"}
+def _way(table: str) -> list[str]:
+    """The table, and what lies between it and Order, which comes last."""
+    out = [table]
+    while out[-1] != "Order":
+        out.append(_NEEDS[out[-1]])
+    return out
+
+
+def root_of(tables: Iterable[str]) -> str:
+    """The table nearest to Order among those that connect the tables: where they all meet on their way to it."""
+    ways = [_way(t) for t in tables]
+    return next(t for t in ways[0] if all(t in w for w in ways))
+
+
+def closure(tables: Iterable[str], root: str = "Order") -> set[str]:
+    """The tables, and those on their way to the root."""
+    return {root}.union(*[(w := _way(t))[: w.index(root) + 1] for t in tables])
 
 
-def star_join(star: StarSchema, tables: Iterable[str], columns: dict[str, set[str]] | None = None, root: DataFrame | None = None) -> DataFrame:
-    """Order joined with the tables and what lies between, each under its alias.
+def star_join(star: StarSchema, tables: Iterable[str], columns: dict[str, set[str]] | None = None, root: DataFrame | None = None, at: str = "Order") -> DataFrame:
+    """The table at joined with the tables and what lies between, each under its alias.
 
-    columns: by table, what will be read of it. root: the orders, if they are already filtered.
+    columns: by table, what will be read of it. root: the table at, if it is already filtered.
     Joins are equi-joins; small sides broadcast when Spark knows them to be small.
     """
-    wanted, columns = closure(tables), columns or {}
-    out = root if root is not None else star.table("Order", columns.get("Order", ()))
+    wanted, columns = closure(tables, at), columns or {}
+    out = root if root is not None else star.table(at, columns.get(at, ()))
     for table, how, key, other, _ in EDGES:
-        if table in wanted:
+        if table in wanted and table != at:
             out = out.join(star.table(table, columns.get(table, ())), F.col(key) == F.col(other), how)
     return out
 

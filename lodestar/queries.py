@@ -60,6 +60,7 @@ for _name, _filters, _where, _also in (
     ("filter_not_null", (P("delivery_date", "is_not_null"),), "sh.\"DeliveryDateUtc\" IS NOT NULL", ("Shipment",)),
     ("filter_date_literal", (P("order_date", ">", "2000/03/15"),), "CAST(o.\"CreatedOnUtc\" AS DATE) > DATE '2000-03-15'", ()),
     ("filter_same_field_or", (P("payment_method", "=", "1-URGENT"), P("payment_method", "=", "5-LOW"), P("OrderStatusId", "=", 30)), "o.\"PaymentMethodSystemName\" IN ('1-URGENT', '5-LOW') AND o.\"OrderStatusId\" = 30", ()),
+    ("filter_negatives", (P("payment_method", "!=", "1-URGENT"), P("payment_method", "not in", "2-HIGH"), P("payment_method", "is_not_null"), P("OrderStatusId", "!=", 10), P("OrderStatusId", "=", 30)), "o.\"PaymentMethodSystemName\" NOT IN ('1-URGENT', '2-HIGH') AND o.\"OrderStatusId\" = 30", ()),
     ("filter_range_pair", (P("product_price", ">", 920), P("product_price", "<", 960)), "p.\"Price\" > 920 AND p.\"Price\" < 960", ("Product",)),
     ("filter_metric_rowwise", (P("refund_amount", ">", 50000),), "o.\"RefundedAmount\" > 50000", ()),
     ("business_term", (P("status", "=", "abandoned"),), f"{_STATUS} = 40", ()),
@@ -70,6 +71,8 @@ for _name, _role, _params, _where, _also in (
     ("row_policy", "analyst", {}, "cu.\"Active\" = 1", ("Customer",)),
     ("row_policy_region", "regional_manager", {"region_id": 3}, "addr.\"CountryId\" = 3", ("Address",)),
     ("row_policy_store", "store_manager", {"store_id": 2}, "o.\"StoreId\" = 2", ()),
+    ("row_policy_chair", "dept_chair", {"department_id": 1}, "o.\"StoreId\" = 1", ()),
+    ("row_policy_read_only", "read_only", {}, "", ()),
     ("row_policy_public", "public", {}, "", ()),
 ):
     on_report(_name, R.ReportSpec("summary", "revenue", "order_status", role=_role, role_params=_params), O.report("revenue", "order_status", _where, _also))
@@ -82,9 +85,15 @@ for _rule, _where in {
     "last week": f"{_C} >= DATE '2001-07-23' AND {_C} < DATE '2001-07-30'", "this month": f"{_C} >= DATE '2001-08-01' AND {_C} < DATE '2001-09-01'", "last month": f"{_C} >= DATE '2001-07-01' AND {_C} < DATE '2001-08-01'",
     "this year": f"YEAR({_C}) = 2001", "last year": f"YEAR({_C}) = 2000", "this quarter": f"{_C} >= DATE '2001-07-01' AND {_C} < DATE '2001-10-01'", "last 90 days": f"{_C} >= TIMESTAMP '2001-05-03'",
     "last 6 months": f"{_C} >= DATE '2001-02-01'", "2000": f"YEAR({_C}) = 2000", "q2 2000": f"{_C} >= DATE '2000-04-01' AND {_C} < DATE '2000-07-01'", "past 48 hours": f"{_C} >= TIMESTAMP '2001-07-30'",
+    "this morning": f"{_C} >= TIMESTAMP '2001-08-01' AND {_C} < TIMESTAMP '2001-08-01 12:00:00'",
 }.items():
     on_report("time_" + _rule.replace(" ", "_"), R.ReportSpec("summary", "order_count", "order_status", time=_rule), O.report("order_count", "order_status", _where))
 
+for _rule, _where in {"last week": f"{_C} >= DATE '2001-07-23'", "this month": f"{_C} >= DATE '2001-08-01'", "last month": f"{_C} >= DATE '2001-07-01'"}.items():
+    on_report("time_" + _rule.replace(" ", "_") + "_open", R.ReportSpec("summary", "order_count", "order_status", time=_rule, open_windows=True), O.report("order_count", "order_status", _where))
+for _m, _d in (("customer_count", "customer_registration_date"), ("item_quantity", "category_name"), ("line_item_revenue", "manufacturer_name"), ("shipment_count", "shipped_date")):
+    on_report(f"rooted_{_m}", R.ReportSpec("summary", _m, _d), O.report(_m, _d))
+
 # joins: rows and distinct keys on both sides of every edge
 for _name, _tables, _keys, _sql in (
     ("join_order_customer", ("Customer",), ("o.Id", "cu.Id"), ("o.\"Id\"", "cu.\"Id\"")), ("join_order_items", ("OrderItem",), ("o.Id", "oi.ProductId"), ("o.\"Id\"", "oi.\"ProductId\"")),
@@ -125,7 +134,7 @@ on_star("report_funnel", O.with_views("""SELECT step, stage, orders, ROUND(CAST(
         lambda star: R.funnel(star, {"Pending": F.col("o.OrderStatusId") >= 10, "Processing": F.col("o.OrderStatusId") >= 20, "Complete": F.col("o.OrderStatusId") == 30}))
 on_star("report_cohort", O.with_views("""SELECT CASE WHEN n = 1 THEN 'new' ELSE 'returning' END AS label, CAST(SUM("OrderTotal" - "RefundedAmount") AS DOUBLE) AS value
   FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY "CustomerId" ORDER BY "CreatedOnUtc", "Id") AS n FROM order_) GROUP BY 1"""), lambda star: R.cohort(star))
-on_star("report_correlate", O.with_views(f"SELECT ROUND(CORR(x, y), 6) AS corr, COUNT(*) AS n FROM (SELECT p.\"Name\" AS label, CAST({O.METRIC['line_item_revenue']} AS DOUBLE) AS x, CAST({O.METRIC['item_quantity']} AS DOUBLE) AS y {O.joined('Product')} GROUP BY 1)"),
+on_star("report_correlate", O.with_views(f"SELECT ROUND(CORR(x, y), 6) AS corr, COUNT(*) AS n FROM (SELECT p.\"Name\" AS label, CAST({O.METRIC['line_item_revenue']} AS DOUBLE) AS x, CAST({O.METRIC['item_quantity']} AS DOUBLE) AS y {O.rooted('OrderItem', 'Product')} GROUP BY 1)"),
         lambda star: R.correlate(star, "line_item_revenue", "item_quantity", "product_name")[1])
 on_star("report_tabular", O.with_views(f"SELECT o.\"CustomOrderNumber\" AS label, CAST(COALESCE(o.\"OrderTotal\",0) - COALESCE(o.\"RefundedAmount\",0) AS DOUBLE) AS value, CAST(o.\"OrderTotal\" AS DOUBLE) AS total, {O._day(_C)} AS date FROM order_ o WHERE {_STATUS} = 10 ORDER BY value DESC, label, total, date LIMIT 100"),
         lambda star: R.tabular(star, R.ReportSpec("tabular", "revenue", "order_number", filters=(P("OrderStatusId", "=", 10),)), AS_OF))

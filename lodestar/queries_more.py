@@ -63,7 +63,7 @@ on_star("attribute_margin_corr", O.with_views(" UNION ALL ".join(f"SELECT '{a}'
 on_star("basket_pairs", O.with_views("""SELECT a."ProductId" AS a, b."ProductId" AS b, COUNT(*) AS orders FROM (SELECT DISTINCT "OrderId", "ProductId" FROM order_item) a
   JOIN (SELECT DISTINCT "OrderId", "ProductId" FROM order_item) b ON a."OrderId" = b."OrderId" AND a."ProductId" < b."ProductId" GROUP BY 1, 2 ORDER BY orders DESC, a, b LIMIT 50"""), lambda star: A.basket_pairs(star, 50))
 
-# ------------------------------------------------------------------ requests and SQL texts, made from events
+# ------------------------------------------------------------------ texts: whole documents and turns of conversations, and requests and SQL made from events
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from .functions import textrules as X  # noqa: E402
@@ -77,6 +77,7 @@ from .functions.rule_values import (  # noqa: E402
     EXPECTED_TIME,
     INTENT_PATTERNS,
     METRIC_KEYWORDS,
+    SCORE_REASONS,
     UNSUPPORTED_MARKERS,
 )
 from .operators import catalog as K  # noqa: E402
@@ -101,9 +102,14 @@ STATEMENTS = (
 
 
 def _texts(spark: SparkSession, path: str, texts: tuple[str, ...]) -> DataFrame:
-    n = (F.col("event_id") % 97 + 1).cast("string")
+    """(id, n, system, text) of all documents and conversations, and of the texts dealt to events; n numbers them by kind."""
+    number = (F.col("event_id") % 97 + 1).cast("string")
     at = (F.col("event_id") % len(texts)).cast("int")
-    return spark.read.parquet(f"{path}/events.parquet").select(F.col("event_id").alias("id"), F.col("event_type").alias("system"), F.replace(F.get(F.array(*map(F.lit, texts)), at), F.lit("{n}"), n).alias("text"))
+    of = lambda t, id, n, system, text: spark.read.parquet(f"{path}/{t}.parquet").select(id.alias("id"), F.col(n).alias("n"), F.col(system).alias("system"), text.alias("text"))
+    events = of("events", F.concat(F.lit("e"), "event_id"), "event_id", "event_type", F.replace(F.get(F.array(*map(F.lit, texts)), at), F.lit("{n}"), number))
+    docs = of("documents", F.concat(F.lit("d"), "doc_id"), "doc_id", "source", F.col("text"))
+    turns = of("conversations", F.concat(F.lit("c"), "conv_id", F.lit("."), "turn"), "conv_id", "role", F.col("text"))
+    return events.unionByName(docs).unionByName(turns)
 
 
 def _normalised(d: DataFrame) -> DataFrame:
@@ -112,7 +118,8 @@ def _normalised(d: DataFrame) -> DataFrame:
 
 def _sql_texts(texts: tuple[str, ...]) -> str:
     quoted = ", ".join("'" + t.replace("'", "''") + "'" for t in texts)
-    return f"(SELECT event_id AS id, event_type AS system, replace([{quoted}][CAST(event_id % {len(texts)} AS INTEGER) + 1], '{{n}}', CAST(event_id % 97 + 1 AS VARCHAR)) AS text FROM events)"
+    events = f"SELECT 'e' || event_id AS id, event_id AS n, event_type AS system, replace([{quoted}][CAST(event_id % {len(texts)} AS INTEGER) + 1], '{{n}}', CAST(event_id % 97 + 1 AS VARCHAR)) AS text FROM events"
+    return f"({events} UNION ALL SELECT 'd' || doc_id, doc_id, source, text FROM documents UNION ALL SELECT 'c' || conv_id || '.' || turn, conv_id, role, text FROM conversations)"
 
 
 def _quote(s: str) -> str:
@@ -146,15 +153,16 @@ tagging("extract_topn", rf"""SELECT id, CAST(NULLIF(regexp_extract(lower(text),
         lambda d: d.select("id", X.extract_topn(F.col("text")).alias("x")).select("id", "x.n", "x.sort"))
 _OVER, _UNDER = r"\b(?:exceeds?|greater than|more than|above|over)\s+\$?([\d,]+)", r"\b(?:less than|below|under)\s+\$?([\d,]+)"
 tagging("extract_threshold", f"""SELECT id, CASE WHEN amount IS NOT NULL THEN op END AS op, amount FROM (SELECT id, CASE WHEN regexp_matches(lower(text), '{_OVER}') THEN '>' ELSE '<' END AS op,
-  CASE WHEN {_DIMENSION_OF} IS NOT NULL THEN CAST(replace(NULLIF(COALESCE(NULLIF(regexp_extract(lower(text), '{_OVER}', 1), ''), regexp_extract(lower(text), '{_UNDER}', 1)), ''), ',', '') AS BIGINT) END AS amount FROM {_REQ})""",
+  CASE WHEN {_DIMENSION_OF} IS NOT NULL THEN TRY_CAST(replace(NULLIF(COALESCE(NULLIF(regexp_extract(lower(text), '{_OVER}', 1), ''), regexp_extract(lower(text), '{_UNDER}', 1)), ''), ',', '') AS BIGINT) END AS amount FROM {_REQ})""",
         lambda d: d.select("id", X.extract_threshold(F.col("text")).alias("x")).select("id", "x.op", "x.amount"))
 _NAMES = ("Revenue", "top_n", "comparison", "by_category", "trending", "correlations", "shopping list", "pipeline", "kpi", "segments", "get_top_customers")
-tagging("normalise_intent", f"SELECT id, CASE text WHEN 'Revenue' THEN 'kpi' WHEN 'top_n' THEN 'ranking' WHEN 'by_category' THEN 'segment' WHEN 'trending' THEN 'trend' WHEN 'correlations' THEN 'correlate' WHEN 'shopping list' THEN 'tabular' WHEN 'pipeline' THEN 'funnel' WHEN 'segments' THEN 'segment' WHEN 'get_top_customers' THEN 'ranking' ELSE text END AS label FROM {_sql_texts(_NAMES)}",
+_PARTS = " ".join(f"WHEN contains(lower(text), '{part}') THEN '{target}'" for part, target in X.INTENT_PARTS)
+tagging("normalise_intent", f"SELECT id, CASE text WHEN 'Revenue' THEN 'kpi' WHEN 'top_n' THEN 'ranking' WHEN 'by_category' THEN 'segment' WHEN 'trending' THEN 'trend' WHEN 'correlations' THEN 'correlate' WHEN 'shopping list' THEN 'tabular' WHEN 'pipeline' THEN 'funnel' WHEN 'segments' THEN 'segment' WHEN 'get_top_customers' THEN 'ranking' ELSE CASE WHEN id LIKE 'e%' THEN text {_PARTS} ELSE lower(text) END END AS label FROM {_sql_texts(_NAMES)}",
         lambda d: d.select("id", X.normalise_intent(F.col("text")).alias("label")), _NAMES)
 _JSON = ('```json\n{"intent": "sales", "filters": {}, "metric_term": "revenue"}\n```', '[{"intent_class": "top_n", "filters": [{"dimension": "status", "op": "!=", "value": "{n}"}, {"field": "x"}]}]', '{"metric_term": "profit", "needs_clarification": true, "confidence": "low"}', '{"intent_class": "plot", "filters": [{"name": "a", "value": "b"}]}')
 _WANT = (("kpi", "revenue", "", "high", False), ("ranking", None, "status != {n}", "high", False), ("kpi", "profit", "", "low", True), ("trend", None, "a = b", "high", False))
-_ONE = lambda i, f: "CASE id % 4 " + " ".join(f"WHEN {k} THEN {f(w[i])}" for k, w in enumerate(_WANT)) + " END"
-tagging("normalise_request", f"SELECT id, {_ONE(0, _quote)} AS intent_class, {_ONE(1, lambda v: 'NULL' if v is None else _quote(v))} AS metric_term, replace({_ONE(2, _quote)}, '{{n}}', CAST(id % 97 + 1 AS VARCHAR)) AS filters, {_ONE(3, _quote)} AS confidence, {_ONE(4, str)} AS needs_clarification FROM (SELECT event_id AS id FROM events)",
+_ONE = lambda i, f, other: "CASE WHEN id NOT LIKE 'e%' THEN " + other + " " + " ".join(f"WHEN n % 4 = {k} THEN {f(w[i])}" for k, w in enumerate(_WANT)) + " END"
+tagging("normalise_request", f"SELECT id, {_ONE(0, _quote, _quote('kpi'))} AS intent_class, {_ONE(1, lambda v: 'NULL' if v is None else _quote(v), 'NULL')} AS metric_term, replace({_ONE(2, _quote, _quote(''))}, '{{n}}', CAST(n % 97 + 1 AS VARCHAR)) AS filters, {_ONE(3, _quote, _quote('high'))} AS confidence, {_ONE(4, str, 'FALSE')} AS needs_clarification FROM {_sql_texts(_JSON)}",
         lambda d: d.select("id", X.normalise_request(F.col("text")).alias("r")).select("id", "r.intent_class", "r.metric_term", F.array_join(F.transform("r.filters", lambda f: F.concat_ws(" ", f["field"], f["operator"], f["value"])), ";").alias("filters"), "r.confidence", "r.needs_clarification"), _JSON)
 
 _TERMS = ("revenue", "total revenue by store", "refunds", "number of orders", "coupon_redemption", "unique customers", "ORDER_COUNT ", "profit", "shipments created", "")
@@ -175,7 +183,7 @@ tagging("coverage_check", f"SELECT id, m IS NULL AND d IS NULL AS valid, CONCAT_
 tagging("closed_vocabulary", f"SELECT m IS NULL AND d IS NULL AS valid, COUNT(*) AS n FROM (SELECT {_REASON['metric']} AS m, {_REASON['dimension']} AS d FROM {_sql_texts(_TERMS)}) GROUP BY 1",
         lambda d: d.groupBy(X.coverage(F.col("text"), F.col("text"))["valid"].alias("valid")).agg(F.count(F.lit(1)).alias("n")), _TERMS)
 
-_NORM = "regexp_replace(translate(lower(text), '‑–—`[]', '---'), '\\s+', ' ', 'g')"
+_NORM = "regexp_replace(translate(lower(text), '‑–—`[]', '---'), '[\\s\\x0B]+', ' ', 'g')"
 _REASONS = "[" + ", ".join(f"CASE WHEN contains({_NORM}, {_quote(m)}) THEN {_quote(r)} END" for m, r in UNSUPPORTED_MARKERS) + "]"
 _UNSUPPORTED = f"array_to_string(list_filter({_REASONS}, lambda x: x IS NOT NULL), '; ')"
 tagging("unsupported_reasons", f"SELECT id, {_UNSUPPORTED} AS reason, CASE WHEN {_UNSUPPORTED} = '' THEN 'answer' ELSE 'clarify_or_reject' END AS behavior FROM {_REQ}",
@@ -183,12 +191,12 @@ tagging("unsupported_reasons", f"SELECT id, {_UNSUPPORTED} AS reason, CASE WHEN
 
 
 def _pattern():
-    return F.get(F.array(*map(F.lit, E.PATTERNS)), (F.col("id") % 11).cast("int"))
+    return F.get(F.array(*map(F.lit, E.PATTERNS)), (F.col("n") % 11).cast("int"))
 
 
-_PATTERN_SQL = f"[{', '.join(map(_quote, E.PATTERNS))}][CAST(id % 11 AS INTEGER) + 1]"
+_PATTERN_SQL = f"[{', '.join(map(_quote, E.PATTERNS))}][CAST(n % 11 AS INTEGER) + 1]"
 _GROUPED = ", ".join(map(_quote, X.GROUPED_PATTERNS))
-_EXPECTED = f"""SELECT id, text, {_PATTERN_SQL} AS pattern, CASE WHEN {_UNSUPPORTED} = '' THEN 'answer' ELSE 'clarify_or_reject' END AS behavior,
+_EXPECTED = f"""SELECT id, n, text, {_PATTERN_SQL} AS pattern, CASE WHEN {_UNSUPPORTED} = '' THEN 'answer' ELSE 'clarify_or_reject' END AS behavior,
   CASE WHEN contains({_NORM}, 'average number of items per order') THEN 'quantity' ELSE {_case(EXPECTED_METRIC, _has(_NORM), "'order_count'")} END AS metric,
   CASE WHEN {_PATTERN_SQL} IN ({_GROUPED}) THEN CASE WHEN contains({_NORM}, 'by month') OR contains({_NORM}, 'daily') OR contains({_NORM}, 'weekly') THEN 'date' ELSE {_case(EXPECTED_DIMENSION, _has(_NORM))} END
     WHEN contains({_NORM}, ' per payment method') THEN 'payment_method' END AS dimension, {_case(EXPECTED_TIME, _has(_NORM))} AS time, {_UNSUPPORTED} AS unsupported FROM {_REQ}"""
@@ -210,20 +218,22 @@ def _tokens(label: str, tokens: dict, text: str) -> str:
     return f"CASE WHEN {label} IS NULL THEN TRUE " + " ".join(f"WHEN {label} = '{k}' THEN {' OR '.join('(' + ' AND '.join(_has(text)(t) for t in g) + ')' for g in groups)}" for k, groups in tokens.items()) + " ELSE TRUE END"
 
 
-_S = f"regexp_replace(translate(lower({_BODY} || ' '), '‑–—`[]', '---'), '\\s+', ' ', 'g')"
-_OK = "(id % 7 <> 0)"
-SQL_SCORE = f"""SELECT id, CASE WHEN behavior <> 'answer' THEN refused WHEN NOT {_OK} THEN FALSE WHEN unsupported <> '' THEN FALSE
-  ELSE {_tokens('metric', X.METRIC_SQL_TOKENS, 's')} AND {_tokens('dimension', X.DIM_SQL_TOKENS, 's')} AND {_tokens('time', X.TIME_SQL_TOKENS, 's')} AND NOT (pattern NOT IN ({_GROUPED}) AND dimension IS NULL AND contains(s, ' group by ')) END AS correct
-  FROM (SELECT e.*, {_S.replace('text', 't.text')} AS s, ({' OR '.join(_has(_S.replace('text', 't.text'))(w) for w in ('cannot answer', 'not available', 'not supported', 'outside', 'clarify'))}) AND NOT ({' OR '.join(_has(_S.replace('text', 't.text'))(w) for w in ('select ', 'update ', 'delete ', 'insert ', 'drop ', 'alter '))}) AS refused
-    FROM ({_EXPECTED}) e JOIN {_STM} t USING (id))"""
+_S = f"regexp_replace(translate(lower({_BODY} || ' '), '‑–—`[]', '---'), '[\\s\\x0B]+', ' ', 'g')"
+_OK = "(n % 7 <> 0)"
+_SAY = {k: _quote(v) for k, v in SCORE_REASONS.items()}
+SQL_SCORE = f"""SELECT id, reason IN ({_SAY['avoided']}, {_SAY['correct']}) AS correct, reason FROM (SELECT id, CASE WHEN behavior <> 'answer' AND refused THEN {_SAY['avoided']} WHEN behavior <> 'answer' THEN COALESCE(NULLIF(unsupported, ''), {_SAY['should_reject']})
+  WHEN NOT {_OK} THEN {_SAY['not_executed']} WHEN unsupported <> '' THEN unsupported WHEN NOT {_tokens('metric', X.METRIC_SQL_TOKENS, 's')} THEN {_SAY['metric']} || metric WHEN NOT {_tokens('dimension', X.DIM_SQL_TOKENS, 's')} THEN {_SAY['dimension']} || dimension
+  WHEN NOT {_tokens('time', X.TIME_SQL_TOKENS, 's')} THEN {_SAY['time']} || time WHEN pattern NOT IN ({_GROUPED}) AND dimension IS NULL AND contains(s, ' group by ') THEN {_SAY['grouped']} ELSE {_SAY['correct']} END AS reason
+  FROM (SELECT e.*, {_S.replace('text', 't.text').replace('t.t.text', 't.text')} AS s, ({' OR '.join(_has(_S.replace('text', 't.text'))(w) for w in ('cannot answer', 'not available', 'not supported', 'outside', 'clarify'))}) AND NOT ({' OR '.join(_has(_S.replace('text', 't.text'))(w) for w in ('select ', 'update ', 'delete ', 'insert ', 'drop ', 'alter '))}) AS refused
+    FROM ({_EXPECTED}) e JOIN {_STM} t USING (id)))"""
 
 
 @register("score_rows", SQL_SCORE)
 def _score_rows(spark: SparkSession, path: str) -> DataFrame:
-    e = _normalised(_texts(spark, path, REQUESTS)).select("id", _pattern().alias("pattern"), X.expected_labels(F.col("q"), _pattern()).alias("e"))
+    e = _normalised(_texts(spark, path, REQUESTS)).select("id", "n", _pattern().alias("pattern"), X.expected_labels(F.col("q"), _pattern()).alias("e"))
     both = e.join(_texts(spark, path, STATEMENTS).select("id", X.score_text(F.col("text"), F.lit("")).alias("s")), "id")
-    found = X.score(F.col("s"), F.col("e.behavior"), F.col("pattern"), F.col("e.metric"), F.col("e.dimension"), F.col("e.time"), F.col("e.unsupported"), F.col("id") % 7 != 0)
-    return both.select("id", found["correct"].alias("correct"))
+    found = X.score(F.col("s"), F.col("e.behavior"), F.col("pattern"), F.col("e.metric"), F.col("e.dimension"), F.col("e.time"), F.col("e.unsupported"), F.col("n") % 7 != 0)
+    return both.select("id", found.alias("f")).select("id", "f.correct", "f.reason")
 
 
 # ------------------------------------------------------------------ evaluation, over labels, documents and events
@@ -385,8 +395,8 @@ def _write_catalog(spark: SparkSession, path: str) -> DataFrame:
 def _write_annotations(spark: SparkSession, path: str) -> DataFrame:
     at = io.scratch(spark, "annotations")
     io.write_annotations(_texts(spark, path, STATEMENTS).select("id", "text"), at)
-    csv = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema("id long, text string").csv(f"{at}/csv")
-    return spark.read.schema("id long, text string").json(f"{at}/json").unionByName(csv)
+    csv = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema("id string, text string").csv(f"{at}/csv")
+    return spark.read.schema("id string, text string").json(f"{at}/json").unionByName(csv)
 
 
 @register("run_saved_query", "SELECT o_orderstatus AS label, COUNT(*) AS value FROM orders WHERE o_totalprice > 200000 GROUP BY 1")

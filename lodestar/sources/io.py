@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.textrules import unsafe_word
+from ..functions.textrules import UNSAFE
 
 RESULT = "id long, query string, system string, sql string, params map<string,string>, status string, error string"
 _OWN: dict[str, str] = {}
@@ -50,12 +51,40 @@ def read_report_catalog(spark: SparkSession, path: str, report: str, lines: bool
     return each.select("id", "report.*")
 
 
+#: A comment, a quoted text or name, the end of a statement, or any other character.
+_TOKEN = re.compile(r"(?s)(--[^\n]*|/\*.*?\*/|/\*)|('(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"|`[^`]*`|['\"`])|(;)|(.)")
+#: What a statement may begin with, and calls that leave the engine.
+_READS = re.compile(r"(?i)[\s(]*(select|with)\b")
+_LEAVES = re.compile(r"(?i)\b(reflect|java_method|try_reflect)\s*\(|\busing\s*''")
+
+
+def read_only_statements(text: str) -> list[str]:
+    """The statements of a text, without comments, split outside quotes.
+
+    Refused if one does not begin with SELECT or WITH, has a word that writes outside quotes, or calls
+    code outside the engine; so are comments and quotes without an end.
+    """
+    statements, code = [""], [""]
+    for m in _TOKEN.finditer(text):
+        comment, quoted, end, other = m.groups()
+        if comment == "/*" or (quoted and len(quoted) == 1):
+            raise ValueError("only read-only statements are run: a comment or quote has no end")
+        if end:
+            statements.append("")
+            code.append("")
+        else:
+            statements[-1] += " " if comment else m[0]
+            code[-1] += " " if comment else "''" if quoted else other
+    found = [(s.strip(), c) for s, c in zip(statements, code, strict=True) if s.strip()]
+    writes = re.compile(r"(?i)\b(" + "|".join(UNSAFE["long"]) + r")(?:\b|$)")
+    if not found or any(not _READS.match(c) or writes.search(c) or _LEAVES.search(c) for _, c in found):
+        raise ValueError("only read-only statements are run")
+    return [s for s, _ in found]
+
+
 def run_saved_query(spark: SparkSession, text: str, params: dict | None = None) -> DataFrame:
     """The result of the last statement of a stored text with :name parameters; refused if not read-only."""
-    statements = [s.strip() for s in text.split(";") if s.strip()]
-    found = spark.createDataFrame([(s,) for s in statements], "sql string").where(unsafe_word(F.col("sql")).isNotNull())
-    if not statements or not found.isEmpty():
-        raise ValueError("only read-only statements are run")
+    statements = read_only_statements(text)
     out = None
     for s in statements:
         out = spark.sql(s, args=params or {})
@@ -71,7 +100,9 @@ def normalise_result(df: DataFrame) -> DataFrame:
             return c.cast("double").alias(f.name)
         if isinstance(f.dataType, T.DateType):
             return F.date_format(c, "yyyy-MM-dd").alias(f.name)
-        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+        if isinstance(f.dataType, T.TimestampNTZType):  # as it is, in no zone
+            return F.concat(F.substring(c.cast("string"), 1, 10), F.lit("T"), F.substring(c.cast("string"), 12, 8)).alias(f.name)
+        if isinstance(f.dataType, T.TimestampType):
             return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(f.name)
         return c
 

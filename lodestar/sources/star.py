@@ -29,13 +29,21 @@ class StarSchema:
     are only made when a report uses them."""
 
     tables: dict[str, Callable[[frozenset[str]], DataFrame]]
+    #: Order with columns and a condition, where it can be made cheaper than by filtering the table.
+    filtered: Callable[[frozenset[str], Column], DataFrame] | None = None
 
     def table(self, name: str, columns: Iterable[str] = ()) -> DataFrame:
         """The table under its alias, with these columns at least."""
         return self.tables[name](frozenset(columns)).alias(ALIASES[name])
 
+    def orders(self, columns: Iterable[str], where: Column) -> DataFrame:
+        """Order under its alias, with these columns at least, filtered. where reads no sums over lines."""
+        if self.filtered:
+            return self.filtered(frozenset(columns), where).alias(ALIASES["Order"])
+        return self.table("Order", columns).where(where)
+
     def replaced(self, **tables: DataFrame) -> StarSchema:
-        return StarSchema(self.tables | {k: (lambda _, d=d: d) for k, d in tables.items()})
+        return StarSchema(self.tables | {k: (lambda _, d=d: d) for k, d in tables.items()}, None if "Order" in tables else self.filtered)
 
 
 def of_frames(frames: dict[str, DataFrame]) -> StarSchema:
@@ -68,7 +76,7 @@ def load_star(spark: SparkSession, path: str) -> StarSchema:
             _days("1995-01-01", key % 2000).alias("CreatedOnUtc"),
         )
 
-    def order(columns: frozenset[str]) -> DataFrame:
+    def order(columns: frozenset[str], where: Column | None = None) -> DataFrame:
         key, customer = F.col("o_orderkey"), F.col("o_custkey")
         rank = F.substring("o_orderpriority", 1, 1)
         out = base("orders").select(
@@ -81,10 +89,14 @@ def load_star(spark: SparkSession, path: str) -> StarSchema:
             money(F.element_at(F.array(*map(F.lit, (60, 120, 150))), (key % 3 + 1).cast("int"))).alias("OrderShippingExclTax"),
             money(F.col("o_totalprice")).alias("OrderTotal"), F.col("o_orderdate").cast("timestamp_ntz").alias("CreatedOnUtc"),
         )
+        if where is not None:
+            out = out.alias(ALIASES["Order"]).where(where)
         if not columns & {*ORDER_LINE_SUMS}:
             return out
         zero = F.lit(0).cast(MONEY)
-        sums = lines().groupBy(F.col("l_orderkey").alias("k")).agg(
+        # of filtered orders, only their own lines are summed; the join that finds them has the grouping's key
+        own = lines() if where is None else lines().join(out.select(F.col("Id").alias("own")), F.col("l_orderkey") == F.col("own"), "left_semi")
+        sums = own.groupBy(F.col("l_orderkey").alias("k")).agg(
             F.sum("price").alias("OrderSubtotalExclTax"), F.sum("tax").alias("OrderTax"), F.sum("discount").alias("OrderDiscount"),
             F.sum(F.when(F.col("l_returnflag") == "R", F.col("price")).otherwise(zero)).alias("RefundedAmount"),
         )
@@ -141,14 +153,17 @@ def load_star(spark: SparkSession, path: str) -> StarSchema:
         "Manufacturer": manufacturer, "Product_Manufacturer_Mapping": product_manufacturer, "Customer": customer, "Address": address,
         "Country": lambda _: base("nation").select(F.col("n_nationkey").alias("Id"), F.col("n_name").alias("Name")),
         "Shipment": shipment, "Store": lambda _: base("region").select(F.col("r_regionkey").alias("Id"), F.col("r_name").alias("Name")),
-    })
+    }, order)
+
 
+def load_star_jdbc(spark: SparkSession, url: str, bounds: dict[str, tuple[str, int, int, int]], properties: dict[str, str], quote: str = '"') -> StarSchema:
+    """The tables from a database: for each, the split column, its bounds and the number of connections.
 
-def load_star_jdbc(spark: SparkSession, url: str, bounds: dict[str, tuple[str, int, int, int]], properties: dict[str, str]) -> StarSchema:
-    """The tables from a database: for each, the split column, its bounds and the number of connections."""
+    quote: the database's mark around names, as Order is a word of SQL.
+    """
 
     def read(name: str) -> Callable[[frozenset[str]], DataFrame]:
         column, low, high, n = bounds[name]
-        return lambda _: spark.read.jdbc(url, name, column=column, lowerBound=low, upperBound=high, numPartitions=n, properties=properties)
+        return lambda _: spark.read.jdbc(url, f"{quote}{name}{quote}", column=column, lowerBound=low, upperBound=high, numPartitions=n, properties=properties)
 
-    return StarSchema({name: read(name) for name in ALIASES})
+    return StarSchema({name: read(name) for name in bounds})

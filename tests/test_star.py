@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from lodestar.functions.dimensions import DIMENSIONS
 from lodestar.functions.metrics import METRICS
 from lodestar.functions.predicates import POLICIES, Predicate, as_column, combined
+from lodestar.functions import textrules
 from lodestar.functions.textrules import coverage, extract_threshold, normalise_intent, resolve_term, unsafe_word
 from lodestar.functions.timewin import time_window
 from lodestar.operators import analytics, catalog, evaluation
 from lodestar.plans import reports
-from lodestar.plans.star_join import closure
+from lodestar.plans.star_join import closure, root_of
 from lodestar.sources import io
-from lodestar.sources.star import load_star, of_frames
+from lodestar.sources.star import load_star, load_star_jdbc, of_frames
 
 SF = "/root/testdata/sf0.001"
 MONEY = "decimal(18,4)"
@@ -204,10 +205,80 @@ def test_report_id_ignores_the_order_of_sets(spark):
     assert df.select(catalog.report_id({"path": F.col("path"), "metric": F.lit("m")}, ("path",))).distinct().count() == 1
 
 
-def test_saved_query_refuses_writes(spark):
-    with pytest.raises(ValueError):
-        io.run_saved_query(spark, "DROP TABLE x")
+@pytest.mark.parametrize(
+    "text",
+    [
+        "DROP TABLE x", "/* ```sql SELECT 1 ``` */ DROP VIEW victim", "SELECT 1; SET spark.sql.ansi.enabled=false", "", ";", "-- SELECT 1", "SELECT 1 /* open", "SELECT 'open", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a",
+        "FROM x SELECT TRANSFORM(a) USING 'sh'", "SELECT TRANSFORM(a) USING 'sh' FROM x", "SELECT reflect('java.lang.Runtime', 'getRuntime')", "SELECT 1; CACHE TABLE x", "EXPLAIN SELECT 1", "SELECT 1 -- '\n; DELETE FROM t -- '",
+    ],
+)
+def test_saved_query_refuses_writes(spark, text):
+    with pytest.raises(ValueError, match="read-only"):
+        io.run_saved_query(spark, text)
+
+
+def test_saved_query_reads(spark):
+    spark.range(3).createOrReplaceTempView("victim")
     assert io.run_saved_query(spark, "SELECT :n AS n;", {"n": 3}).first().n == 3
+    assert io.run_saved_query(spark, "SELECT 'a;b' AS x, \"drop table\" AS `update it`; -- done").first().x == "a;b"
+    assert io.run_saved_query(spark, "/* first */ SELECT 1; (WITH a AS (SELECT id FROM victim) SELECT max(id) AS m FROM a)").first().m == 2
+    assert io.run_saved_query(spark, "SELECT a.id FROM victim a JOIN victim b USING (id) WHERE updated_at IS NULL" .replace("updated_at IS NULL", "a.id = 1")).count() == 1
+    with pytest.raises(ValueError):
+        io.run_saved_query(spark, "/* ```sql SELECT 1 ``` */ DROP VIEW victim")
+    assert spark.table("victim").count() == 3
+
+
+def test_reports_begin_where_their_tables_meet(star, spark):
+    more = star.table("Customer").select("Id", "FirstName", "LastName", "Email", "Active", "AdminComment").union(spark.createDataFrame([(3, "E", "F", "e@x", 1, None)], "a long, b string, c string, d string, e int, f string"))
+    wider = star.replaced(Customer=more)
+    assert rows(reports.report(wider, reports.ReportSpec(metric="customer_count"))) == [(3,)]  # one has no order
+    assert rows(reports.report(wider, reports.ReportSpec("summary", "customer_count", "customer_active"))) == [(0, 1), (1, 2)]
+    assert rows(reports.report(wider, reports.ReportSpec("summary", "customer_count", "order_status"))) == [("Cancelled", 1), ("Complete", 1), ("Pending", 1)]
+    assert rows(reports.report(star, reports.ReportSpec("summary", "item_quantity", "product_name"))) == [("a", 7), ("b", 1)]  # no label of orders without lines
+    assert [root_of(t) for t in (["Customer"], ["Category", "OrderItem"], ["Category", "Manufacturer"], ["Country", "Address"], ["Customer", "Product"], ["Order"])] == ["Customer", "OrderItem", "Product", "Address", "Order", "Order"]
+
+
+def test_negative_conditions_hold_together(star):
+    of = lambda *ps: sorted(r.Id for r in star.table("Order").where(combined([Predicate(*p) for p in ps])).collect())
+    assert of(("OrderStatusId", "!=", 10), ("OrderStatusId", "!=", 40)) == [3]
+    assert of(("OrderStatusId", "not in", "10"), ("OrderStatusId", "is_not_null")) == [2, 3]
+    assert of(("OrderStatusId", "=", 10), ("OrderStatusId", "=", 30), ("OrderStatusId", "!=", 30)) == [1]
+
+
+@pytest.mark.parametrize(
+    ("as_of", "rule", "low"),
+    [(datetime(2001, 7, 31), "last 1 month", date(2001, 6, 30)), (datetime(2001, 11, 30), "last 6 months", date(2001, 5, 30)), (datetime(2001, 3, 31), "past 1 month", date(2001, 2, 28)), (datetime(2004, 3, 30), "last 1 months", date(2004, 2, 29)), (datetime(2001, 3, 15), "last 13 months", date(2000, 2, 15))],
+)
+def test_months_ago_end_with_the_month(as_of, rule, low):
+    assert time_window(rule, as_of)[0].date() == low
+
+
+def test_requests_get_labels_typed_by_hand(spark):
+    cases = [
+        ("Show total revenue by category", "revenue", "category_name", None), ("How many orders did we get yesterday", "order_count", None, "yesterday"), ("Top 3 customers by revenue last month", "customer_count", "customer_email", "last month"),
+        ("Profit by country this year", "profit", "country_name", "this year"), ("orders per payment method in the past 7 days", "order_count", "payment_method", "past 7 days"), ("refunds 30 days ago", None, None, "30 days ago"),
+    ]
+    q = F.col("q")
+    got = spark.createDataFrame([(c[0],) for c in cases], "q string").select(textrules.classify_metric(q).alias("m"), textrules.classify_dimension(q).alias("d"), textrules.extract_time_term(q).alias("t")).collect()
+    for (text, m, d, t), r in zip(cases, got, strict=True):
+        assert (m is None or r.m == m) and (d is None or r.d == d) and r.t == t, (text, r)
+
+
+def test_scores_say_why(spark):
+    text = ["select sum(ordertotal) from o", "I cannot answer that", "select 1", "select sum(ordertotal), c.name from o group by c.name"]
+    df = spark.createDataFrame([(t,) for t in text], "t string").withColumn("s", textrules.score_text(F.col("t"), F.lit("")))
+    of = lambda behavior, m, ok: [tuple(r.x) for r in df.select(textrules.score(F.col("s"), F.lit(behavior), F.lit("KPI"), F.lit(m), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(""), F.lit(ok)).alias("x")).collect()]
+    found = of("answer", "revenue", True)
+    assert [x[0] for x in found] == [True, False, False, False] and "metric evidence: revenue" in found[2][1] and "groups" in found[3][1]
+    assert of("clarify_or_reject", None, True)[1] == (True, "correctly avoided unsupported or unsafe request") and "execute" in of("answer", "revenue", False)[0][1]
+
+
+def test_star_over_a_database(spark):
+    url, properties = "jdbc:derby:memory:shop;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    spark.read.parquet(f"{SF}/orders.parquet").select(F.col("o_orderkey").alias("Id"), F.col("o_totalprice").alias("OrderTotal")).write.jdbc(url, '"Order"', "overwrite", properties)
+    found = load_star_jdbc(spark, url, {"Order": ("Id", 1, 6000, 4)}, properties).table("Order")
+    assert found.rdd.getNumPartitions() == 4
+    assert found.agg(F.sum("o.OrderTotal")).first()[0] == pytest.approx(spark.read.parquet(f"{SF}/orders.parquet").agg(F.sum("o_totalprice")).first()[0])
 
 
 def test_joins_are_the_needed_ones():
@@ -223,6 +294,10 @@ def test_plans_stay_in_the_engine(spark):
     star = load_star(spark, SF)
     ranked = plan(reports.report(star, reports.ReportSpec("ranking", "line_item_revenue", "product_name", limit=5)))
     assert "TakeOrderedAndProject" in ranked and "BroadcastHashJoin" in ranked and "Python" not in ranked
+    lines = plan(reports.report(star, reports.ReportSpec(metric="item_quantity")))
+    assert "orders" not in lines and "Join" not in lines
+    kpi = reports.report(star, reports.ReportSpec("kpi", "profit", time="last year"), datetime(2001, 8, 1))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in kpi and kpi.index("LeftSemi") > kpi.index("Aggregate")  # sums of those orders' lines only
     only_header = plan(reports.report(star, reports.ReportSpec("summary", "order_count", "payment_method")))
     assert "lineitem" not in only_header and "Join" not in only_header
 
