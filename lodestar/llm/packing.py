@@ -8,9 +8,10 @@ is left) finds the multiset that comes closest to the remaining capacity; its co
 and the same multiset fills as many windows as the counts allow. So the work depends on the window,
 not on the number of documents.
 
-Spark then numbers the pieces of each length. Numbers are given inside salted groups, so a length
-that a third of all documents share is spread over tasks; a piece's number says which multiset, and
-which window and place of it, it takes.
+Spark then numbers the pieces of each length. Numbers are given inside groups salted by place, so a
+length that a third of all documents share, or equal rows, are spread over tasks; a piece's number says
+which multiset, and which window and place of it, it takes. How many pieces the groups before one hold is
+joined by the groups' own partitioning, as it grows with the pieces.
 
 Null and empty texts are an end id alone. Equal rows are interchangeable. An empty table gives an
 empty result. Input columns beside the id and the text are not carried.
@@ -191,15 +192,16 @@ def layout(counts: dict[int, int], window: int = WINDOW) -> np.ndarray:
 
 def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """pieces (with a column length, at most window) and the sequence_id and offset of each."""
-    counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most window rows
+    written = materialise(pieces.withColumn("lodestar_at", F.monotonically_increasing_id()), "pieces")
+    counts = {r[0]: r[1] for r in written.groupBy("length").count().collect()}  # at most window rows
     plan = layout(counts, window)
     salts = max(LEAST_SALTS, sum(counts.values()) // SALT_ROWS)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(*pieces.columns), F.lit(salts)))
+    salted = written.withColumn("salt", F.pmod(F.xxhash64("lodestar_at"), F.lit(salts)))
     sizes = materialise(salted.groupBy("length", "salt").count(), "sizes")
     before = F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")
     firsts = materialise(sizes.select("length", "salt", before.alias("before")), "firsts")
-    number = F.row_number().over(Window.partitionBy("length", "salt").orderBy(*pieces.columns)) - 1
-    numbered = salted.withColumn("number", number.cast("long")).join(firsts, ["length", "salt"]).withColumn("number", F.col("number") + F.col("before"))
+    number = F.row_number().over(Window.partitionBy("length", "salt").orderBy("lodestar_at")) - 1
+    numbered = salted.withColumn("number", number.cast("long")).join(firsts.hint("merge"), ["length", "salt"]).withColumn("number", F.col("number") + F.col("before"))
     schema = T.StructType([*pieces.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     keys = plan[:, 0] << 48 | plan[:, 1]
 
@@ -216,8 +218,7 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def pack_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, window: int = WINDOW, end: int = END, ids: bool = False) -> DataFrame:
     """The pieces of all documents with their sequence_id and offset; ids: with their token ids."""
-    pieces = materialise(cut(docs, id, text, path, window, end, ids), "pieces")
-    return pack(pieces, window).withColumnRenamed("id", id)
+    return pack(cut(docs, id, text, path, window, end, ids), window).withColumnRenamed("id", id)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ The fit rests on at most SAMPLE rated texts, those with the least hashes of thei
 the same at any size; weights shrink to zero unless the sample supports them (follow-the-regularised-
 leader with an absolute penalty). Every text is scored, whole, by a map over the table.
 
-Null and empty texts have features too (no words) and are scored. Ratings that are null count as 0;
+Null and empty texts have features too (no words) and are scored. Ratings without a grade do not train;
 ids that are rated twice train twice, rated ids without a text do not train. Without any rated text
 all weights are zero, and all texts get the same score.
 """
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,8 @@ SAMPLE = 20_000
 BITS, PASSES, BATCH = 18, 12, 16
 #: Step, smoothing and penalties of the fit; the absolute penalty is per text of the sample.
 STEP, SMOOTH, ABSOLUTE, SQUARE = 0.5, 1.0, 0.004, 0.1
+#: Thresholds lie this far apart at least.
+APART = 1e-3
 #: Rarer grades count more, by this power of how rare they are; texts a feature must be in.
 BALANCE, LEAST_TEXTS = 0.8, 8
 #: A text is kept from this probability of the top grade on.
@@ -99,7 +101,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES) -> t
             step = np.zeros(n_grades + 1)
             np.add.at(step, y + 1, -balance[y] * slope[rows_, y + 1] / p)
             np.add.at(step, y, balance[y] * slope[rows_, y] / p)
-            theta = np.maximum.accumulate(theta - 0.05 / np.sqrt(1 + turn) * step[1:-1] / len(some))
+            apart = APART * np.arange(len(theta))
+            theta = np.maximum.accumulate(theta - 0.05 / np.sqrt(1 + turn) * step[1:-1] / len(some) - apart) + apart
             touched, where = np.unique(index, return_inverse=True)
             gradient = np.bincount(where, (g * balance[y])[of])
             grown = square[touched] + gradient**2
@@ -111,7 +114,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES) -> t
 
 def rated(docs: DataFrame, ratings: DataFrame, id: str, grade: str, sample: int) -> DataFrame:
     """(text, grade) of the rated texts with the least hashes of their ids, sample at most."""
-    picked = ratings.select(F.col(f"`{id}`").alias("r_id"), F.coalesce(F.col(grade), F.lit(0)).cast("int").alias("grade"), F.xxhash64(F.col(f"`{id}`")).alias("h")).where(F.col("r_id").isNotNull())
+    picked = ratings.select(F.col(f"`{id}`").alias("r_id"), F.col(f"`{grade}`").cast("int").alias("grade"), F.xxhash64(F.col(f"`{id}`")).alias("h")).where(F.col("r_id").isNotNull() & F.col("grade").isNotNull())
     picked = picked.orderBy("h", "r_id", "grade").limit(sample)
     texts = docs.select(F.col(f"`{id}`").alias("d_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return texts.join(F.broadcast(picked), F.col("d_id") == F.col("r_id")).select("h", "r_id", "grade", "text")
@@ -167,9 +170,13 @@ def grade_texts(docs: DataFrame, weights: np.ndarray, thresholds: np.ndarray, ke
     return found.select(*[F.col(f"row.`{c}`") for c in keep], *added[:2], (F.col("top_probability") >= select).alias("kept"))
 
 
+def grade_of() -> Column:
+    return F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grade 0: poor; 1: good but toxic; 2: good. Ids held out as in operator 2 do not train."""
+    """Grade 0: poor; 1: good but toxic; 2: good; none where the labels leave it open. Ids held out as in operator 2 do not train."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    ratings = labels.where(~held_out(F.col("doc_id"))).withColumn("grade", F.when(F.col("quality") != 1, 0).when(F.col("toxic") == 1, 1).otherwise(2))
+    ratings = labels.where(~held_out(F.col("doc_id"))).withColumn("grade", grade_of())
     found = grade_texts(docs, *train(rated(docs, ratings, "doc_id", "grade", SAMPLE)), ["doc_id"])
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "top_probability", "kept")

@@ -30,7 +30,7 @@ DIGITS, FIRST, FINER = 32, 4, 2
 #: A splitter may miss its byte target by this share of a shard.
 TOLERANCE = 0.002
 #: Rows of one shard are numbered in this many parts at least and at most, of about PART_BYTES.
-PARTS, MOST_PARTS, PART_BYTES = 32, 1024, 256 << 20
+PARTS, MOST_PARTS, PART_BYTES = 32, 4096, 256 << 20
 
 
 def sort_key(df: DataFrame, text: str = "text") -> Column:

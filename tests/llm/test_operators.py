@@ -74,6 +74,28 @@ def test_classifier_takes_awkward_rows_and_nothing(docs, no_docs):
         assert all(0 <= x.top_probability <= 1 and 0 <= x.expected_grade <= 2 for x in rows)
 
 
+def test_labels_that_are_open_do_not_train(spark):
+    labels = [(1, 0, None), (2, 1, 1), (3, 1, 0), (4, 1, None), (5, None, 0), (6, None, None), (None, 1, 0), (7, 0, 1)]
+    ratings = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("grade", quality_classifier.grade_of())
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(1, 8)] + [(3, None)], "doc_id long, text string")
+    got = quality_classifier.rated(texts, ratings, "doc_id", "grade", 100).collect()
+    assert sorted((r.r_id, r.grade) for r in got) == [(1, 0), (2, 1), (3, 2), (3, 2), (7, 0)]
+    assert len(quality_classifier.rated(texts, ratings, "doc_id", "grade", 2).collect()) <= 3
+
+
+def test_classifier_orders_grades_and_selects(spark):
+    """Held-out accuracy of a fit in Spark, for grades that rise with two words."""
+    rng = random.Random(16)
+    rows = [(i, " ".join([f"w{rng.randint(0, 90)}" for _ in range(30)] + ["fine", "great"][: i % 3]), i % 3) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    w, theta = quality_classifier.train(quality_classifier.rated(df.where("doc_id < 900"), df.select("doc_id", "grade"), "doc_id", "grade", 5000))
+    assert (np.diff(theta) >= quality_classifier.APART * 0.99).all()
+    got = quality_classifier.grade_texts(df.where("doc_id >= 900"), w, theta, ["doc_id"]).collect()
+    by = [[r.expected_grade for r in got if r.doc_id % 3 == k] for k in range(3)]
+    assert np.mean(by[0]) + 0.3 < np.mean(by[1]) < np.mean(by[2]) - 0.3
+    assert np.mean([r.kept == (r.doc_id % 3 == 2) for r in got]) > 0.9
+
+
 def test_classifier_learns_a_bad_word():
     rng = random.Random(1)
     texts, grades = [], []
@@ -86,7 +108,7 @@ def test_classifier_learns_a_bad_word():
     own, feature = quality_classifier.features(pa.array(texts))
     rows = [feature[own == i] for i in range(900)]
     w, theta = quality_classifier.fit(rows[:700], np.array(grades[:700]))
-    assert theta[0] <= theta[1]
+    assert theta[0] < theta[1]
     s = np.array([w[r].sum() for r in rows[700:]])
     top = 1 - quality_classifier._sigmoid(theta[-1] - s)
     assert np.mean((top >= 0.5) == (np.array(grades[700:]) == 2)) > 0.95
@@ -475,6 +497,12 @@ def test_shards_are_even_and_numbered(docs, no_docs, shards):
     for r in rows:
         slots[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(shards))
+    bytes_of, sizes = lambda t: len((t or "").encode()) + 8, defaultdict(int)
+    for r in rows:
+        sizes[r.shard] += bytes_of(r.text)
+    total, largest = sum(sizes.values()), max(bytes_of(r.text) for r in rows)
+    assert all(abs(sum(sizes[k] for k in range(i)) - total * i / shards) <= largest + 0.002 * total / shards for i in range(1, shards))
+    assert sorted(map(str, (r[:2] for r in rows))) == sorted(map(str, (r[:2] for r in documents())))
     assert sharding.histogram_sort(no_docs, shards).count() == 0
 
 
