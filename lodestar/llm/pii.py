@@ -177,7 +177,7 @@ def find_personal_data(docs: DataFrame, keep: list[str] | None = None, text: str
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span in its text replaced by the kind in angle brackets."""
-    return find_spans(docs, finder, None, text, redact=True).drop("spans")
+    return find_spans(docs, finder, None, text, redact=True, name="lodestar_spans").drop("lodestar_spans")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

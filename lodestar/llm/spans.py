@@ -36,15 +36,15 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(parts) + text[at:]
 
 
-def find_spans(docs: DataFrame, make: Callable[[], Finder], keep: list[str] | None = None, text: str = "text", redact: bool = False) -> DataFrame:
-    """Columns keep of docs (all of them by default) and spans; redact: the text with its spans replaced.
+def find_spans(docs: DataFrame, make: Callable[[], Finder], keep: list[str] | None = None, text: str = "text", redact: bool = False, name: str = "spans") -> DataFrame:
+    """Columns keep of docs (all of them by default) and the spans, under a name; redact: the text with its spans replaced.
 
     make builds the finder once in each task. Null text has no spans, and stays null when redacted.
-    An input column called spans is replaced.
+    An input column of that name is replaced.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "spans"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c != name]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("lodestar_scanned"))
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("spans", SPAN)])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, SPAN)])
     at = keep.index(text) if redact and text in keep else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +60,7 @@ def find_spans(docs: DataFrame, make: Callable[[], Finder], keep: list[str] | No
             spans = pa.StructArray.from_arrays([pa.array([s[i] for s in flat], t.type) for i, t in enumerate(_ARROW)], fields=list(_ARROW))
             if at is not None:
                 columns[at] = pa.array([redacted(t, f) if f else t for t, f in zip(texts, found, strict=True)], batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)], names=[*keep, "spans"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)], names=[*keep, name])
 
     return rows.mapInArrow(run, schema)
 
