@@ -10,6 +10,7 @@ Shingles that are frequent in a sample come last; any order gives the same resul
 passages out of the prefixes.
 
 Pairs whose shingle parities differ in more places than the similarity allows are not compared in full.
+Of the others, one for each row is compared before the rest, as most near copies fall by it.
 
 Rows that share a prefix shingle meet in their order; each is compared with the first few of them only. A
 row with no unseen row before it is decided; the others meet again among themselves, with more
@@ -35,7 +36,7 @@ from .common import Words, among, discard, grams, materialise, mix, slices
 #: Texts in which frequent shingles are looked for, and how many of those are known.
 SAMPLE, FREQUENT = 20_000, 1 << 17
 #: Rows of a shingle that others are compared with in the first round, and how that grows by round.
-REACH, WIDEN = 1, 8
+REACH, WIDEN = 8, 8
 #: Counters, of one bit each, of a set's shingles: no more of them differ than shingles do.
 PARITY = 512
 #: Pairs made at once; shingles of pairs compared at once.
@@ -202,7 +203,12 @@ def _decide(links: DataFrame, late: DataFrame) -> tuple[DataFrame, DataFrame]:
             return dropped, waiting
         dropped = dropped.unionByName(fell)
         late = late.join(fell, "at", "left_anti")
-        links = materialise(links.join(fell.withColumnRenamed("at", "a"), "a", "left_anti").join(fell.withColumnRenamed("at", "b"), "b", "left_anti").select("a", "b"), "links")
+        links = materialise(_of_open(links, fell), "links")
+
+
+def _of_open(pairs: DataFrame, fell: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of which neither row fell."""
+    return pairs.join(fell.withColumnRenamed("at", "a"), "a", "left_anti").join(fell.withColumnRenamed("at", "b"), "b", "left_anti").select("a", "b")
 
 
 def copies(live: DataFrame, sketches: DataFrame, texts: DataFrame, shingle: int, similarity: float, reach: int = REACH) -> DataFrame:
@@ -216,11 +222,18 @@ def copies(live: DataFrame, sketches: DataFrame, texts: DataFrame, shingle: int,
         met = live.repartition("token").sortWithinPartitions("token", "no_id", "id", "at").select("token", "at", "n").mapInArrow(lambda batches, reach=reach: _meet(batches, reach, similarity), "a long, b long")
         met = materialise(met.distinct(), "pairs")
         close = materialise(_close(met.where("a >= 0"), sketches, similarity), "close")
-        links = materialise(_similar(close, texts, shingle, similarity), "similar")
-        fell, waiting = _decide(links, met.where("a < 0").select(F.col("b").alias("at")))
-        dropped.append(materialise(fell, "dropped"))
+        late = materialise(met.where("a < 0").select(F.col("b").alias("at")), "late")
+        discard(met)
+        first = materialise(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+        rest = materialise(close.join(first, ["a", "b"], "left_anti"), "rest")
+        links = materialise(_similar(first, texts, shingle, similarity), "similar")
+        early = materialise(_decide(links, late.unionByName(rest.select(F.col("b").alias("at"))))[0], "early")
+        more = _similar(_of_open(rest, early), texts, shingle, similarity)
+        links = materialise(_of_open(links, early).unionByName(more), "similar")
+        fell, waiting = _decide(links, late.join(early, "at", "left_anti"))
+        dropped += [early, materialise(fell, "dropped")]
         waiting = materialise(waiting, "waiting")
-        discard(met, close, links)
+        discard(close, first, rest, links)
         if waiting.isEmpty():
             break
         live = materialise(live.join(waiting, "at", "left_semi").select("token", "at", "n", "no_id", "id"), "tokens")
