@@ -56,44 +56,49 @@ def first_keyword(text: Column, rules: Iterable[tuple[str, Iterable[str]]]) -> C
     return F.coalesce(*[F.when(any_of(text, phrases), F.lit(label)) for label, phrases in rules])
 
 
-def classify_intent(text: Column) -> Column:
+def lower_case(text: Column, lowered: bool) -> Column:
+    """Rules that take lowered expect a column in lower case: as a column of its own it is made once for all of them."""
+    return text if lowered else F.lower(text)
+
+
+def classify_intent(text: Column, lowered: bool = False) -> Column:
     """The first class with a pattern in the request, else kpi; a class's patterns are one alternation."""
-    q = F.lower(text)
+    q = lower_case(text, lowered)
     return F.coalesce(*[F.when(q.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(label)) for label, patterns in INTENT_PATTERNS], F.lit("kpi"))
 
 
-def classify_metric(text: Column) -> Column:
-    return first_keyword(F.lower(text), METRIC_KEYWORDS)
+def classify_metric(text: Column, lowered: bool = False) -> Column:
+    return first_keyword(lower_case(text, lowered), METRIC_KEYWORDS)
 
 
-def classify_dimension(text: Column) -> Column:
-    return first_keyword(F.lower(text), DIMENSION_KEYWORDS)
+def classify_dimension(text: Column, lowered: bool = False) -> Column:
+    return first_keyword(lower_case(text, lowered), DIMENSION_KEYWORDS)
 
 
 def _number(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def extract_time_term(text: Column) -> Column:
-    q = F.lower(text)
+def extract_time_term(text: Column, lowered: bool = False) -> Column:
+    q = lower_case(text, lowered)
     past, ago = _number(q, r"\bpast (\d+) days?\b"), _number(q, r"\b(\d+) days? ago\b")
     phrases = [F.when(q.rlike(rf"\b{p}\b"), F.lit(label)) for p, label in TIME_PHRASES]
     return F.coalesce(F.concat(F.lit("past "), past, F.lit(" days")), F.concat(ago, F.lit(" days ago")), *phrases)
 
 
-def extract_topn(text: Column) -> Column:
+def extract_topn(text: Column, lowered: bool = False) -> Column:
     """(n, sort) of top N or bottom N; null fields without either."""
-    q = F.lower(text)
+    q = lower_case(text, lowered)
     top, bottom = _number(q, r"\btop (\d+)"), _number(q, r"\bbottom (\d+)")
     return F.struct(F.coalesce(top, bottom).cast("long").alias("n"), F.when(top.isNotNull(), "desc").when(bottom.isNotNull(), "asc").alias("sort"))
 
 
-def extract_threshold(text: Column) -> Column:
+def extract_threshold(text: Column, lowered: bool = False) -> Column:
     """(op, amount) of an over or under phrase, where a dimension was found; null otherwise."""
-    q = F.lower(text)
+    q = lower_case(text, lowered)
     over, under = _number(q, THRESHOLD, 1), _number(q, THRESHOLD, 2)
     amount = F.try_to_number(F.regexp_replace(F.coalesce(over, under), ",", ""), F.lit("999999999999999999")).cast("long")
-    found = (over.isNotNull() | under.isNotNull()) & classify_dimension(text).isNotNull()
+    found = (over.isNotNull() | under.isNotNull()) & classify_dimension(q, lowered=True).isNotNull()
     return F.when(found, F.struct(F.when(over.isNotNull(), ">").otherwise("<").alias("op"), amount.alias("amount")))
 
 
@@ -133,9 +138,12 @@ def vocabulary(kind: str) -> list[tuple[int, str, str, str]]:
     return [(i, o.id, o.description, o.label) for i, o in enumerate((METRICS if kind == "metric" else DIMENSIONS).values())]
 
 
-def resolve_term(term: Column, kind: str) -> Column:
-    """The id a term stands for: equal, then part of one another, then in a description, then a label."""
-    t, words = F.lower(F.trim(term)), vocabulary(kind)
+def resolve_term(term: Column, kind: str, clean: bool = False) -> Column:
+    """The id a term stands for: equal, then part of one another, then in a description, then a label.
+
+    clean: the term is trimmed and in lower case, as a column of its own.
+    """
+    t, words = term if clean else F.lower(F.trim(term)), vocabulary(kind)
     tiers = [
         [(t == id.lower(), id) for _, id, _, _ in words],
         [(F.contains(t, F.lit(id.lower())) | F.contains(F.lit(id.lower()), t), id) for _, id, _, _ in words],
@@ -151,16 +159,16 @@ def resolve_term(term: Column, kind: str) -> Column:
 
 def resolve_terms(requests: DataFrame, column: str, kind: str, as_name: str) -> DataFrame:
     """requests with the id of each term. Terms are resolved once each, then joined back."""
-    terms = requests.select(F.col(column).alias("term")).distinct().withColumn(as_name, resolve_term(F.col("term"), kind))
-    return requests.join(terms, requests[column].eqNullSafe(terms["term"]), "left").drop("term")
+    terms = requests.select(F.col(column).alias("term")).distinct().withColumn("clean", F.lower(F.trim("term"))).withColumn(as_name, resolve_term(F.col("clean"), kind, clean=True))
+    return requests.join(terms, requests[column].eqNullSafe(terms["term"]), "left").drop("term", "clean")
 
 
-def coverage(metric_term: Column, dimension_term: Column) -> Column:
-    """(valid, reason): whether both terms of a request are known."""
+def coverage(metric_term: Column, dimension_term: Column, clean: bool = False) -> Column:
+    """(valid, reason): whether both terms of a request are known. clean: as for resolve_term."""
     def part(term: Column, kind: str) -> Column:
-        t = F.lower(F.trim(term))
+        t = term if clean else F.lower(F.trim(term))
         known = ", ".join(sorted(METRICS if kind == "metric" else DIMENSIONS))
-        return F.when(resolve_term(term, kind) == "unknown", F.concat(F.lit(f"Unknown {kind} '"), t, F.lit(f"'. Available: {known}")))
+        return F.when(resolve_term(t, kind, clean=True) == "unknown", F.concat(F.lit(f"Unknown {kind} '"), t, F.lit(f"'. Available: {known}")))
 
     reasons = F.array_compact(F.array(part(metric_term, "metric"), part(dimension_term, "dimension")))
     return F.struct((F.size(reasons) == 0).alias("valid"), F.array_join(reasons, ". ").alias("reason"))

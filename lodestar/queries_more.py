@@ -139,22 +139,30 @@ _INTENT = _case(INTENT_PATTERNS, lambda p: f"regexp_matches(lower(text), {_quote
 _METRIC_OF, _DIMENSION_OF = _case(METRIC_KEYWORDS, _has("lower(text)")), _case(DIMENSION_KEYWORDS, _has("lower(text)"))
 
 
+def _lowered(d: DataFrame) -> DataFrame:
+    return d.withColumn("q", F.lower("text"))
+
+
+def _clean(d: DataFrame) -> DataFrame:
+    return d.withColumn("q", F.lower(F.trim("text")))
+
+
 def tagging(name: str, sql: str, f, texts: tuple[str, ...] = REQUESTS) -> None:
     register(name, sql)(lambda spark, path: f(_texts(spark, path, texts)))
 
 
-tagging("classify_intent", f"SELECT id, {_INTENT} AS label FROM {_REQ}", lambda d: d.select("id", X.classify_intent(F.col("text")).alias("label")))
-tagging("classify_metric", f"SELECT id, {_METRIC_OF} AS label FROM {_REQ}", lambda d: d.select("id", X.classify_metric(F.col("text")).alias("label")))
-tagging("classify_dimension", f"SELECT id, {_DIMENSION_OF} AS label FROM {_REQ}", lambda d: d.select("id", X.classify_dimension(F.col("text")).alias("label")))
+tagging("classify_intent", f"SELECT id, {_INTENT} AS label FROM {_REQ}", lambda d: _lowered(d).select("id", X.classify_intent(F.col("q"), True).alias("label")))
+tagging("classify_metric", f"SELECT id, {_METRIC_OF} AS label FROM {_REQ}", lambda d: _lowered(d).select("id", X.classify_metric(F.col("q"), True).alias("label")))
+tagging("classify_dimension", f"SELECT id, {_DIMENSION_OF} AS label FROM {_REQ}", lambda d: _lowered(d).select("id", X.classify_dimension(F.col("q"), True).alias("label")))
 _PHRASES = " ".join(f"WHEN regexp_matches(lower(text), '\\b{p}\\b') THEN '{label}'" for p, label in X.TIME_PHRASES)
 tagging("extract_time_term", rf"""SELECT id, CASE WHEN regexp_matches(lower(text), '\bpast (\d+) days?\b') THEN 'past ' || regexp_extract(lower(text), '\bpast (\d+) days?\b', 1) || ' days'
-  WHEN regexp_matches(lower(text), '\b(\d+) days? ago\b') THEN regexp_extract(lower(text), '\b(\d+) days? ago\b', 1) || ' days ago' {_PHRASES} END AS term FROM {_REQ}""", lambda d: d.select("id", X.extract_time_term(F.col("text")).alias("term")))
+  WHEN regexp_matches(lower(text), '\b(\d+) days? ago\b') THEN regexp_extract(lower(text), '\b(\d+) days? ago\b', 1) || ' days ago' {_PHRASES} END AS term FROM {_REQ}""", lambda d: _lowered(d).select("id", X.extract_time_term(F.col("q"), True).alias("term")))
 tagging("extract_topn", rf"""SELECT id, CAST(NULLIF(regexp_extract(lower(text), '\b(top|bottom) (\d+)', 2), '') AS BIGINT) AS n, CASE regexp_extract(lower(text), '\b(top|bottom) \d+', 1) WHEN 'top' THEN 'desc' WHEN 'bottom' THEN 'asc' END AS sort FROM {_REQ}""",
-        lambda d: d.select("id", X.extract_topn(F.col("text")).alias("x")).select("id", "x.n", "x.sort"))
+        lambda d: _lowered(d).select("id", X.extract_topn(F.col("q"), True).alias("x")).select("id", "x.n", "x.sort"))
 _OVER, _UNDER = r"\b(?:exceeds?|greater than|more than|above|over)\s+\$?([\d,]+)", r"\b(?:less than|below|under)\s+\$?([\d,]+)"
 tagging("extract_threshold", f"""SELECT id, CASE WHEN amount IS NOT NULL THEN op END AS op, amount FROM (SELECT id, CASE WHEN regexp_matches(lower(text), '{_OVER}') THEN '>' ELSE '<' END AS op,
   CASE WHEN {_DIMENSION_OF} IS NOT NULL THEN TRY_CAST(replace(NULLIF(COALESCE(NULLIF(regexp_extract(lower(text), '{_OVER}', 1), ''), regexp_extract(lower(text), '{_UNDER}', 1)), ''), ',', '') AS BIGINT) END AS amount FROM {_REQ})""",
-        lambda d: d.select("id", X.extract_threshold(F.col("text")).alias("x")).select("id", "x.op", "x.amount"))
+        lambda d: _lowered(d).select("id", X.extract_threshold(F.col("q"), True).alias("x")).select("id", "x.op", "x.amount"))
 _NAMES = ("Revenue", "top_n", "comparison", "by_category", "trending", "correlations", "shopping list", "pipeline", "kpi", "segments", "get_top_customers")
 _PARTS = " ".join(f"WHEN contains(lower(text), '{part}') THEN '{target}'" for part, target in X.INTENT_PARTS)
 tagging("normalise_intent", f"SELECT id, CASE text WHEN 'Revenue' THEN 'kpi' WHEN 'top_n' THEN 'ranking' WHEN 'by_category' THEN 'segment' WHEN 'trending' THEN 'trend' WHEN 'correlations' THEN 'correlate' WHEN 'shopping list' THEN 'tabular' WHEN 'pipeline' THEN 'funnel' WHEN 'segments' THEN 'segment' WHEN 'get_top_customers' THEN 'ranking' ELSE CASE WHEN id LIKE 'e%' THEN text {_PARTS} ELSE lower(text) END END AS label FROM {_sql_texts(_NAMES)}",
@@ -179,9 +187,9 @@ tagging("resolve_terms", f"SELECT id, {_resolved('metric')} AS metric, {_resolve
 _LISTED = {k: ", ".join(sorted(v)) for k, v in (("metric", METRICS), ("dimension", DIMENSIONS))}
 _REASON = {k: f"CASE WHEN {_resolved(k)} = 'unknown' THEN 'Unknown {k} ''' || lower(trim(text)) || '''. Available: {_LISTED[k]}' END" for k in _LISTED}
 tagging("coverage_check", f"SELECT id, m IS NULL AND d IS NULL AS valid, CONCAT_WS('. ', m, d) AS reason FROM (SELECT id, {_REASON['metric']} AS m, {_REASON['dimension']} AS d FROM {_sql_texts(_TERMS)})",
-        lambda d: d.select("id", X.coverage(F.col("text"), F.col("text")).alias("c")).select("id", "c.valid", "c.reason"), _TERMS)
+        lambda d: _clean(d).select("id", X.coverage(F.col("q"), F.col("q"), True).alias("c")).select("id", "c.valid", "c.reason"), _TERMS)
 tagging("closed_vocabulary", f"SELECT m IS NULL AND d IS NULL AS valid, COUNT(*) AS n FROM (SELECT {_REASON['metric']} AS m, {_REASON['dimension']} AS d FROM {_sql_texts(_TERMS)}) GROUP BY 1",
-        lambda d: d.groupBy(X.coverage(F.col("text"), F.col("text"))["valid"].alias("valid")).agg(F.count(F.lit(1)).alias("n")), _TERMS)
+        lambda d: _clean(d).groupBy(X.coverage(F.col("q"), F.col("q"), True)["valid"].alias("valid")).agg(F.count(F.lit(1)).alias("n")), _TERMS)
 
 _NORM = "regexp_replace(translate(lower(text), '‑–—`[]', '---'), '[\\s\\x0B]+', ' ', 'g')"
 _REASONS = "[" + ", ".join(f"CASE WHEN contains({_NORM}, {_quote(m)}) THEN {_quote(r)} END" for m, r in UNSUPPORTED_MARKERS) + "]"
@@ -266,7 +274,7 @@ judged("accuracy_summary", f"""SELECT system, COUNT(*) FILTER (correct) AS corre
 judged("behavior_counts", f"SELECT {_BEHAVIOR_SQL} AS behavior, COUNT(*) AS n FROM {_LABELS} GROUP BY 1", lambda d: E.behavior_counts(d.select(_behavior())))
 _LOWER = "(" + " UNION ALL ".join(f"SELECT '{p}' AS pattern" for p in E.PATTERNS) + ")"
 tagging("pattern_distribution", f"SELECT p.pattern, COUNT(r.label) AS count, ROUND(100.0 * COUNT(r.label) / SUM(COUNT(r.label)) OVER (), 1) AS pct FROM {_LOWER} p LEFT JOIN (SELECT {_INTENT} AS label FROM {_REQ}) r ON lower(p.pattern) = r.label GROUP BY 1",
-        lambda d: E.pattern_distribution(d.select(F.when(X.classify_intent(F.col("text")) == "kpi", "KPI").otherwise(F.initcap(X.classify_intent(F.col("text")))).alias("pattern"))))
+        lambda d: E.pattern_distribution(_lowered(d).select(X.classify_intent(F.col("q"), True).alias("c")).select(F.when(F.col("c") == "kpi", "KPI").otherwise(F.initcap("c")).alias("pattern"))))
 register("latency_summary", """SELECT event_type AS stage, COUNT(*) AS count, ROUND(AVG(value), 2) AS mean_ms, ROUND(QUANTILE_CONT(value, 0.5), 2) AS median_ms, ROUND(MAX(value), 2) AS max_ms,
   ROUND(MIN(value) FILTER (i >= round_even((n - 1) * 0.95, 0)), 2) AS p95_ms FROM (SELECT event_type, value, ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, COUNT(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) GROUP BY 1""")(
     lambda spark, path: E.latency_summary(spark.read.parquet(f"{path}/events.parquet").select(F.col("event_type").alias("stage"), F.col("value").alias("ms"))))
