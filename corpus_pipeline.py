@@ -20,8 +20,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and short texts go, as they have fewer words than the rules ask for. Null languages and
     sources are groups of their own. Equal rows stay or go together. Columns named like the rules' own are carried.
     """
-    judged = quality_rules.judge(docs.select(F.struct("*").alias("row"), F.col("text"), F.col("lang"), F.col("source")))
-    return judged.where("kept").select("row.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    judged = quality_rules.judge(docs.select(row, "text", "lang", "source"))
+    return judged.where("kept").select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
