@@ -189,7 +189,9 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
                 yield part.select([0, 1]).filter(pa.array(common >= similarity * (sizes[0][at:end] + sizes[1][at:end] - common) - 1e-9))
                 at = end
 
-    return both.mapInArrow(run, "a long, b long")
+    found = materialise(both.mapInArrow(run, "a long, b long"), "similar")
+    discard(sets)
+    return found
 
 
 def _decide(links: DataFrame, late: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -226,7 +228,7 @@ def copies(live: DataFrame, sketches: DataFrame, texts: DataFrame, shingle: int,
         discard(met)
         first = materialise(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
         rest = materialise(close.join(first, ["a", "b"], "left_anti"), "rest")
-        links = materialise(_similar(first, texts, shingle, similarity), "similar")
+        links = _similar(first, texts, shingle, similarity)
         early = materialise(_decide(links, late.unionByName(rest.select(F.col("b").alias("at"))))[0], "early")
         more = _similar(_of_open(rest, early), texts, shingle, similarity)
         links = materialise(_of_open(links, early).unionByName(more), "similar")

@@ -322,7 +322,7 @@ def estimates(rows: DataFrame) -> DataFrame:
         every = every.unionByName(f)
     best = every.groupBy(*KEYS).agg(F.min_by(F.struct("n", "mean", "precision"), F.struct("size", "start")).alias("e")).select(*KEYS, "e.*")
     raw = materialise(_reweighted(rows, materialise(best, "best")), "moments")
-    discard(rows)
+    discard(rows)  # the largest of the tables between; the others hold a row for each group
     drawn = None
     for k in range(3):
         drawn = _drawn(raw.where(F.col("level") == k), drawn)
