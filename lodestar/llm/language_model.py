@@ -23,7 +23,7 @@ logarithmic steps of 16 bits, rounded down, so that the probabilities after a co
 together. The levels are written to a file and mapped; high parts are selected through a directory of
 64-bit words, so pages that no query touches take no memory.
 
-Words are known by 64-bit hashes. Null and empty texts are the end token alone; null doc_ids are in
+Words are known by 64-bit hashes, successors within their context by the upper 48 bits. Null and empty texts are the end token alone; null doc_ids are in
 training. Equal rows get equal scores, and are dealt to chunks by their place; an empty table gives an
 empty result.
 """
@@ -54,6 +54,8 @@ HELD_WORDS = 1 << 20
 #: The successors of words with more than this share of all tokens, 1 / HOT, are spread over all shards.
 HOT = 1024
 START, STOP = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: Bytes of the number by which a successor is known within its context.
+ID_BYTES = 6
 _RANK, _LOW_RANK = np.uint64(32), np.uint64((1 << 32) - 1)
 
 
@@ -197,7 +199,7 @@ class Trie:
         return at, *out
 
     def pair_codes(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Code of the probability of each word after the word at a place of the heads; zero where it has none."""
+        """Code of the probability of each word, by its id, after the word at a place of the heads; zero where it has none."""
         out = np.zeros(len(word), "<u2")
         number = self.vocabulary.find(word)
         some = np.flatnonzero((context >= 0) & (number >= 0))
@@ -260,7 +262,7 @@ class Chunk:
         self.before = before
 
 
-_BLOCK = "chunk long, shard long, words array<long>, counts array<int>, sizes array<int>, successors array<long>, pairs array<int>"
+_BLOCK = "chunk long, shard long, words array<long>, counts array<int>, sizes array<int>, successors binary, pairs array<int>"
 _ANSWER = "chunk long, shard long, counts array<long>, masses binary, codes binary"
 
 
@@ -268,6 +270,24 @@ def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values))
 
 
+def successor_ids(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(64 - 8 * ID_BYTES)
+
+
+def _packed(ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """For each part of ids its numbers, in ID_BYTES bytes each."""
+    data = np.ascontiguousarray(ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ID_BYTES])
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * ID_BYTES).astype("<i4")), pa.py_buffer(data)])
+
+
+def _unpacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows, and how many each row has."""
+    parts = [np.frombuffer(x.as_buffer(), np.uint8) for x in column if x.is_valid]
+    out = np.zeros((sum(map(len, parts)) // ID_BYTES, 8), np.uint8)
+    out[:, :ID_BYTES] = np.concatenate(parts).reshape(-1, ID_BYTES) if parts else 0
+    return out.view("<u8").ravel(), np.array([len(p) for p in parts]) // ID_BYTES
+
+
 def _blocks(docs: pa.Table, shards: int, hot: np.ndarray) -> pa.Table:
     """What a chunk sends to each shard: nodes, with counts of words in training; successors, with those of pairs."""
     chunk = Chunk(docs.column("text"), shards, hot)
@@ -281,7 +301,7 @@ def _blocks(docs: pa.Table, shards: int, hot: np.ndarray) -> pa.Table:
     own = docs.column("chunk")[0].as_py() if docs.num_rows else 0
     return pa.Table.from_arrays([
         pa.array(np.full(len(used), own, np.int64)), pa.array(used), _lists(chunk.distinct[chunk.node_rank].view(np.int64), w), _lists(counts, w), _lists(sizes, w),
-        _lists(chunk.distinct[chunk.word].view(np.int64), b), _lists(pairs, b),
+        _packed(successor_ids(chunk.distinct[chunk.word]), b), _lists(pairs, b),
     ], names=["chunk", "shard", "words", "counts", "sizes", "successors", "pairs"])
 
 
@@ -290,7 +310,7 @@ def _flat(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def trie_of(words: np.ndarray, counts: np.ndarray, sizes: np.ndarray, successors: np.ndarray, pairs: np.ndarray, hot: dict[int, int], discount: float) -> Trie:
-    """The trie of all that chunks sent: keys without a count in training are left out."""
+    """The trie of all that chunks sent: keys without a count in training are left out. successors: their ids."""
     heads, head = np.unique(words, return_inverse=True)
     count = np.bincount(head, counts, minlength=len(heads)).astype(np.int64)
     _, number = np.unique(successors, return_inverse=True)
@@ -311,13 +331,13 @@ def trie_of(words: np.ndarray, counts: np.ndarray, sizes: np.ndarray, successors
 
 
 def _answers(blocks: pa.Table, hot: dict[int, int], discount: float) -> pa.Table:
-    words, successors = (_flat(blocks.column(c)).view(np.uint64) for c in ("words", "successors"))
+    words, (successors, held) = _flat(blocks.column("words")).view(np.uint64), _unpacked(blocks.column("successors"))
     sizes = _flat(blocks.column("sizes"))
     trie = trie_of(words, _flat(blocks.column("counts")), sizes, successors, _flat(blocks.column("pairs")), hot, discount)
     at, counts, masses = trie.find_words(words)
     codes = trie.pair_codes(np.repeat(at, sizes), successors)
     trie.close()
-    w, b = (np.concatenate([[0], np.cumsum(blocks.column(c).combine_chunks().value_lengths().to_numpy())]) for c in ("words", "successors"))
+    w, b = (np.concatenate([[0], np.cumsum(n)]) for n in (blocks.column("words").combine_chunks().value_lengths().to_numpy(), held))
     cut = lambda a, at: pa.array([a[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
     return pa.Table.from_arrays([blocks.column("chunk").combine_chunks(), blocks.column("shard").combine_chunks(), _lists(counts, w), cut(masses, w), cut(codes, b)], names=["chunk", "shard", "counts", "masses", "codes"])
 

@@ -55,7 +55,8 @@ def sent(texts, shards, hot):
 
 def trie(rows, hot):
     of = lambda c, kind=np.int64: np.array([x for r in rows for x in r[c]], kind)
-    return trie_of(of("words").view(np.uint64), of("counts"), of("sizes"), of("successors").view(np.uint64), of("pairs"), hot, language_model.DISCOUNT)
+    successors, _ = language_model._unpacked(pa.chunked_array([pa.array([r["successors"] for r in rows], pa.binary())]))
+    return trie_of(of("words").view(np.uint64), of("counts"), of("sizes"), successors, of("pairs"), hot, language_model.DISCOUNT)
 
 
 def hashes(texts):
@@ -83,7 +84,7 @@ def test_probabilities_after_a_context_sum_to_one_at_most(spread):
         p, mass = np.zeros(v), 0.0
         for t in tries:
             at, _, code = t.find_words(np.array([context], np.uint64))
-            p += dequantised(t.pair_codes(np.repeat(at, v), words))
+            p += dequantised(t.pair_codes(np.repeat(at, v), language_model.successor_ids(words)))
             mass = max(mass, float(dequantised(code)[0]))
         led = sum(k for (a, _), k in pairs.items() if a == context)
         expected = np.array([after(pairs[context, int(w)], max(led, 1), context in hot) for w in words])
@@ -99,7 +100,7 @@ def test_pairs_are_found_through_the_pointers():
     whole = trie(rows, {})
     words = np.array(sorted({w for r in rows for w in np.array(r["words"], np.int64).view(np.uint64).tolist()}), np.uint64)
     at, _, _ = whole.find_words(words)
-    context, word = np.repeat(at, len(words)), np.tile(words, len(words))
+    context, word = np.repeat(at, len(words)), np.tile(language_model.successor_ids(words), len(words))
     before = whole.pair_codes(context, word)
     whole.pointers = EliasFano.of(np.zeros(whole.heads.n + 1, np.uint64))
     assert (before > 0).sum() > 100 and not whole.pair_codes(context, word).any()
