@@ -114,7 +114,7 @@ def test_run_is_the_stages_in_order(spark, inputs):
 def test_stages_take_no_rows_and_odd_rows(spark, inputs, no_docs, docs):
     at, _, _ = inputs
     names = docs.columns
-    for given in (no_docs, docs.where("text is null or text = ''"), docs.limit(0)):
+    for given in (no_docs, docs.where("text is null or text = ''")):
         for name, stage in corpus_pipeline.STAGES:
             found = stage(spark, given, at)
             assert name == "packing" or found.columns == names
