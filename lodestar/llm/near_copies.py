@@ -6,8 +6,8 @@ near copies, and each row that goes is one of a row that stays.
 
 Candidates come from a prefix filter, which loses no pair: under one order of all shingles, two sets of
 that similarity share a shingle among the first n - ceil(similarity n) + 1 of each, n being its size.
-Shingles that are frequent in a sample come last; any order gives the same result, this one keeps common
-passages out of the prefixes.
+Shingles that are frequent in a sample come last, and before them those that more than COMMON rows would meet
+in; any order gives the same result, this one keeps common passages out of the prefixes.
 
 Pairs whose shingle parities differ in more places than the similarity allows are not compared in full.
 Of the others, one for each row is compared before the rest, as most near copies fall by it.
@@ -35,6 +35,8 @@ from .common import Words, among, discard, grams, materialise, mix, slices
 
 #: Texts in which frequent shingles are looked for, and how many of those are known.
 SAMPLE, FREQUENT = 20_000, 1 << 17
+#: Rows whose prefixes may hold a shingle before it counts as common; bits of the bitmap of common ones.
+COMMON, COMMON_BITS = 8, 1 << 24
 #: Rows of a shingle that others are compared with in the first round, and how that grows by round.
 REACH, WIDEN = 8, 8
 #: Counters, of one bit each, of a set's shingles: no more of them differ than shingles do.
@@ -85,9 +87,51 @@ def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return top[:, 0].copy().view(np.uint64), top[:, 1]
 
 
+def _taken(g: np.ndarray, offsets: np.ndarray, rank: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the sets' shingles are their prefixes, in the order of rank, and how long these are."""
+    n = np.diff(offsets)
+    own = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((g, rank, own))
+    length = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+    return order[np.arange(len(g)) - offsets[:-1][own] < length[own]], length
+
+
+def _rank(g: np.ndarray, frequent: np.ndarray, times: np.ndarray, common: np.ndarray | None) -> np.ndarray:
+    """A shingle's place in the order: zero, one if it may be common, more if it is frequent in the sample."""
+    rank = np.zeros(len(g), np.int64)
+    if common is not None:
+        slot = g & np.uint64(COMMON_BITS - 1)
+        rank = (common[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(np.int64)
+    if len(frequent):
+        slot = np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)
+        rank = np.where(frequent[slot] == g, times[slot] + 1, rank)
+    return rank
+
+
+def _common(texts: DataFrame, shingle: int, similarity: float, frequent: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """A bitmap of the shingles that more than COMMON rows have in their prefixes by the sample's order. Others may be in it by chance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                g, offsets = shingle_sets(part.column(0), shingle)
+                taken, _ = _taken(g, offsets, _rank(g, frequent, times, None), similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(g[taken].view(np.int64))], names=["token"])
+
+    often = texts.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON)
+    slot = F.col("token").bitwiseAND(F.lit(COMMON_BITS - 1))
+    words = materialise(often.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")), "common")
+    bitmap = np.zeros(COMMON_BITS // 64, np.int64)
+    for word, bits in words.collect():  # at most COMMON_BITS / 64 rows
+        bitmap[word] = bits
+    discard(words)
+    return bitmap.view(np.uint64)
+
+
 def prefixes(texts: DataFrame, shingle: int, similarity: float, fingerprint: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """(at, id, fp, n, prefix, odd) of texts (at, id, text): fingerprint, size of the set, its prefix and its parities."""
     frequent, times = _frequent(texts.select("at", "text"), shingle)
+    common = _common(texts, shingle, similarity, frequent, times)
     whole = lambda name: T.StructField(name, T.LongType())
     schema = T.StructType([whole("at"), texts.schema["id"], whole("fp"), whole("n"), *[T.StructField(name, T.ArrayType(T.LongType())) for name in ("prefix", "odd")]])
 
@@ -97,13 +141,7 @@ def prefixes(texts: DataFrame, shingle: int, similarity: float, fingerprint: Cal
                 g, offsets = shingle_sets(part.column(2), shingle)
                 n = np.diff(offsets)
                 own = np.repeat(np.arange(len(n)), n)
-                rank = np.zeros(len(g), np.int64)
-                if len(frequent):
-                    slot = np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)
-                    rank = np.where(frequent[slot] == g, times[slot], 0)
-                order = np.lexsort((g, rank, own))
-                length = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
-                taken = order[np.arange(len(g)) - offsets[:-1][own] < length[own]]
+                taken, length = _taken(g, offsets, _rank(g, frequent, times, common), similarity)
                 slots = own * PARITY + (mix(g) % np.uint64(PARITY)).astype(np.int64)
                 odd = np.packbits(np.bincount(slots, minlength=len(n) * PARITY) & 1).view(np.uint64)
                 yield pa.RecordBatch.from_arrays(
