@@ -185,7 +185,7 @@ def frequent_buyer_revenue(star: StarSchema, more_than: int) -> DataFrame:
 
 def items_per_order_of_top_category(star: StarSchema) -> DataFrame:
     """Mean units per order of the category with most units."""
-    joined = rows(star, [metric("item_quantity"), dimension("category_name")], also=["Order"]).where(F.col("c.Name").isNotNull())
+    joined = rows(star, [metric("item_quantity"), dimension("category_name")], also=["Order"], once=True).where(F.col("c.Name").isNotNull())
     per = joined.groupBy(F.col("c.Name").alias("label")).agg(F.sum("oi.Quantity").alias("q"), F.count_distinct("o.Id").alias("n"))
     return per.orderBy(F.desc("q"), "label").limit(1).select("label", F.round(F.col("q") / F.col("n"), 6).alias("value"))
 

@@ -15,10 +15,12 @@ from ..functions.metrics import Metric, metric
 from ..functions.predicates import Predicate, bound_to, combined, policy
 from ..functions.timewin import in_window, time_window, up_to
 from ..sources.star import ALIASES, ORDER_LINE_SUMS, StarSchema
-from .star_join import root_of, star_join
+from .star_join import by_order, root_of, star_join
 
 DEFAULT_LIMIT = 100
 UNLIMITED = ("kpi", "summary")
+#: Metrics that count distinct orders.
+COUNTS_ORDERS = ("order_count", "refund_count")
 
 
 @dataclass(frozen=True)
@@ -48,12 +50,14 @@ def _when(column: str, spec: ReportSpec, as_of: datetime) -> Column:
     return up_to(F.col(column), high) if low is None else in_window(F.col(column), (low, high))
 
 
-def rows(star: StarSchema, parts: Iterable[Metric | Dimension], spec: ReportSpec = ReportSpec(), as_of: datetime | None = None, orders: Column | None = None, also: Iterable[str] = ()) -> DataFrame:
+def rows(star: StarSchema, parts: Iterable[Metric | Dimension], spec: ReportSpec = ReportSpec(), as_of: datetime | None = None, orders: Column | None = None, also: Iterable[str] = (), once: bool = False) -> DataFrame:
     """The joined rows of a report: what its parts, filters and the tables also need, filtered.
 
     They begin at the table where those needed meet, so a report that reads nothing of orders does not join
     them, and counts customers or products without any. The time rule, the role and conditions on orders
     alone are applied to orders before any join, and before sums over their lines are made.
+
+    Where a metric counts distinct orders or each order once, the rows of all orders come in small pieces (by_order).
     """
     parts = list(parts)
     rule = policy(spec.role)
@@ -67,9 +71,10 @@ def rows(star: StarSchema, parts: Iterable[Metric | Dimension], spec: ReportSpec
         ]
         tests = [t for t in tests if t is not None]
         root = star.orders(reads.get("Order", ()), reduce(lambda a, b: a & b, tests)) if tests else star.table("Order", reads.get("Order", ()))
+        once = not tests and (once or any(p.id in COUNTS_ORDERS for p in parts))
     else:
         root = star.table(at, reads.get(at, ()))
-    out = star_join(star, reads, reads, root, at)
+    out = by_order(star, reads, reads, root) if at == "Order" and once else star_join(star, reads, reads, root, at)
     if rule and rule[0] != "Order":
         out = out.where(rule[2](spec.role_params))
     condition = combined(spec.filters)

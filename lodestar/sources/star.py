@@ -22,6 +22,16 @@ ALIASES = {
 #: Columns of Order that are sums over its lines.
 ORDER_LINE_SUMS = ("OrderSubtotalExclTax", "OrderTax", "OrderDiscount", "RefundedAmount")
 
+#: Lines that a task sorts or groups at once.
+PIECE = 250_000
+
+
+def pieces(lines: DataFrame) -> int | None:
+    """The parts into which lines are dealt before they are grouped, so that a task holds about PIECE of them
+    however many there are; adaptive execution leaves that number. None if they are one piece."""
+    n = -(-lines.count() // PIECE)
+    return max(n, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if n > 1 else None
+
 
 @dataclass(frozen=True)
 class StarSchema:
@@ -94,8 +104,12 @@ def load_star(spark: SparkSession, path: str) -> StarSchema:
         if not columns & {*ORDER_LINE_SUMS}:
             return out
         zero = F.lit(0).cast(MONEY)
-        # of filtered orders, only their own lines are summed; the join that finds them has the grouping's key
-        own = lines() if where is None else lines().join(out.select(F.col("Id").alias("own")), F.col("l_orderkey") == F.col("own"), "left_semi")
+        # of filtered orders, only their own lines are summed; the join that finds them has the grouping's key.
+        # Most lines are another order's than those before them: summing them before they move would only fill tables
+        if where is None:
+            own = lines() if (n := pieces(base("lineitem"))) is None else lines().repartition(n, "l_orderkey")
+        else:
+            own = lines().join(out.select(F.col("Id").alias("own")), F.col("l_orderkey") == F.col("own"), "left_semi")
         sums = own.groupBy(F.col("l_orderkey").alias("k")).agg(
             F.sum("price").alias("OrderSubtotalExclTax"), F.sum("tax").alias("OrderTax"), F.sum("discount").alias("OrderDiscount"),
             F.sum(F.when(F.col("l_returnflag") == "R", F.col("price")).otherwise(zero)).alias("RefundedAmount"),

@@ -15,7 +15,9 @@ from lodestar.functions.timewin import time_window
 from lodestar.operators import analytics, catalog, evaluation
 from lodestar.plans import reports
 from lodestar.plans.star_join import closure, root_of
+from lodestar.queries_more import QUERIES
 from lodestar.sources import io
+from lodestar.sources import star as star_source
 from lodestar.sources.star import load_star, load_star_jdbc, of_frames
 
 SF = "/root/testdata/sf0.001"
@@ -309,3 +311,24 @@ def test_totals_agree_where_nothing_repeats(spark):
     assert parts.agg(F.sum("value")).first()[0] == pytest.approx(total)
     assert reports.share(parts).agg(F.sum("pct")).first()[0] == pytest.approx(100, abs=0.01)
     assert len(METRICS) == 15 and len(DIMENSIONS) == 34
+
+
+@pytest.mark.parametrize("name", ["items_per_order_top_category", "refund_rate_by_category", "fanout_safe_metric", "top_n_snapshot", "basket_pairs"])
+def test_lines_are_grouped_in_small_pieces(spark, monkeypatch, name):
+    query = QUERIES[name]
+    whole = query(spark, SF)
+    monkeypatch.setattr(star_source, "PIECE", 500)  # some 6,000 lines
+    dealt = query(spark, SF)
+    assert rows(dealt) == rows(whole)
+    plan = dealt._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_NUM" not in whole._jdf.queryExecution().toString()
+
+
+def test_pieces_keep_orders_without_lines_and_inner_makers(star, monkeypatch):
+    asked = [("refund_count", "category_name"), ("order_count", "manufacturer_name"), ("order_count", "product_name")]
+    count = lambda: [rows(reports.report(star, reports.ReportSpec("summary", *a))) for a in asked]
+    safe = lambda: rows(reports.fanout_safe(star, reports.ReportSpec("summary", "revenue", "category_name")))
+    whole = count(), safe(), rows(analytics.refund_rate_by_category(star))
+    monkeypatch.setattr(star_source, "PIECE", 1)
+    assert star_source.pieces(star.table("OrderItem")) == 4
+    assert (count(), safe(), rows(analytics.refund_rate_by_category(star))) == whole
