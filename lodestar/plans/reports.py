@@ -104,7 +104,7 @@ def report(star: StarSchema, spec: ReportSpec, as_of: datetime | None = None) ->
 def fanout_safe(star: StarSchema, spec: ReportSpec, as_of: datetime | None = None) -> DataFrame:
     """A header metric by a dimension that repeats orders: each order counts once for a label."""
     m, d = metric(spec.metric), dimension(spec.dimension)
-    joined = rows(star, [m, d], spec, as_of)
+    joined = rows(star, [m, d], spec, as_of, once=True)
     once = joined.select(d.as_label().alias("label"), F.col("o.Id").alias("Id"), *[F.col(f"o.{c}") for c in m.columns if c != "Id"]).dropDuplicates(["label", "Id"])
     return once.alias("o").groupBy("label").agg(m.agg().alias("value"))
 
