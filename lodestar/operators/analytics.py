@@ -124,7 +124,7 @@ def top_n_snapshot(star: StarSchema, n: int) -> DataFrame:
     """Month by category, for the categories with most line revenue: revenue, units and orders."""
     sold = rows(star, [metric("line_item_revenue"), dimension("category_name")])  # no orders
     top = sold.groupBy(F.col("c.Name").alias("category")).agg(F.sum("oi.PriceExclTax").alias("r")).orderBy(F.desc("r"), "category").limit(n).select("category")
-    joined = rows(star, [metric("line_item_revenue"), metric("item_quantity"), dimension("category_name")], also=["Order"])
+    joined = rows(star, [metric("line_item_revenue"), metric("item_quantity"), dimension("category_name")], also=["Order"], once=True)
     ms = [metric(m) for m in ("line_item_revenue", "item_quantity", "order_count")]
     return joined.join(F.broadcast(top), F.col("c.Name") == F.col("category")).groupBy(F.date_format("o.CreatedOnUtc", _MONTH).alias("label"), "category").agg(*[m.agg().alias(m.id) for m in ms])
 
