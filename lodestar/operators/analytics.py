@@ -14,7 +14,7 @@ from ..functions.dimensions import dimension
 from ..functions.metrics import metric
 from ..functions.timewin import in_window
 from ..plans.reports import ReportSpec, report, rows, share
-from ..sources.star import StarSchema
+from ..sources.star import StarSchema, pieces
 from ..plans.star_join import star_join
 from .evaluation import at_ranks, between_ranks
 
@@ -214,9 +214,15 @@ def attribute_margin(star: StarSchema) -> DataFrame:
     return found.unpivot([], list(attributes), "attribute", "corr")
 
 
-def basket_pairs(star: StarSchema, n: int) -> DataFrame:
-    """The product pairs in most orders: distinct products of an order against those above them."""
-    a = star.table("OrderItem").select(F.col("oi.OrderId").alias("o"), F.col("oi.ProductId").alias("a")).distinct()
+def basket_pairs(star: StarSchema, top: int) -> DataFrame:
+    """The product pairs in most orders: distinct products of an order against those above them.
+
+    Nearly every pair is another one, so pairs are counted where they meet, in as many parts as lines are.
+    """
+    a = star.table("OrderItem").select(F.col("oi.OrderId").alias("o"), F.col("oi.ProductId").alias("a"))
+    n = pieces(a)
+    spread = lambda df, *keys: df if n is None else df.repartition(n, *keys)
+    a = spread(a, "o").distinct()
     b = a.select(F.col("o").alias("o2"), F.col("a").alias("b"))
-    pairs = a.join(b, (F.col("o") == F.col("o2")) & (F.col("a") < F.col("b")))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("orders")).orderBy(F.desc("orders"), "a", "b").limit(n)
+    pairs = a.join(b, (F.col("o") == F.col("o2")) & (F.col("a") < F.col("b"))).select("a", "b")
+    return spread(pairs, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("orders")).orderBy(F.desc("orders"), "a", "b").limit(top)
