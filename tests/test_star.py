@@ -1,5 +1,6 @@
 """Hand-made rows for the rules that the star's reports must keep."""
 
+import re
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -10,6 +11,7 @@ from lodestar.functions.dimensions import DIMENSIONS
 from lodestar.functions.metrics import METRICS
 from lodestar.functions.predicates import POLICIES, Predicate, as_column, combined
 from lodestar.functions import textrules
+from lodestar.functions.rule_values import INTENT_PATTERNS
 from lodestar.functions.textrules import coverage, extract_threshold, normalise_intent, resolve_term, unsafe_word
 from lodestar.functions.timewin import time_window
 from lodestar.operators import analytics, catalog, evaluation
@@ -332,3 +334,14 @@ def test_pieces_keep_orders_without_lines_and_inner_makers(star, monkeypatch):
     monkeypatch.setattr(star_source, "PIECE", 1)
     assert star_source.pieces(star.table("OrderItem")) == 4
     assert (count(), safe(), rows(analytics.refund_rate_by_category(star))) == whole
+
+
+def test_classes_are_those_of_their_patterns(spark):
+    patterns = [p for _, ps in INTENT_PATTERNS for p in ps]
+    texts = [None, "", "  list x", "\nlist", "shortlist", "x list", "the vsx", "new vs. returning", "new vs returning", "frank", "rank", "top 3", "topp 3", "stop 3", "under 5", "first‑time", "überblick overview", "exceeding", "by  category", "a\tweekly b"]
+    plain = F.coalesce(*[F.when(F.col("q").rlike("|".join(f"(?:{p})" for p in ps)), F.lit(label)) for label, ps in INTENT_PATTERNS], F.lit("kpi"))
+    found = spark.createDataFrame([(t,) for t in texts], "q string").select("q", textrules.classify_intent(F.col("q"), True).alias("a"), plain.alias("b"))
+    assert all(r.a == r.b for r in found.collect())
+    assert {r.a for r in found.collect()} >= {"kpi", "tabular", "ranking", "cohort", "exception"}
+    gate = textrules.intent_gate()
+    assert all(re.match(r"\^\\s\*list|\\b", p) for p in patterns) and not re.search(gate, "a stop and a shortlist") and re.search(gate, "x list")
