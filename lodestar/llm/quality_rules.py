@@ -268,14 +268,21 @@ def _step(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 
 
 def _reweighted(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Number, mean and covariance of the rows within the quantile INSIDE of each estimate."""
-    inside = distance(F.col("x"), F.col("mean"), F.col("precision")) <= _chi2_quantile(INSIDE, len(VECTOR))
-    sums = _with(rows, estimates).groupBy(*KEYS).agg(F.first("e_n").alias("n"), F.first("mean").alias("mean"), F.count(F.when(inside, 1)).alias("m"), *_sums(inside))
+    """Number, mean and covariance of the rows within the quantile INSIDE of each estimate.
+
+    Whether a row is inside is a column of its own: within each of the sums, every task would bind and compile the
+    distance as often as there are sums. The mean goes by its coordinates, as an array makes tasks sort their rows.
+    """
     scale, p = _scale(INSIDE), len(VECTOR)
+    within = distance(F.col("x"), F.col("mean"), F.col("precision")) <= _chi2_quantile(INSIDE, p)
+    told = _with(rows, estimates).withColumn("inside", within)
+    means = [F.first(F.get("mean", F.lit(i))).alias(f"mean{i}") for i in range(p)]
+    sums = told.groupBy(*KEYS).agg(F.first("e_n").alias("n"), F.count(F.when(F.col("inside"), 1)).alias("m"), *means, *_sums(F.col("inside")))
 
     def estimate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [_moments(f.iloc[k : k + 1], np.ones(1), float(m)) if m else (np.array(f["mean"].iloc[k]), np.zeros((p, p))) for k, m in enumerate(f["m"])]
+            mean = f[[f"mean{i}" for i in range(p)]].to_numpy()
+            found = [_moments(f.iloc[k : k + 1], np.ones(1), float(m)) if m else (mean[k], np.zeros((p, p))) for k, m in enumerate(f["m"])]
             yield f[[*KEYS, "n", "m"]].assign(mean=[list(mean) for mean, _ in found], cov=[(cov * scale).ravel().tolist() for _, cov in found])
 
     return sums.mapInPandas(estimate, _MOMENTS)

@@ -82,3 +82,22 @@ def test_few_texts_reject_next_to_nothing(spark):
     precision[np.triu_indices(len(floors))] = e.precision
     precision = (precision + precision.T) / 2
     assert np.einsum("ni,ij,nj->n", x - e.mean, precision, x - e.mean).max() < quality_rules.CUTOFF
+
+
+def test_distance_is_made_once_for_all_sums(spark):
+    """Every task of the last estimate binds its plan anew: with the distance in each of the sums, that took hundreds of MB."""
+    p = len(quality_rules.VECTOR)
+    rows = spark.createDataFrame([(2, "en", "a", [float(i)] * p) for i in range(4)], "level int, lang string, source string, x array<double>")
+    found = spark.createDataFrame([(2, "en", "a", 4, [1.0] * p, [0.01] * (p * (p + 1) // 2))], f"{quality_rules._KEYS}, n long, mean array<double>, precision array<double>")
+    kept = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(kept)
+    spark.conf.set(kept, "100000")
+    try:
+        moments = quality_rules._reweighted(rows, found)
+        plan = moments._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(kept, before)
+    assert plan.count("precision#") < 2 * p * (p + 1)
+    assert "SortAggregate" not in plan
+    r = moments.first()
+    assert (r.n, r.m, list(r.mean)) == (4, 4, [1.5] * p)
