@@ -228,13 +228,27 @@ def unsupported_reasons(q: Column) -> Column:
     return F.array_join(F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(q, F.lit(m)), F.lit(r)) for m, r in UNSUPPORTED_MARKERS]))), "; ")
 
 
+def expected_metric(q: Column) -> Column:
+    return F.when(F.contains(q, F.lit("average number of items per order")), "quantity").otherwise(F.coalesce(first_keyword(q, EXPECTED_METRIC), F.lit("order_count")))
+
+
+def expected_dimension(q: Column, pattern: Column) -> Column:
+    grouped = F.when(any_of(q, ("by month", "daily", "weekly")), "date").otherwise(first_keyword(q, EXPECTED_DIMENSION))
+    return F.when(pattern.isin(*GROUPED_PATTERNS), grouped).when(F.contains(q, F.lit(" per payment method")), "payment_method")
+
+
+def expected_time(q: Column) -> Column:
+    return first_keyword(q, EXPECTED_TIME)
+
+
+def expected_behavior(unsupported: Column) -> Column:
+    return F.when(unsupported == "", "answer").otherwise("clarify_or_reject")
+
+
 def expected_labels(q: Column, pattern: Column) -> Column:
     """(behavior, metric, dimension, time, unsupported) expected of an answer. q: as for unsupported_reasons."""
-    m = F.when(F.contains(q, F.lit("average number of items per order")), "quantity").otherwise(F.coalesce(first_keyword(q, EXPECTED_METRIC), F.lit("order_count")))
-    grouped = F.when(any_of(q, ("by month", "daily", "weekly")), "date").otherwise(first_keyword(q, EXPECTED_DIMENSION))
-    d = F.when(pattern.isin(*GROUPED_PATTERNS), grouped).when(F.contains(q, F.lit(" per payment method")), "payment_method")
     why = unsupported_reasons(q)
-    return F.struct(F.when(why == "", "answer").otherwise("clarify_or_reject").alias("behavior"), m.alias("metric"), d.alias("dimension"), first_keyword(q, EXPECTED_TIME).alias("time"), why.alias("unsupported"))
+    return F.struct(expected_behavior(why).alias("behavior"), expected_metric(q).alias("metric"), expected_dimension(q, pattern).alias("dimension"), expected_time(q).alias("time"), why.alias("unsupported"))
 
 
 def extract_sql(text: Column) -> Column:
@@ -278,25 +292,58 @@ def score_text(sql: Column, params: Column) -> Column:
     return normalise_text(F.concat_ws(" ", extract_sql(sql), normalise_text(params)))
 
 
-def score(s: Column, behavior: Column, pattern: Column, m: Column, d: Column, t: Column, unsupported: Column, executed: Column) -> Column:
-    """(correct, reason) of an answer, by keywords, conservatively. s: a column that holds its score_text."""
+def _no(reason: Column) -> Column:
+    return F.struct(F.lit(False).alias("correct"), reason.alias("reason"))
+
+
+def _yes(reason: Column) -> Column:
+    return F.struct(F.lit(True).alias("correct"), reason.alias("reason"))
+
+
+def score_by_metric(s: Column, behavior: Column, m: Column, unsupported: Column, executed: Column) -> Column:
+    """What score finds before it looks at dimension and time; null if those decide."""
+    say = {k: F.lit(v) for k, v in SCORE_REASONS.items()}
     refused = any_of(s, REFUSALS) & ~any_of(s, ACTIONS)
     both = any_of(s, ("date_format", "month")) & F.contains(s, F.lit("ordertotal")) & F.contains(s, F.lit("customer")) & any_of(s, ("limit 5", "top 5"))
-    groups = ~F.coalesce(pattern.isin(*GROUPED_PATTERNS), F.lit(False)) & d.isNull() & F.contains(s, F.lit(" group by "))
-    no = lambda reason: F.struct(F.lit(False).alias("correct"), reason.alias("reason"))
-    yes = lambda reason: F.struct(F.lit(True).alias("correct"), reason.alias("reason"))
-    say = {k: F.lit(v) for k, v in SCORE_REASONS.items()}
     reject = behavior.isin("clarify_or_reject", "reject_write_request")
     return (
-        F.when(reject & refused, yes(say["avoided"]))
-        .when(reject, no(F.coalesce(F.nullif(unsupported, F.lit("")), say["should_reject"])))
-        .when((behavior == "multi_part_answer") & ~executed, no(say["not_executed"]))
+        F.when(reject & refused, _yes(say["avoided"]))
+        .when(reject, _no(F.coalesce(F.nullif(unsupported, F.lit("")), say["should_reject"])))
+        .when((behavior == "multi_part_answer") & ~executed, _no(say["not_executed"]))
         .when(behavior == "multi_part_answer", F.struct(both.alias("correct"), say["multi_part"].alias("reason")))
-        .when(~executed, no(say["not_executed"]))
-        .when(unsupported != "", no(unsupported))
-        .when(~_shows(s, m, METRIC_SQL_TOKENS), no(F.concat(say["metric"], m)))
-        .when(~_shows(s, d, DIM_SQL_TOKENS), no(F.concat(say["dimension"], d)))
-        .when(~_shows(s, t, TIME_SQL_TOKENS), no(F.concat(say["time"], t)))
-        .when(groups, no(say["grouped"]))
-        .otherwise(yes(say["correct"]))
+        .when(~executed, _no(say["not_executed"]))
+        .when(unsupported != "", _no(unsupported))
+        .when(~_shows(s, m, METRIC_SQL_TOKENS), _no(F.concat(say["metric"], m)))
+    )
+
+
+def score_by_groups(s: Column, pattern: Column, d: Column, t: Column) -> Column:
+    """(correct, reason) of an answer that score_by_metric leaves open."""
+    say = {k: F.lit(v) for k, v in SCORE_REASONS.items()}
+    groups = ~F.coalesce(pattern.isin(*GROUPED_PATTERNS), F.lit(False)) & d.isNull() & F.contains(s, F.lit(" group by "))
+    return (
+        F.when(~_shows(s, d, DIM_SQL_TOKENS), _no(F.concat(say["dimension"], d)))
+        .when(~_shows(s, t, TIME_SQL_TOKENS), _no(F.concat(say["time"], t)))
+        .when(groups, _no(say["grouped"]))
+        .otherwise(_yes(say["correct"]))
     )
+
+
+def score(s: Column, behavior: Column, pattern: Column, m: Column, d: Column, t: Column, unsupported: Column, executed: Column) -> Column:
+    """(correct, reason) of an answer, by keywords, conservatively. s: a column that holds its score_text."""
+    return F.coalesce(score_by_metric(s, behavior, m, unsupported, executed), score_by_groups(s, pattern, d, t))
+
+
+def score_texts(rows: DataFrame) -> DataFrame:
+    """rows (q, unsupported, pattern, executed, s) with f: the score against the labels that are expected of q.
+
+    Most answers fall before their dimension and time matter, so these are sought only for those that are left.
+    Each step is a column of its own, made once.
+    """
+    behavior = expected_behavior(F.col("unsupported"))
+    rows = rows.withColumn("m", F.when(F.col("executed") & (F.col("unsupported") == ""), expected_metric(F.col("q"))))
+    rows = rows.withColumn("head", score_by_metric(F.col("s"), behavior, F.col("m"), F.col("unsupported"), F.col("executed")))
+    left = F.col("head").isNull()
+    rows = rows.withColumns({"d": F.when(left, expected_dimension(F.col("q"), F.col("pattern"))), "t": F.when(left, expected_time(F.col("q")))})
+    tail = F.when(left, score_by_groups(F.col("s"), F.col("pattern"), F.col("d"), F.col("t")))
+    return rows.withColumn("f", F.coalesce("head", tail))

@@ -238,10 +238,9 @@ SQL_SCORE = f"""SELECT id, reason IN ({_SAY['avoided']}, {_SAY['correct']}) AS c
 
 @register("score_rows", SQL_SCORE)
 def _score_rows(spark: SparkSession, path: str) -> DataFrame:
-    e = _normalised(_texts(spark, path, REQUESTS)).select("id", "n", _pattern().alias("pattern"), X.expected_labels(F.col("q"), _pattern()).alias("e"))
-    both = e.join(_texts(spark, path, STATEMENTS).select("id", X.score_text(F.col("text"), F.lit("")).alias("s")), "id")
-    found = X.score(F.col("s"), F.col("e.behavior"), F.col("pattern"), F.col("e.metric"), F.col("e.dimension"), F.col("e.time"), F.col("e.unsupported"), F.col("n") % 7 != 0)
-    return both.select("id", found.alias("f")).select("id", "f.correct", "f.reason")
+    asked = _normalised(_texts(spark, path, REQUESTS)).select("id", _pattern().alias("pattern"), "q", X.unsupported_reasons(F.col("q")).alias("unsupported"), (F.col("n") % 7 != 0).alias("executed"))
+    both = asked.join(_texts(spark, path, STATEMENTS).select("id", X.score_text(F.col("text"), F.lit("")).alias("s")), "id")
+    return X.score_texts(both).select("id", "f.correct", "f.reason")
 
 
 # ------------------------------------------------------------------ evaluation, over labels, documents and events

@@ -345,3 +345,24 @@ def test_classes_are_those_of_their_patterns(spark):
     assert {r.a for r in found.collect()} >= {"kpi", "tabular", "ranking", "cohort", "exception"}
     gate = textrules.intent_gate()
     assert all(re.match(r"\^\\s\*list|\\b", p) for p in patterns) and not re.search(gate, "a stop and a shortlist") and re.search(gate, "x list")
+
+
+def test_score_rows_seeks_dimensions_only_of_answers_left(spark):
+    """Before, each text was searched for all phrases of dimensions and times ahead of the join."""
+    kept = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(kept)
+    spark.conf.set(kept, "100000")
+    try:
+        plan = QUERIES["score_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(kept, before)
+    below = plan[plan.index("Join") :]
+    assert "daily" in plan and "daily" not in below
+
+    say = ("Top 5 products by revenue", "orders by month", "profit margin", "", "nothing")
+    sql = ("SELECT SUM(OrderTotal) FROM t GROUP BY x", "cannot answer", "SELECT COUNT(*) FROM Orders o", "")
+    rows = spark.createDataFrame([(a, b, p, e) for a in say for b in sql for p in ("KPI", "Ranking", None) for e in (True, False)], "q string, s string, pattern string, executed boolean")
+    rows = rows.withColumns({"q": textrules.normalise_text(F.col("q")), "s": textrules.normalise_text(F.col("s"))}).withColumns({"unsupported": textrules.unsupported_reasons(F.col("q")), "e": textrules.expected_labels(F.col("q"), F.col("pattern"))})
+    whole = textrules.score(F.col("s"), F.col("e.behavior"), F.col("pattern"), F.col("e.metric"), F.col("e.dimension"), F.col("e.time"), F.col("e.unsupported"), F.col("executed"))
+    found = textrules.score_texts(rows.withColumn("whole", whole)).select("f", "whole").collect()
+    assert len(found) == 120 and all(r.f == r.whole for r in found) and any(r.f.correct for r in found)
