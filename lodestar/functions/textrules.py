@@ -6,6 +6,8 @@ import re
 from collections.abc import Iterable
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,8 @@ THRESHOLD = r"\b(?:exceeds?|greater than|more than|above|over)\s+\$?([\d,]+)|\b(
 GROUPED_PATTERNS = ("Ranking", "Trend", "Comparison", "Summary", "Segment", "Cohort", "Correlate", "Tabular")
 REFUSALS = ("cannot answer", "not available", "not supported", "outside", "clarify")
 ACTIONS = ("select ", "update ", "delete ", "insert ", "drop ", "alter ")
+#: What normalised texts have a hyphen and nothing for.
+DASHES, MARKS = "‑–—", "`[]"
 
 
 def any_of(text: Column, phrases: Iterable[str]) -> Column:
@@ -215,8 +219,29 @@ def coverage(metric_term: Column, dimension_term: Column, clean: bool = False) -
 
 def normalise_text(text: Column) -> Column:
     """Lower case, no backticks and brackets, one kind of dash, single blanks; empty for null."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "‑–—`[]", "---")
-    return F.regexp_replace(plain, r"\s+", " ")
+    plain = F.lower(F.coalesce(text, F.lit("")))
+    for found, instead in [(c, "-") for c in DASHES] + [(c, "") for c in MARKS] + [(c, " ") for c in "\n\t\x0b\f\r"]:
+        plain = F.replace(plain, F.lit(found), F.lit(instead))
+    return F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain)
+
+
+def raw_pattern(phrases: Iterable[str]) -> str:
+    """A pattern that a text matches if its normalised form holds any of the phrases; blanks at their ends do not count."""
+    marks = r"[`\[\]]*"
+    special = {" ": r"[\s\x0B][\s\x0B`\[\]]*", "-": f"[-{DASHES}]", "i": "[iI\u0130]", "k": "[kK\u212a]"}  # the other letters that lower case makes an i or k of
+    letter = lambda c: special.get(c) or (f"[{c}{c.upper()}]" if c.isascii() and c.isalpha() else re.escape(c))
+    return "|".join(marks.join(letter(c) for c in p.strip()) for p in phrases)
+
+
+def may_hold(text: Column, phrases: Iterable[str]) -> Column:
+    """False only if the normalised text holds none of the phrases: one pass over the text as it is for all of them."""
+    pattern = raw_pattern(phrases)
+
+    @F.arrow_udf("boolean")
+    def search(texts: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(texts, pattern)
+
+    return F.coalesce(search(text), F.lit(False))
 
 
 def unsupported_reasons(q: Column) -> Column:
@@ -255,7 +280,7 @@ def extract_sql(text: Column) -> Column:
     """The body of the first fenced block, else the text, trimmed."""
     fenced = F.regexp_extract(text, r"(?is)```(?:sql)?\s*(.*?)```", 1)
     whole = F.regexp_extract(text, r"(?is)```(?:sql)?\s*(.*?)```", 0)
-    return F.trim(F.when(whole != "", fenced).otherwise(F.coalesce(text, F.lit(""))))
+    return F.trim(F.when(F.contains(text, F.lit("```")) & (whole != ""), fenced).otherwise(F.coalesce(text, F.lit(""))))
 
 
 def unsafe_word(sql: Column, rules: str = "long") -> Column:
@@ -334,16 +359,50 @@ def score(s: Column, behavior: Column, pattern: Column, m: Column, d: Column, t:
     return F.coalesce(score_by_metric(s, behavior, m, unsupported, executed), score_by_groups(s, pattern, d, t))
 
 
+def _phrases(rules: Iterable[tuple[str, Iterable[str]]]) -> list[str]:
+    return [p for _, phrases in rules for p in phrases]
+
+
+def score_questions(rows: DataFrame) -> DataFrame:
+    """rows (text, executed) with unsupported, m (the expected metric, where it matters) and q (the text, if it may have a dimension or time).
+
+    A text is normalised and searched phrase by phrase only if one pass says that it may hold one.
+    """
+    groups = ["by month", "daily", "weekly", " per payment method", *_phrases(EXPECTED_DIMENSION), *_phrases(EXPECTED_TIME)]
+    may = {"marked": [m for m, _ in UNSUPPORTED_MARKERS], "named": ["average number of items per order", *_phrases(EXPECTED_METRIC)], "grouped": groups}
+    rows = rows.withColumns({k: may_hold(F.col("text"), phrases) for k, phrases in may.items()})
+    searched = F.col("marked") | (F.col("named") & F.col("executed"))
+    rows = rows.withColumn("q", normalise_text(F.when(searched, F.col("text"))))
+    rows = rows.withColumn("unsupported", F.when(F.col("marked"), unsupported_reasons(F.col("q"))).otherwise(""))
+    open_ = F.col("executed") & (F.col("unsupported") == "")
+    m = F.when(open_, F.when(F.col("named"), expected_metric(F.col("q"))).otherwise("order_count"))
+    q = F.when(open_ & F.col("grouped"), F.when(searched, F.col("q")).otherwise(F.col("text")))
+    return rows.withColumns({"m": m, "q": q}).drop("text", *may)
+
+
+def score_answers(rows: DataFrame) -> DataFrame:
+    """rows (text) with s: its score_text, or nothing if it can show neither a refusal nor a metric, which then decides."""
+    shown = [max(group, key=len) for groups in METRIC_SQL_TOKENS.values() for group in groups]
+    rows = rows.withColumn("shows", may_hold(F.col("text"), [*REFUSALS, *shown]))
+    rows = rows.withColumn("s", F.when(F.col("shows"), F.col("text")))
+    return rows.withColumn("s", score_text(F.col("s"), F.lit(""))).drop("text", "shows")
+
+
 def score_texts(rows: DataFrame) -> DataFrame:
-    """rows (q, unsupported, pattern, executed, s) with f: the score against the labels that are expected of q.
+    """rows (q, unsupported, pattern, executed, s) with f: the score against the labels that are expected of q."""
+    return score_labelled(rows.withColumn("m", F.when(F.col("executed") & (F.col("unsupported") == ""), expected_metric(F.col("q")))))
+
+
+def score_labelled(rows: DataFrame) -> DataFrame:
+    """rows (q, unsupported, m, pattern, executed, s) with f; q may be as it came, and null if it has no dimension and time.
 
     Most answers fall before their dimension and time matter, so these are sought only for those that are left.
     Each step is a column of its own, made once.
     """
     behavior = expected_behavior(F.col("unsupported"))
-    rows = rows.withColumn("m", F.when(F.col("executed") & (F.col("unsupported") == ""), expected_metric(F.col("q"))))
     rows = rows.withColumn("head", score_by_metric(F.col("s"), behavior, F.col("m"), F.col("unsupported"), F.col("executed")))
     left = F.col("head").isNull()
+    rows = rows.withColumn("q", normalise_text(F.when(left, F.col("q"))))
     rows = rows.withColumns({"d": F.when(left, expected_dimension(F.col("q"), F.col("pattern"))), "t": F.when(left, expected_time(F.col("q")))})
     tail = F.when(left, score_by_groups(F.col("s"), F.col("pattern"), F.col("d"), F.col("t")))
     return rows.withColumn("f", F.coalesce("head", tail))

@@ -238,9 +238,9 @@ SQL_SCORE = f"""SELECT id, reason IN ({_SAY['avoided']}, {_SAY['correct']}) AS c
 
 @register("score_rows", SQL_SCORE)
 def _score_rows(spark: SparkSession, path: str) -> DataFrame:
-    asked = _normalised(_texts(spark, path, REQUESTS)).select("id", _pattern().alias("pattern"), "q", X.unsupported_reasons(F.col("q")).alias("unsupported"), (F.col("n") % 7 != 0).alias("executed"))
-    both = asked.join(_texts(spark, path, STATEMENTS).select("id", X.score_text(F.col("text"), F.lit("")).alias("s")), "id")
-    return X.score_texts(both).select("id", "f.correct", "f.reason")
+    asked = X.score_questions(_texts(spark, path, REQUESTS).select("id", "text", _pattern().alias("pattern"), (F.col("n") % 7 != 0).alias("executed")))
+    answered = X.score_answers(_texts(spark, path, STATEMENTS).select("id", "text"))
+    return X.score_labelled(asked.join(answered, "id")).select("id", "f.correct", "f.reason")
 
 
 # ------------------------------------------------------------------ evaluation, over labels, documents and events

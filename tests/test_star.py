@@ -366,3 +366,39 @@ def test_score_rows_seeks_dimensions_only_of_answers_left(spark):
     whole = textrules.score(F.col("s"), F.col("e.behavior"), F.col("pattern"), F.col("e.metric"), F.col("e.dimension"), F.col("e.time"), F.col("e.unsupported"), F.col("executed"))
     found = textrules.score_texts(rows.withColumn("whole", whole)).select("f", "whole").collect()
     assert len(found) == 120 and all(r.f == r.whole for r in found) and any(r.f.correct for r in found)
+
+
+ODD = (None, "", " ", "Top 5 products by Revenue\tin the US last\n\nmonth", "past  90 days of sa`les", "month-over‑month st[o]re", "month—over–month [re]f`unds", "GIFT\x0b-wrapped", "Gift–wr[ap]ped ITEMS", "K for booKings, marKeting campaign", "İtems through the apİ", "cannot\r\nanswer", "outsıde", "by month", "a profit", "pro fit", "SELECT COUNT(*) FROM `Order` o", "```sql\nSELECT SUM(o.OrderTotal), c.Name FROM t GROUP BY 1``` by country this year", "  \n group by", "x select", "not available, select", "avg ordertotal country 2023", "Forecast of visitors", "ΣΑΣ count order İ", "` [ ]")
+
+
+def test_normalised_texts_are_those_of_one_pattern(spark):
+    df = spark.createDataFrame([(t,) for t in [*ODD, "a" + " \t" * 40 + "b", "[ ]`x` –‑—", "  ", "\n"]], "text string")
+    plain = F.regexp_replace(F.translate(F.lower(F.coalesce(F.col("text"), F.lit(""))), "‑–—`[]", "---"), r"\s+", " ")
+    assert all(r.a == r.b for r in df.select(textrules.normalise_text(F.col("text")).alias("a"), plain.alias("b")).collect())
+
+
+def test_one_pass_misses_no_phrase(spark):
+    phrases = ["by month", "month-over-month", "sales", "refund", "gift-wrapped", "marketing campaign", "bookings", "items", "through the api", "cannot answer", "past 90 days", "select ", " group by "]
+    df = spark.createDataFrame([(t,) for t in ODD], "text string").withColumn("q", textrules.normalise_text(F.col("text")))
+    columns = [c for p in phrases for c in (textrules.may_hold(F.col("text"), [p]), F.contains(F.concat(F.col("q"), F.lit(" ")), F.lit(p)))]
+    found = [tuple(zip(r[::2], r[1::2], strict=True)) for r in df.select(*columns).collect()]
+    assert all(may or not does for r in found for may, does in r)
+    assert {p for r in found for p, (_, does) in zip(phrases, r, strict=True) if does} >= set(phrases) - {"by month", "select "}
+    assert sum(may and not does for r in found for may, does in r) <= 3  # an odd i, blanks at an end
+
+
+def test_score_rows_normalises_and_moves_only_texts_that_matter(spark):
+    """Before, both texts of each pair were normalised, searched for each phrase, and moved whole."""
+    rows = [(i % 20, t, p, e) for i, (t, p, e) in enumerate((t, p, e) for t in (*ODD, "plain words " * 500) for p in ("KPI", "Ranking", None) for e in (True, False))]
+    asked = spark.createDataFrame(rows, "id long, text string, pattern string, executed boolean")
+    answers = asked.select("id", "text").distinct()
+    q, s = textrules.score_questions(asked), textrules.score_answers(answers)
+    assert not q.where(F.length("q") > 1000).count() and not s.where(F.length("s") > 1000).count()
+    assert q.where("q is not null").count() and s.where("length(s) > 1").count()
+
+    e = asked.withColumn("q", textrules.normalise_text(F.col("text"))).withColumn("e", textrules.expected_labels(F.col("q"), F.col("pattern")))
+    both = e.join(answers.select("id", textrules.score_text(F.col("text"), F.lit("")).alias("s")), "id")
+    whole = textrules.score(F.col("s"), F.col("e.behavior"), F.col("pattern"), F.col("e.metric"), F.col("e.dimension"), F.col("e.time"), F.col("e.unsupported"), F.col("executed"))
+    key = lambda df, f: sorted(repr(tuple(r)) for r in df.select("id", "pattern", "executed", f.alias("f")).collect())
+    a, b = key(textrules.score_labelled(q.join(s, "id")), F.col("f")), key(both, whole)
+    assert a == b and len(a) > 1000 and len({r[r.index("reason") :] for r in a}) >= 8
