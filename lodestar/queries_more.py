@@ -402,8 +402,8 @@ def _write_catalog(spark: SparkSession, path: str) -> DataFrame:
 def _write_annotations(spark: SparkSession, path: str) -> DataFrame:
     at = io.scratch(spark, "annotations")
     io.write_annotations(_texts(spark, path, STATEMENTS).select("id", "text"), at)
-    csv = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema("id string, text string").csv(f"{at}/csv")
-    return spark.read.schema("id string, text string").json(f"{at}/json").unionByName(csv)
+    json, csv = io.read_annotations(spark, at, "id string, text string")
+    return json.unionByName(csv)
 
 
 @register("run_saved_query", "SELECT o_orderstatus AS label, COUNT(*) AS value FROM orders WHERE o_totalprice > 200000 GROUP BY 1")

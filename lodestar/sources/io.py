@@ -116,6 +116,16 @@ def write_annotations(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**as_is).csv(f"{path}/csv")
 
 
+def read_annotations(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of write_annotations' JSON, and those of its CSV.
+
+    In the CSV nothing is null and "" the empty text. A reader takes for null what equals its nullValue, by default
+    both of these; no text equals this one. Without an escape of the escape, characters of code 0 in quoted texts are lost.
+    """
+    as_is = {"header": True, "multiLine": True, "escape": '"', "charToEscapeQuoteEscaping": '"', "nullValue": uuid.uuid4().hex}
+    return spark.read.schema(schema).json(f"{path}/json"), spark.read.options(**as_is).schema(schema).csv(f"{path}/csv")
+
+
 def write_catalog(df: DataFrame, path: str) -> None:
     """The whole catalog anew. path must not be one that df reads: readers switch when it is complete."""
     df.write.mode("overwrite").parquet(path)

@@ -41,6 +41,25 @@ def test_matches_sql(spark, db, name):
     assert got == sorted(repr([norm(r[i]) for i in order]) for r in found.fetchall())
 
 
+def test_write_annotations_keeps_odd_texts(spark, tmp_path):
+    """Before, the CSV's empty texts were read as null, and characters of code 0 in quoted texts were lost."""
+    odd = [None, "", " ", '"', '""', '"a', 'a"', "a,b", ",", "\\", '\\"', "\n", "\r\n", "a\rb", "\0", 'a\0"b', '"\0"', "\0\n", "\0,\0", '"\r\n\0",', " x ", "null", "NULL", "\\N", "\ufeff", "\u2028", "\U0001f600"]
+    tables = {
+        "events": spark.createDataFrame([(i, "view") for i in range(40)], "event_id long, event_type string"),
+        "documents": spark.createDataFrame([(i, "web", t) for i, t in enumerate([*odd, '"\0\n' * 400_000])], "doc_id long, source string, text string"),
+        "conversations": spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(odd)], "conv_id long, turn long, role string, text string"),
+    }
+    c = duckdb.connect()
+    for t, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+        c.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    key = lambda r: (r[0], r[1] is None, r[1] or "")
+    got = sorted(map(tuple, QUERIES["write_annotations"](spark, str(tmp_path)).select("id", "text").collect()), key=key)
+    want = sorted(c.sql(SQL["write_annotations"]).fetchall(), key=key)
+    assert len(want) == 2 * (40 + 2 * len(odd) + 1)
+    assert [(a[0], (a[1] or "")[:80], b[0], (b[1] or "")[:80]) for a, b in zip(got, want, strict=True) if a != b] == []
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
