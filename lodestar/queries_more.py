@@ -104,9 +104,9 @@ STATEMENTS = (
 def _texts(spark: SparkSession, path: str, texts: tuple[str, ...]) -> DataFrame:
     """(id, n, system, text) of all documents and conversations, and of the texts dealt to events; n numbers them by kind."""
     number = (F.col("event_id") % 97 + 1).cast("string")
-    at = (F.col("event_id") % len(texts)).cast("int")
+    at = F.nullif((F.col("event_id") % len(texts)).cast("int") + 1, F.lit(0))  # as the SQL's lists: from the end if negative, null if 0
     of = lambda t, id, n, system, text: spark.read.parquet(f"{path}/{t}.parquet").select(id.alias("id"), F.col(n).alias("n"), F.col(system).alias("system"), text.alias("text"))
-    events = of("events", F.concat(F.lit("e"), "event_id"), "event_id", "event_type", F.replace(F.get(F.array(*map(F.lit, texts)), at), F.lit("{n}"), number))
+    events = of("events", F.concat(F.lit("e"), "event_id"), "event_id", "event_type", F.replace(F.try_element_at(F.array(*map(F.lit, texts)), at), F.lit("{n}"), number))
     docs = of("documents", F.concat(F.lit("d"), "doc_id"), "doc_id", "source", F.col("text"))
     turns = of("conversations", F.concat(F.lit("c"), "conv_id", F.lit("."), "turn"), "conv_id", "role", F.col("text"))
     return events.unionByName(docs).unionByName(turns)

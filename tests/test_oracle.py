@@ -42,10 +42,10 @@ def test_matches_sql(spark, db, name):
 
 
 def test_write_annotations_keeps_odd_texts(spark, tmp_path):
-    """Before, the CSV's empty texts were read as null, and characters of code 0 in quoted texts were lost."""
+    """Before, the CSV's empty texts were read as null, characters of code 0 in quoted texts were lost, and events of negative id had no text."""
     odd = [None, "", " ", '"', '""', '"a', 'a"', "a,b", ",", "\\", '\\"', "\n", "\r\n", "a\rb", "\0", 'a\0"b', '"\0"', "\0\n", "\0,\0", '"\r\n\0",', " x ", "null", "NULL", "\\N", "\ufeff", "\u2028", "\U0001f600"]
     tables = {
-        "events": spark.createDataFrame([(i, "view") for i in range(40)], "event_id long, event_type string"),
+        "events": spark.createDataFrame([(i, "view") for i in range(-20, 20)], "event_id long, event_type string"),
         "documents": spark.createDataFrame([(i, "web", t) for i, t in enumerate([*odd, '"\0\n' * 400_000])], "doc_id long, source string, text string"),
         "conversations": spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(odd)], "conv_id long, turn long, role string, text string"),
     }
